@@ -19,6 +19,14 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op2_quality(spark, sf_dir):
+    from .quality import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 @query
 def op4_token_files(spark, sf_dir):
     from .tokenfiles import round_trip
