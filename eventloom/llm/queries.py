@@ -27,6 +27,13 @@ def op2_quality(spark, sf_dir):
     return score(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
+@query
+def op3_brown_lm(spark, sf_dir):
+    from .brown import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_token_files(spark, sf_dir):
     from .tokenfiles import round_trip
