@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from .linededup import ORACLE as LINE_DEDUP
 from .runtime import table
 
 QUERIES = {}
-ORACLES = {}
+ORACLES = {"op5_line_dedup": LINE_DEDUP}
 
 
 def query(f):
@@ -41,6 +42,13 @@ def op4_token_files(spark, sf_dir):
     return round_trip(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
+@query
+def op5_line_dedup(spark, sf_dir):
+    from .linededup import dedup
+
+    return dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
 @query
 def op7_sharding(spark, sf_dir):
     from .shards import shard
