@@ -77,3 +77,10 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.w, c.w)::BIGIN
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
+
+
+@query
+def op10_jaccard_join(spark, sf_dir):
+    from .jaccard import join_documents
+
+    return join_documents(table(spark, sf_dir, "documents"))
