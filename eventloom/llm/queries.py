@@ -20,6 +20,13 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_decontamination(spark, sf_dir):
+    from .decontam import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op2_quality(spark, sf_dir):
     from .quality import score, train
