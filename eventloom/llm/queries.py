@@ -56,6 +56,13 @@ def op5_line_dedup(spark, sf_dir):
     return dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
 
+@query
+def op6_substring_dedup(spark, sf_dir):
+    from .substrings import remove
+
+    return remove(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_sharding(spark, sf_dir):
     from .shards import shard
