@@ -68,7 +68,8 @@ def signatures(s: np.ndarray, offs: np.ndarray, percent: int) -> tuple[np.ndarra
         for step in range(int((last - own)[n > 0].max(initial=0)) + 1):
             c = own + step
             for one in (True, False):
-                rows = np.flatnonzero((n > 0) & (c <= last) & ((differ[c] == 1) if one else (differ[c] > 1)))
+                d = differ[np.minimum(c, last)]
+                rows = np.flatnonzero((n > 0) & (c <= last) & ((d == 1) if one else (d > 1)))
                 if not len(rows):
                     continue
                 m, cls = n[rows], c[rows]
