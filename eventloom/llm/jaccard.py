@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .linededup import _sided
+from .linededup import sided
 from .links import components
 from .runtime import stored
 
@@ -268,12 +268,12 @@ def join_documents(docs: DataFrame, words: int = 3, percent: int = 90, weight: i
                 part = [b.column(i).slice(lo, hi - lo) for i in (1, 2, 3, 4)]
                 yield pa.RecordBatch.from_arrays([*part, pa.array([view[x:y] for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["node", "comp", "blocks", "block", "set"]).filter(same)
 
-    text = rows.join(_sided(inside), rows.doc_id.eqNullSafe(inside.rep))
+    text = rows.join(sided(inside), rows.doc_id.eqNullSafe(inside.rep))
     whole = text.select("text", "node", "comp", "blocks", "block").mapInArrow(sets, "node long, comp long, blocks int, block int, set binary")
     meet = whole.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
     label = components(stored(_links(meet, percent), "links"))
     named = classes.select("node", "rep").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     named = stored(named.join(least, "label").select("node", "component_id"), "components")
-    out = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("class_id")).join(_sided(named), F.col("class_id") == F.col("node"), "left")
+    out = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("class_id")).join(sided(named), F.col("class_id") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "class_id")

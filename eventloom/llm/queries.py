@@ -14,7 +14,7 @@ def query(f):
     return f
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -46,7 +46,7 @@ def op3_brown_lm(spark, sf_dir):
 def op4_token_files(spark, sf_dir):
     from .tokenfiles import round_trip
 
-    return round_trip(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+    return round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 @query
@@ -74,7 +74,7 @@ def op7_sharding(spark, sf_dir):
 def op8_packing(spark, sf_dir):
     from .packing import pack
 
-    return pack(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+    return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 @query
