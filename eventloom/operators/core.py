@@ -121,7 +121,7 @@ def sort_keys(df: DataFrame, by: tuple[str, ...], reverse: bool = False, order:
         n = F.when(v.col, 1.0).otherwise(0.0) if v.kind == "bool" else n
         absent = v.col.isNull() if v.kind != "missing" else F.lit(True)
         rank = F.when(absent, 2).when(n.isNotNull(), 0).otherwise(1)
-        word = V.fold(V.text(v))
+        word = F.when(n.isNull(), V.fold(V.text(v)))
         if i == 0:
             out.append(absent.asc())
         out += [c.desc() if reverse else c.asc() for c in (rank, n, word)]

@@ -12,23 +12,25 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 
+def stem(word: str) -> str:
+    w = word.lower()
+    for end, least in (("ies", 7), ("ing", 7), ("ed", 6), ("es", 5), ("s", 4), ("y", 5)):
+        if w.endswith(end) and len(w) >= least and not re.search("(ss|us|is|ws)$", w):
+            return w[: -len(end)]
+    return w
+
+
 def pattern(word: str) -> str:
     """A question's word as a pattern for its forms: short ones whole, longer ones open at the end."""
-    stem = word.lower()
-    for end, least in (("ies", 7), ("ing", 7), ("ed", 6), ("es", 5), ("s", 4), ("y", 5)):
-        if stem.endswith(end) and len(stem) >= least and not re.search("(ss|us|is|ws)$", stem):
-            stem = stem[: -len(end)]
-            break
-    quoted = re.sub(r"([^\w])", r"\\\1", stem)
-    tail = r"(?:s|es|ed|ing)?\b" if len(stem) <= 3 else r"\w*" if len(stem) >= 5 else r"(?:s|es|ed|er|ers|ing|y|ies)?\b"
+    base = stem(word)
+    quoted = re.sub(r"([^\w])", r"\\\1", base)
+    tail = r"(?:s|es|ed|ing)?\b" if len(base) <= 3 else r"\w*" if len(base) >= 5 else r"(?:s|es|ed|er|ers|ing|y|ies)?\b"
     return rf"(?i)\b{quoted}{tail}"
 
 
 def has(word: str, text: Column) -> Column:
     """A plain look for the stem first, which most rows fail, then the pattern."""
-    p = pattern(word)
-    stem = re.sub(r"\\(.)", r"\1", re.match(r"\(\?i\)\\b((?:\\.|\w)+)", p)[1])
-    return F.contains(F.lower(text), F.lit(stem)) & text.rlike(p)
+    return F.contains(F.lower(text), F.lit(stem(word))) & text.rlike(pattern(word))
 
 
 def find(items: DataFrame, words: list[str], feeds: list[str] | None = None, limit: int | None = None, order: tuple[str, ...] = ("date", "key")) -> DataFrame:
