@@ -55,7 +55,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             data, offs = tk.flat(b.column(0))
-            for _, _, d, o in tk.slices(data, offs, 2 * tk.SLICE_BYTES):
+            for _, _, d, o in tk.slices(data, offs, tk.SLICE_BYTES):
                 w, _ = tk.words(d, o)
                 coded = w.dictionary_encode()
                 c = np.bincount(coded.indices.to_numpy(zero_copy_only=False), minlength=len(coded.dictionary))
@@ -89,7 +89,7 @@ def encode(docs: DataFrame, places: Places) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0).slice(lo, n), b.column(1).slice(lo, n), pa.array(np.diff(bounds) + 1), pa.array([view[2 * x : 2 * y] for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary()),
-                        pa.array(np.bincount(row[own], logs[own], n)), pa.array(np.bincount(row[own], minlength=n).astype(np.int64)),
+                        pa.array(np.bincount(row[own], logs[own], n).astype(np.float64)), pa.array(np.bincount(row[own], minlength=n).astype(np.int64)),
                         pa.ListArray.from_arrays(pa.array(cut), words), pa.ListArray.from_arrays(pa.array(cut), pa.array(times.astype(np.int64))),
                     ], names=["doc_id", "held_out", "n_tokens", "places", "own_log", "own_known", "tail", "times"],
                 )
@@ -97,28 +97,29 @@ def encode(docs: DataFrame, places: Places) -> DataFrame:
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, places binary, own_log double, own_known long, tail array<binary>, times array<long>")
 
 
-def _sequences(column: pa.Array, end: int) -> np.ndarray:
-    """The places of all texts, each closed by `end`; the first has one before it too."""
+def _sequences(column: pa.Array, end: int):
+    """The places of runs of texts, each text closed by `end` and a run's first with one before it, and the texts' sizes."""
     data, offs = tk.flat(column)
-    n, counts = len(offs) - 1, np.diff(offs) // 2
-    out = np.full(counts.sum() + n + 1, end, np.int64)
-    inner = np.ones(len(out), bool)
-    inner[0] = False
-    inner[np.cumsum(counts + 1)] = False
-    out[inner] = np.frombuffer(data.tobytes(), "<u2")
-    return out
+    for _, _, part, o in tk.slices(data, offs, 1 << 19):
+        n, counts = len(o) - 1, np.diff(o) // 2
+        out = np.full(counts.sum() + n + 1, end, np.int32)
+        inner = np.ones(len(out), bool)
+        inner[0] = False
+        inner[np.cumsum(counts + 1)] = False
+        out[inner] = np.frombuffer(part.tobytes(), "<u2")
+        yield out, counts + 1
 
 
 def _sums(df: DataFrame, cells: int, collect) -> np.ndarray:
-    """Dense sums of `collect(batch) -> (cells, numbers)` over all rows: each task adds its own, chunks of cells are added up
-    in streams, and the driver gets one array of `cells` numbers, a size that the model's bounds set."""
+    """Dense sums of the (cells, numbers) that collect(batch) yields over all rows: each task adds its own, chunks of cells are
+    added up in streams, and the driver gets one array of `cells` numbers, a size that the model's bounds set."""
     spark = df.sparkSession
 
     def part(batches):
         total = np.zeros(-(-cells // CHUNK) * CHUNK, np.int64)
         for b in batches:
-            at, many = collect(b)
-            total += np.bincount(at, many, len(total)).astype(np.int64)
+            for at, many in collect(b):
+                np.add.at(total, at, many)
         for i in np.flatnonzero(total.reshape(-1, CHUNK).any(1)).tolist():
             x = total[i * CHUNK : (i + 1) * CHUNK]
             at = np.flatnonzero(x)
@@ -148,10 +149,10 @@ def contexts(train: DataFrame, classes: np.ndarray, many: int) -> tuple[np.ndarr
     size = places * many
 
     def collect(b):
-        s = _sequences(b.column(0), end)
-        c = classes[s]
-        at, n = np.unique(np.concatenate((s[:-1] * many + c[1:], size + s[1:] * many + c[:-1])), return_counts=True)
-        return at, n
+        for s, _ in _sequences(b.column(0), end):
+            c = classes[s]
+            yield s[:-1] * many + c[1:], 1
+            yield size + s[1:] * many + c[:-1], 1
 
     got = _sums(train.select("places"), 2 * size, collect)
     return got[:size].reshape(places, many), got[size:].reshape(places, many)
@@ -209,7 +210,8 @@ def score(docs: DataFrame, words: int = WORDS, classes: int = CLASSES, rounds: i
     counts = stored(word_counts(texts), "words")
     top = counts.filter(F.octet_length("word") <= WORD_BYTES).orderBy(F.desc("c"), "word").limit(words).toArrow()
     places = Places(top["word"].to_pylist(), np.array(top["c"].to_pylist(), np.int64))
-    encoded = stored(encode(texts, places), "places")
+    # The written table gives every row a number that stays.
+    encoded = stored(encode(texts, places).withColumn("row", F.monotonically_increasing_id()), "places")
     train = encoded.filter(~F.col("held_out"))
 
     own, end = len(places.words), places.end
@@ -218,7 +220,7 @@ def score(docs: DataFrame, words: int = WORDS, classes: int = CLASSES, rounds: i
         at, _ = places.of(b.column(0).cast(pa.large_binary()))
         n = np.bincount(at, minlength=end + 1)
         c = np.bincount(at, b.column(1).to_numpy(zero_copy_only=False), end + 1)
-        return np.arange(2 * (end + 1)), np.concatenate((n, c))
+        yield np.arange(2 * (end + 1)), np.concatenate((n, c)).astype(np.int64)
 
     got = _sums(counts.select("word", "c"), 2 * (end + 1), kinds)
     n_kinds, n_tokens = got[: end + 1], got[end + 1 :]
@@ -241,14 +243,14 @@ def score(docs: DataFrame, words: int = WORDS, classes: int = CLASSES, rounds: i
 
     def local(batches):
         for b in batches:
-            s = cls[_sequences(b.column(1), end)]
-            steps = table[s[:-1], s[1:]]
-            sizes = np.diff(tk.flat(b.column(1))[1]) // 2 + 1
-            ends_ = np.concatenate(([0], np.cumsum(steps)))[np.concatenate(([0], np.cumsum(sizes)))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(ends_))], names=["row", "local"])
-
-    # The written table gives every row a number that stays.
-    rows = stored(encoded.withColumn("row", F.monotonically_increasing_id()), "rows")
+            parts = []
+            for places_, sizes in _sequences(b.column(1), end):
+                s = cls[places_]
+                sums = np.concatenate(([0], np.cumsum(table[s[:-1], s[1:]])))
+                parts.append(np.diff(sums[np.concatenate(([0], np.cumsum(sizes)))]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(parts) if parts else np.zeros(0))], names=["row", "local"])
+
+    rows = encoded
     tail = rows.select("row", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("row", F.col("t.tail").alias("word"), "t.times")
     c = F.coalesce("c", F.lit(0))
     rare = tail.join(counts, "word", "left").groupBy("row").agg(F.sum(F.col("times") * F.log10(c + 0.1)).alias("tail_log"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("tail_known"))
