@@ -124,7 +124,7 @@ def documents(data: bytes):
     docs = np.frombuffer(data, "<i8", n, at + 8 * frames)
     null = np.frombuffer(data, "u1", n, at + 8 * (frames + n)).astype(bool)
     ends = np.frombuffer(data, "<u8", n, at + 8 * (frames + n) + n).astype(np.int64)
-    limits = np.append(starts[1:], foot)
+    limits = np.append(starts[1:], foot)[: len(starts)]
     held, base, done = np.zeros(0, "<u4"), 0, 0
     for lo, hi in zip(starts.tolist(), limits.tolist(), strict=True):
         held = np.concatenate((held, decode_frame(data[lo:hi])))
@@ -133,6 +133,8 @@ def documents(data: bytes):
             first = np.concatenate(([base], ends[done:upto]))
             yield [None if z else d for d, z in zip(docs[done:upto].tolist(), null[done:upto].tolist(), strict=True)], first, held[: first[-1] - base]
             held, base, done = held[first[-1] - base :], int(first[-1]), upto
+    if done < n:  # documents without ids after the last frame
+        yield [None if z else d for d, z in zip(docs[done:].tolist(), null[done:].tolist(), strict=True)], np.full(n - done + 1, base), held
 
 
 def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
