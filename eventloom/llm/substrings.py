@@ -50,8 +50,8 @@ def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
 
 
 def regions(data: np.ndarray, offs: np.ndarray, size: int = SIZE, k: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Row, first window, number of windows, k-gram hash and region hash of every region of the rows."""
-    out = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * 2
+    """Row, first window, number of windows, place of the k-gram, k-gram hash and region hash of every region of the rows."""
+    out = [np.zeros(0, np.int64)] * 4 + [np.zeros(0, np.uint64)] * 2
     got = [[x] for x in out]
     lens = np.diff(offs)
     for row in np.flatnonzero(lens > PIECE).tolist():
@@ -75,7 +75,7 @@ def _regions(data: np.ndarray, offs: np.ndarray, size: int, k: int) -> tuple[np.
     starts = np.maximum(lens - size + 1, 0)
     v = tk.gather(np.arange(n), offs[:-1], starts)
     if not len(v):
-        return *[np.zeros(0, np.int64)] * 3, *[np.zeros(0, np.uint64)] * 2
+        return *[np.zeros(0, np.int64)] * 4, *[np.zeros(0, np.uint64)] * 2
     h = gram_hashes(data, k)
     key = (h >> np.uint64(PLACE) << np.uint64(PLACE)) | np.arange(n, dtype=np.uint64)
     full = np.full(-(-(n + w) // w) * w, np.iinfo(np.uint64).max)
@@ -89,7 +89,7 @@ def _regions(data: np.ndarray, offs: np.ndarray, size: int, k: int) -> tuple[np.
     lo = v[first]
     view = memoryview(np.ascontiguousarray(data))
     own = np.fromiter((xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(lo.tolist(), (lo + many + size - 1).tolist(), strict=True)), np.uint64, len(lo))
-    return row[first], lo - offs[row[first]], many, h[at[first]], own
+    return row[first], lo - offs[row[first]], many, at[first] - lo, h[at[first]], own
 
 
 def _least(lcp: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -171,30 +171,74 @@ def _spans(flags: np.ndarray, size: int) -> list[int]:
     return np.stack((np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) + size - 1), 1).ravel().tolist()
 
 
+def _common(a: bytes, b: bytes) -> int:
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    return int((np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)).argmax())
+
+
+def shared(group: list[tuple[bytes, int]]) -> list[tuple[int, int]]:
+    """For each (region, place of its k-gram), the stretch around the k-gram that any other region of the group can share: as
+    far right and as far left as its closest neighbours in the order of what follows, and of what comes before backwards."""
+    reach = []
+    for parts in ([r[k:] for r, k in group], [r[:k][::-1] for r, k in group]):
+        far, order = [0] * len(group), sorted(range(len(group)), key=parts.__getitem__)
+        for i, j in zip(order[:-1], order[1:], strict=True):
+            n = _common(parts[i], parts[j])
+            far[i], far[j] = max(far[i], n), max(far[j], n)
+        reach.append(far)
+    return [(k - left, k + right) for (_, k), right, left in zip(group, *reach, strict=True)]
+
+
 def _decide(meet: DataFrame, size: int) -> DataFrame:
-    """f, rh, spans of each region with repeated windows; rows with equal f stand together."""
+    """f, rh, spans of each region with repeated windows; rows with equal f stand together.
 
-    def run(batches):
-        rows: list[tuple] = []
+    A region that has its k-gram alone is repeated where it stands again, and nowhere else. Of the others, only stretches that
+    two regions can share, if `size` bytes long, are documents of the construction."""
 
-        def lot(part):
-            flags = repeated([r[3] for r in part], size)
-            flags = [np.ones(len(x), bool) if r[2] else x for r, x in zip(part, flags, strict=True)]
-            hit = [(r[0], r[1], _spans(x, size)) for r, x in zip(part, flags, strict=True) if x.any()]
-            if hit:
-                f, rh, spans = zip(*hit, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()), pa.array(rh, pa.int64()), pa.array(spans, pa.list_(pa.int32()))], names=["f", "rh", "spans"])
+    def run(batches):
+        group: list[tuple] = []
+        lot: list[tuple] = []
+        hit: list[tuple] = []
+
+        def close():
+            for r in group:
+                if r[2]:
+                    hit.append((r[0], r[1], [0, len(r[3])]))
+            if len(group) > 1:
+                for r, (lo, hi) in zip(group, shared([(r[3], r[4]) for r in group]), strict=True):
+                    if hi - lo >= size:
+                        lot.append((r, lo, r[3][lo:hi]))
+
+        def build():
+            for (r, lo, _), flags in zip(lot, repeated([x[2] for x in lot], size), strict=True):
+                if flags.any() and not r[2]:
+                    hit.append((r[0], r[1], [lo + x for x in _spans(flags, size)]))
+            lot.clear()
+
+        def out():
+            f, rh, spans = zip(*hit, strict=True)
+            hit.clear()
+            return pa.RecordBatch.from_arrays([pa.array(f, pa.int64()), pa.array(rh, pa.int64()), pa.array(spans, pa.list_(pa.int32()))], names=["f", "rh", "spans"])
 
         for b in batches:
             for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if len(rows) >= LOT and r[0] != rows[-1][0]:
-                    yield from lot(rows)
-                    rows = []
-                rows.append(r)
-        if rows:
-            yield from lot(rows)
-
-    return meet.select("f", "rh", "many", "region").repartition("f").sortWithinPartitions("f", "rh").mapInArrow(run, "f long, rh long, spans array<int>")
+                if group and r[0] != group[-1][0]:
+                    close()
+                    group = []
+                    if len(lot) >= LOT:
+                        build()
+                    if len(hit) >= LOT:
+                        yield out()
+                group.append(r)
+        close()
+        if lot:
+            build()
+        if hit:
+            yield out()
+
+    return meet.select("f", "rh", "many", "region", "gram").repartition("f").sortWithinPartitions("f", "rh").mapInArrow(run, "f long, rh long, spans array<int>")
 
 
 def _crowded(meet: DataFrame, size: int) -> DataFrame:
@@ -228,16 +272,16 @@ def remove(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col:
         for b in batches:
             data, offs = tk.flat(b.column(2))
             for lo, _, part, po in tk.slices(data, offs):
-                row, at, many, f, rh = regions(part, po, size, min(GRAM, size))
+                row, at, many, gram, f, rh = regions(part, po, size, min(GRAM, size))
                 take = pa.array(row + lo)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(at.astype(np.int32)), pa.array(many.astype(np.int32)), pa.array(f.view(np.int64)), pa.array(rh.view(np.int64))], names=["d", "th", "at", "n", "f", "rh"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(at.astype(np.int32)), pa.array(many.astype(np.int32)), pa.array(gram.astype(np.int32)), pa.array(f.view(np.int64)), pa.array(rh.view(np.int64))], names=["d", "th", "at", "n", "gram", "f", "rh"])
 
-    found = rows.filter(F.octet_length("text") >= size).mapInArrow(find, "d long, th long, at int, n int, f long, rh long")
+    found = rows.filter(F.octet_length("text") >= size).mapInArrow(find, "d long, th long, at int, n int, gram int, f long, rh long")
     w = Window.partitionBy("f").orderBy("rh", "d", "th", "at")
     marked = found.select("*", F.lag("rh").over(w).alias("before"), F.lead("rh").over(w).alias("after")).filter("before is not null or after is not null")
-    marked = stored(marked.select("d", "th", "at", "n", "f", "rh", (F.col("before").isNull() | (F.col("before") != F.col("rh"))).alias("first"), F.coalesce(F.col("after") == F.col("rh"), F.lit(False)).alias("many")), "regions")
+    marked = stored(marked.select("d", "th", "at", "n", "gram", "f", "rh", (F.col("before").isNull() | (F.col("before") != F.col("rh"))).alias("first"), F.coalesce(F.col("after") == F.col("rh"), F.lit(False)).alias("many")), "regions")
 
-    lists = marked.filter("first").groupBy("d", "th").agg(F.collect_list(F.struct("f", "rh", "many", "at", "n")).alias("own")).withColumnsRenamed({"d": "ld", "th": "lth"})
+    lists = marked.filter("first").groupBy("d", "th").agg(F.collect_list(F.struct("f", "rh", "many", "at", "n", "gram")).alias("own")).withColumnsRenamed({"d": "ld", "th": "lth"})
     same = F.col("d").eqNullSafe(F.col("ld")) & (F.col("th") == F.col("lth"))
 
     def cut(batches):
@@ -245,12 +289,12 @@ def remove(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col:
             data, offs = tk.flat(b.column(0))
             for base, own in zip(offs[:-1].tolist(), b.column(1).to_pylist(), strict=True):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([o[x] for o in own], t) for x, t in (("f", pa.int64()), ("rh", pa.int64()), ("many", pa.bool_()))]
+                    [pa.array([o[x] for o in own], t) for x, t in (("f", pa.int64()), ("rh", pa.int64()), ("many", pa.bool_()), ("gram", pa.int32()))]
                     + [pa.array([data[base + o["at"] : base + o["at"] + o["n"] + size - 1].tobytes() for o in own], pa.binary())],
-                    names=["f", "rh", "many", "region"],
+                    names=["f", "rh", "many", "gram", "region"],
                 )
 
-    meet = stored(rows.join(lists, same).select("text", "own").mapInArrow(cut, "f long, rh long, many boolean, region binary"), "meet")
+    meet = stored(rows.join(lists, same).select("text", "own").mapInArrow(cut, "f long, rh long, many boolean, gram int, region binary"), "meet")
     crowds = meet.groupBy("f").count().filter(F.col("count") > CROWD).select("f").limit(100_000)
     if crowds.isEmpty():
         decided = _decide(meet, size)

@@ -119,10 +119,26 @@ def test_remove(spark, monkeypatch):
     assert substrings.remove(df.limit(0), size=40).count() == 0
 
 
+def test_shared_stretches_hold_all_that_two_regions_share():
+    for seed in range(100):
+        r = random.Random(seed)
+        base = [bytes(r.choice(b"ab") for _ in range(12)) for _ in range(3)]
+        group = [(r.choice(base)[r.randint(0, 12) :] + b"KEY" + r.choice(base)[: r.randint(0, 12)]) for _ in range(r.randint(2, 7))]
+        group = [(g, g.index(b"KEY")) for g in dict.fromkeys(group)]
+        if len(group) < 2:
+            continue
+        for (a, k), (lo, hi) in zip(group, substrings.shared(group)):
+            for b, m in group:
+                if b != a:
+                    right = next((i for i in range(min(len(a) - k, len(b) - m)) if a[k + i] != b[m + i]), min(len(a) - k, len(b) - m))
+                    left = next((i for i in range(min(k, m)) if a[k - 1 - i] != b[m - 1 - i]), min(k, m))
+                    assert lo <= k - left and hi >= k + right
+
+
 def test_pieces_of_long_texts(monkeypatch):
     monkeypatch.setattr(substrings, "PIECE", 500)
     data = np.frombuffer(bytes(random.Random(1).choice(b"abcd") for _ in range(2600)), np.uint8)
-    row, at, many, _, _ = substrings.regions(data, np.array([0, 100, 2600]), 60, 16)
+    row, at, many, *_ = substrings.regions(data, np.array([0, 100, 2600]), 60, 16)
     assert sorted((r, s) for r, a, n in zip(row.tolist(), at.tolist(), many.tolist()) for s in range(a, a + n)) == [(0, s) for s in range(41)] + [(1, s) for s in range(2441)]
 
 
