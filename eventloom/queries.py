@@ -748,3 +748,89 @@ def ml_tfidf_kmeans(spark, d):
     from .operators.learn import clusters
 
     return clusters(t(spark, d, "documents").select("doc_id", "text"), 8)
+
+
+# Records, feeds and windows -------------------------------------------------------------------------------------------
+
+
+@query("SELECT c_custkey, round(2 * 6371 * asin(sqrt(least(1.0, pow(sin(radians(c_nationkey - 10) / 2), 2) + cos(radians(10)) * cos(radians(c_nationkey)) * pow(sin(radians(c_custkey % 180) / 2), 2)))), 3) AS km FROM customer")
+def haversine_km(spark, d):
+    c = t(spark, d, "customer")
+    return c.select("c_custkey", F.round(joins.km(F.lit(10.0), F.lit(0.0), F.col("c_nationkey").cast("double"), (F.col("c_custkey") % 180).cast("double")), 3).alias("km"))
+
+
+@query("SELECT p_partkey, ((p_size * 4 >= 64)::INTEGER + (p_size * 4 >= 83)::INTEGER + (p_size * 4 >= 96)::INTEGER + (p_size * 4 >= 113)::INTEGER + (p_size * 4 >= 137)::INTEGER)::INTEGER AS category FROM part")
+def storm_category(spark, d):
+    return t(spark, d, "part").select("p_partkey", records.storm_category(F.col("p_size") * 4).alias("category"))
+
+
+@query("""WITH r AS (SELECT o_custkey % 40 AS spe_id, o_orderkey % 500 AS tran_id, o_orderpriority AS amndt_ind, o_orderkey AS image_num, o_totalprice AS exp_amo FROM orders),
+l AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY spe_id, tran_id ORDER BY amndt_ind DESC, image_num DESC) = 1)
+SELECT spe_id, tran_id, image_num, exp_amo, n_name AS committee FROM l JOIN nation ON n_nationkey = spe_id WHERE exp_amo >= 100000""")
+def outside_spending(spark, d):
+    r = t(spark, d, "orders").selectExpr("o_custkey % 40 as spe_id", "o_orderkey % 500 as tran_id", "o_orderpriority as amndt_ind", "o_orderkey as image_num", "o_totalprice as exp_amo")
+    c = t(spark, d, "nation").selectExpr("cast(n_nationkey as long) as spe_id", "n_name as name")
+    return records.outside_spending(r, c, 100000).select("spe_id", "tran_id", "image_num", "exp_amo", "committee")
+
+
+@query("SELECT l_orderkey AS accession, max(CASE WHEN l_linenumber = 1 THEN l_partkey::VARCHAR END) AS subject, coalesce(array_to_string(list_sort(list(DISTINCT l_suppkey::VARCHAR) FILTER (WHERE l_linenumber > 1)), ' '), '') AS filed_by FROM lineitem GROUP BY 1")
+def stake_parties(spark, d):
+    x = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("accession"), F.when(F.col("l_linenumber") == 1, "Subject").otherwise("Filed by").alias("role"), F.when(F.col("l_linenumber") == 1, F.col("l_partkey")).otherwise(F.col("l_suppkey")).cast("string").alias("party"))
+    return records.stakes(x).withColumn("filed_by", F.array_join("filed_by", " "))
+
+
+@query("SELECT count(*) FILTER (WHERE o_orderkey % 4 = 0) AS fresh, count(*) AS whole, count(*) FILTER (WHERE o_orderkey % 4 = 0) > count(*) * 0.2 AS unstable FROM orders")
+def check_stable_keys(spark, d):
+    o = t(spark, d, "orders").select(F.col("o_orderkey").alias("key"))
+    return catalog.stable_keys(o.filter("key % 4 <> 0"), o)
+
+
+@query("SELECT page_id, regexp_replace(url || '?utm_source=x&id=' || page_id || '&gclid=9', '\\?.*$', '') || '?id=' || page_id AS link FROM pages")
+def clean_links(spark, d):
+    p = t(spark, d, "pages")
+    return p.select("page_id", X.clean_link(F.concat(F.regexp_replace("url", r"\?.*$", ""), F.lit("?utm_source=x&id="), "page_id", F.lit("&gclid=9"))).alias("link"))
+
+
+@query("""WITH n AS (SELECT o_orderkey::VARCHAR AS id, strftime(o_orderdate, '%Y-%m-%d') AS date, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1 END AS age FROM orders)
+SELECT id, date FROM n ORDER BY age, date DESC, id LIMIT 200""")
+def feed_history(spark, d):
+    o = t(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), "o_orderkey")
+    from .sources import sinks
+
+    return sinks.merged_history(o.filter("o_orderkey % 3 = 0").drop("o_orderkey"), o.drop("o_orderkey"), 200)
+
+
+@query("SELECT count(*) AS messages, max(n) - 20 AS more FROM (SELECT 1 AS x, (SELECT count(*) FROM orders) AS n FROM range(21))")
+def webhook_overflow(spark, d):
+    from .sources import sinks
+
+    o = t(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("title"), F.col("o_orderpriority").alias("link"))
+    m = sinks.messages(o, 20, "o_orderkey")
+    return m.agg(F.count(F.lit(1)).alias("messages"), F.max(F.when(F.col("last") == 1, F.regexp_extract("payload", r"and (\d+) more", 1).cast("long"))).alias("more"))
+
+
+@query("""WITH k AS (SELECT DISTINCT ON (user_id) event_id, user_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-29' ORDER BY user_id, event_id)
+SELECT event_id, strftime(DATE '2024-01-01' + (date_diff('day', DATE '2024-01-01', ts::DATE) // 7 * 7)::INTEGER, '%Y-%m-%d') AS "window" FROM k""")
+def backfill_windows(spark, d):
+    from datetime import date
+
+    from .plans import pipeline
+
+    e = t(spark, d, "events").select("event_id", "user_id", "ts")
+    got = pipeline.backfill(e, date(2024, 1, 1), date(2024, 1, 29), 7, [{"filter": {"expr": "event_id >= 0"}}], pipeline.Context(spark, order="event_id"), "ts", "user_id")
+    return got.select("event_id", F.date_format("window", "yyyy-MM-dd").alias("window"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_totalprice >= 1000 THEN 'Order of ' || o_orderstatus END AS title FROM orders WHERE regexp_matches(o_orderpriority, 'HIGH|URGENT') AND o_totalprice >= 1000")
+def pipeline_stages(spark, d):
+    from .plans import pipeline
+
+    stages = [{"grep": {"patterns": ["high", "urgent"], "field": ["o_orderpriority"]}}, {"filter": {"expr": "o_totalprice >= 1000"}}, {"map": {"set": ["title='Order of ' + o_orderstatus"]}}, {"select": {"fields": ["o_orderkey", "title"]}}]
+    return pipeline.build(t(spark, d, "orders"), stages, pipeline.Context(spark, order="o_orderkey"))
+
+
+@query()
+def sparse_code_rows(spark, d):
+    from .operators.learn import sparse_code
+
+    return sparse_code(t(spark, d, "embeddings")).select("vec_id", F.array_join("code", " ").alias("code"))
