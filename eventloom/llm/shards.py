@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .runtime import stored
+
 #: Rows that one sort group has on average. Groups are ranges of uniform hashes or of ranks, so none is much larger.
 GROUP_ROWS = 20_000
 
@@ -36,7 +38,8 @@ def shard(docs: DataFrame, shards: int = 16, seed: int = 42, id_col: str = "doc_
         F.coalesce(F.concat(F.lit("="), F.col(f"`{source_col}`").cast("string")), F.lit("")).alias("source"),
         F.conv(F.substring(key, 1, 15), 16, 10).cast("long").alias("draw"),
     )
-    total = docs.count()
+    rows = stored(rows, "shard-keys")  # texts are read once
+    total = rows.count()
     groups = max(1, -(-total // group_rows))
     span = -(-(1 << 60) // groups)
     rows = rows.withColumn("part", F.expr(f"draw div {span}"))
