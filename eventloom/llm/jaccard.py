@@ -249,15 +249,25 @@ def join_documents(docs: DataFrame, words: int = 3, percent: int = 90, weight: i
 
     signed = stored(rows.mapInArrow(sign, "doc_id long, n_shingles long, node long, sig array<long>"), "signed")
     some = signed.filter("n_shingles > 0")
-    classes = stored(some.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
+    classes = stored(some.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")), "classes")
     w = Window.partitionBy("sig").orderBy("node")
-    met = classes.select("node", F.explode("sig").alias("sig")).withColumn("first", F.first("node").over(w)).filter("first <> node")
+    one = some.join(sided(classes.select(F.col("node").alias("own"), "rep")), (F.col("node") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("rep")))
+    met = one.select("node", F.explode("sig").alias("sig")).withColumn("first", F.first("node").over(w)).filter("first <> node")
     group = stored(components(met.select(F.col("first").alias("a"), F.col("node").alias("b"))), "groups")
     inside = group.join(classes.select("node", "rep", "n"), "node")
     load = inside.groupBy("label").agg(F.sum("n").alias("load"))
-    blocks = F.when(F.col("load") <= weight, 1).otherwise(F.ceil(F.col("load") * 2 / weight)).cast("int")
-    inside = inside.join(load.select("label", blocks.alias("blocks")), "label").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    inside = stored(inside.select(F.col("rep"), "node", F.col("label").alias("comp"), "blocks", "block"), "meet")
+    # A heavy group is split by size, so that linked sets are in the same cell or neighbours, and a heavy cell by hash; a
+    # set goes to the tasks of its block with each block of these cells only.
+    cell = F.floor(F.log("n") / (np.log(100 / percent) * 1.0001 if percent < 100 else 1.0)).cast("long")
+    inside = inside.join(load, "label").withColumn("g", F.when(F.col("load") <= weight, F.lit(0).cast("long")).otherwise(cell))
+    cells = inside.groupBy("label", "g").agg(F.when(F.max("load") <= weight, 1).otherwise(F.ceil(F.sum("n") * 2 / weight)).cast("int").alias("blocks"))
+    near = cells.select("label", F.explode(F.array(F.col("g") - 1, F.col("g"), F.col("g") + 1)).alias("g"), F.struct(F.col("g").alias("of"), "blocks").alias("p"))
+    near = near.groupBy("label", "g").agg(F.collect_list("p").alias("near"))  # three at most
+    inside = inside.join(cells, ["label", "g"]).join(near, ["label", "g"])
+    place = lambda g, k: g * F.lit(1 << 32) + k
+    inside = inside.withColumn("own", place(F.col("g"), F.pmod(F.xxhash64("node"), F.col("blocks"))))
+    meets = F.flatten(F.transform("near", lambda p: F.transform(F.sequence(F.lit(0), p["blocks"] - 1), lambda k: place(p["of"], k))))
+    inside = stored(inside.select("rep", "node", F.col("label").alias("comp"), "own", "near"), "meet")
 
     def sets(batches):
         for b in batches:
@@ -266,11 +276,11 @@ def join_documents(docs: DataFrame, words: int = 3, percent: int = 90, weight: i
                 view = s.tobytes()
                 at = (8 * offs).tolist()
                 part = [b.column(i).slice(lo, hi - lo) for i in (1, 2, 3, 4)]
-                yield pa.RecordBatch.from_arrays([*part, pa.array([view[x:y] for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["node", "comp", "blocks", "block", "set"]).filter(same)
+                yield pa.RecordBatch.from_arrays([*part, pa.array([view[x:y] for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["node", "comp", "own", "near", "set"]).filter(same)
 
-    text = rows.join(sided(inside), rows.doc_id.eqNullSafe(inside.rep))
-    whole = text.select("text", "node", "comp", "blocks", "block").mapInArrow(sets, "node long, comp long, blocks int, block int, set binary")
-    meet = whole.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    text = rows.join(sided(inside, 1 << 18), rows.doc_id.eqNullSafe(inside.rep))
+    whole = text.select("text", "node", "comp", "own", "near").mapInArrow(sets, "node long, comp long, own long, near array<struct<of:long,blocks:int>>, set binary")
+    meet = whole.select("node", "comp", "own", "set", F.explode(meets).alias("other")).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
     label = components(stored(_links(meet, percent), "links"))
     named = classes.select("node", "rep").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
