@@ -277,11 +277,13 @@ def remove(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(at.astype(np.int32)), pa.array(many.astype(np.int32)), pa.array(gram.astype(np.int32)), pa.array(f.view(np.int64)), pa.array(rh.view(np.int64))], names=["d", "th", "at", "n", "gram", "f", "rh"])
 
     found = rows.filter(F.octet_length("text") >= size).mapInArrow(find, "d long, th long, at int, n int, gram int, f long, rh long")
-    w = Window.partitionBy("f").orderBy("rh", "d", "th", "at")
-    marked = found.select("*", F.lag("rh").over(w).alias("before"), F.lead("rh").over(w).alias("after")).filter("before is not null or after is not null")
-    marked = stored(marked.select("d", "th", "at", "n", "gram", "f", "rh", (F.col("before").isNull() | (F.col("before") != F.col("rh"))).alias("first"), F.coalesce(F.col("after") == F.col("rh"), F.lit(False)).alias("many")), "regions")
-
-    lists = marked.filter("first").groupBy("d", "th").agg(F.collect_list(F.struct("f", "rh", "many", "at", "n", "gram")).alias("own")).withColumnsRenamed({"d": "ld", "th": "lth"})
+    found = stored(found, "regions")
+    # Equal regions become one row before anything is dealt by k-gram, so a passage in a third of all rows is no hot spot.
+    regions_ = found.groupBy("f", "rh").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("d", "th", "at", "n", "gram")).alias("first"))
+    regions_ = stored(regions_, "kinds")
+    twice = regions_.groupBy("f").agg(F.sum("c").alias("c")).filter("c > 1").select("f")
+    first = regions_.join(twice, "f").select("f", "rh", (F.col("c") > 1).alias("many"), "first.*")
+    lists = first.groupBy("d", "th").agg(F.collect_list(F.struct("f", "rh", "many", "at", "n", "gram")).alias("own")).withColumnsRenamed({"d": "ld", "th": "lth"})
     same = F.col("d").eqNullSafe(F.col("ld")) & (F.col("th") == F.col("lth"))
 
     def cut(batches):
@@ -302,7 +304,7 @@ def remove(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col:
         crowds = F.broadcast(stored(crowds, "crowds"))
         decided = _decide(meet.join(crowds, "f", "left_anti"), size).unionByName(_crowded(meet.join(crowds, "f", "left_semi"), size))
     decided = stored(decided, "decided")
-    spans = marked.select("d", "th", "at", "f", "rh").join(decided, ["f", "rh"]).select(F.col("d").alias("ld"), F.col("th").alias("lth"), F.transform("spans", lambda s: s + F.col("at")).alias("s")).groupBy("ld", "lth").agg(F.flatten(F.collect_list("s")).alias("spans"))
+    spans = found.select("d", "th", "at", "f", "rh").join(decided, ["f", "rh"]).select(F.col("d").alias("ld"), F.col("th").alias("lth"), F.transform("spans", lambda s: s + F.col("at")).alias("s")).groupBy("ld", "lth").agg(F.flatten(F.collect_list("s")).alias("spans"))
 
     def apply(batches):
         for b in batches:
