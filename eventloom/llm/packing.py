@@ -15,14 +15,66 @@ from .bpe import encoder, with_end
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Ids that are packed together: bounds a task's memory, and spreads the padding of a pool's last sequence over that many ids.
 POOL = 4 << 20
+NONE = (float("inf"), -1)
+
+
+class Room:
+    """Open sequences by fill: a heap of (cost, sequence) for each fill below `size`, and a tree of the heaps' least ones, so
+    that the cheapest of all sequences filled up to some level is found exactly, in steps of the logarithm of `size`."""
+
+    def __init__(self, many: int, size: int):
+        self.leaves = 1 << (size - 1).bit_length()
+        self.heaps = [[] for _ in range(size)]
+        self.heaps[0] = [(0.0, i) for i in range(many)]
+        self.least = [NONE] * (2 * self.leaves)
+        self._mend(0)
+
+    def _mend(self, level: int) -> None:
+        least, k = self.least, level + self.leaves
+        least[k] = self.heaps[level][0] if self.heaps[level] else NONE
+        while k > 1:
+            k >>= 1
+            new = min(least[2 * k], least[2 * k + 1])
+            if least[k] == new:
+                break
+            least[k] = new
+
+    def add(self, i: int, cost: float, level: int) -> None:
+        heapq.heappush(self.heaps[level], (cost, i))
+        self._mend(level)
+
+    def _take(self, k: int) -> int:
+        while k < self.leaves:
+            k = 2 * k if self.least[2 * k] == self.least[k] else 2 * k + 1
+        i = heapq.heappop(self.heaps[k - self.leaves])[1]
+        self._mend(k - self.leaves)
+        return i
+
+    def cheapest(self, level: int) -> int | None:
+        """Takes out the cheapest sequence with at most `level` ids (the first of equal ones), if there is one."""
+        lo, hi, best = self.leaves, self.leaves + level + 1, 0
+        while lo < hi:
+            if lo & 1:
+                best, lo = lo if self.least[lo] < self.least[best] else best, lo + 1
+            if hi & 1:
+                hi -= 1
+                best = hi if self.least[hi] < self.least[best] else best
+            lo, hi = lo >> 1, hi >> 1
+        return self._take(best) if self.least[best] != NONE else None
+
+    def emptiest(self) -> int:
+        k = 1
+        while k < self.leaves:
+            k = 2 * k if self.least[2 * k] != NONE else 2 * k + 1
+        return self._take(k)
 
 
 def assign(lengths: np.ndarray, size: int, linear: float, quadratic: float) -> list[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of each piece.
 
     Full windows of long documents are sequences of their own. What remains goes, in descending order of estimated
-    attention cost, to the sequence of the lowest cost so far that has room for it; there are as many sequences as the
-    ids need, and a piece that fits nowhere whole is cut over the emptiest ones. So less than one sequence is padding.
+    attention cost, to the sequence of the lowest cost so far that has room for it, among all; there are as many sequences as the
+    ids need, and only a piece that no sequence has room for is cut, over the emptiest ones. So less than one sequence is padding.
     """
     pieces, nxt, rest = [], 0, []
     for d, n in enumerate(lengths.tolist()):
@@ -33,32 +85,30 @@ def assign(lengths: np.ndarray, size: int, linear: float, quadratic: float) -> l
             rest.append((n % size, d, full * size))
     rest.sort(key=lambda x: (-(linear * x[0] + quadratic * x[0] * x[0]), x[1]))
     many = -(-sum(n for n, _, _ in rest) // size)
-    fill = [0] * many
-    heap = [(0.0, i) for i in range(many)]
+    fill, cost = [0] * many, [0.0] * many
+    room = Room(many, size)
+
+    def put(i, d, start, n):
+        pieces.append((d, start, n, nxt + i, fill[i]))
+        fill[i] += n
+        cost[i] += linear * n + quadratic * n * n
+        if fill[i] < size:
+            room.add(i, cost[i], fill[i])
+
     for n, d, start in rest:
-        # Nothing later is longer, but shorter ones may still fit: sequences that are too full are set aside and put back.
-        aside = []
-        while heap and fill[heap[0][1]] + n > size and len(aside) < 64:
-            aside.append(heapq.heappop(heap))
-        if heap and fill[heap[0][1]] + n <= size:
-            cost, i = heapq.heappop(heap)
-            pieces.append((d, start, n, nxt + i, fill[i]))
-            fill[i] += n
-            if fill[i] < size:
-                heapq.heappush(heap, (cost + linear * n + quadratic * n * n, i))
-        else:
-            aside.sort(key=lambda x: (fill[x[1]], x))
-            aside, open_ = [], aside
-            while n:
-                cost, i = open_.pop(0) if open_ else heapq.heappop(heap)
-                m = min(n, size - fill[i])
-                pieces.append((d, start, m, nxt + i, fill[i]))
-                fill[i], start, n = fill[i] + m, start + m, n - m
-                if fill[i] < size:
-                    aside.append((cost + linear * m + quadratic * m * m, i))
-            aside += open_
-        for x in aside:
-            heapq.heappush(heap, x)
+        i = room.cheapest(size - n)
+        if i is not None:
+            put(i, d, start, n)
+            continue
+        # None has room: none of those taken for an earlier cut comes back before this one is whole.
+        cut = []
+        while n:
+            i = room.emptiest()
+            m = min(n, size - fill[i])
+            cut.append((i, d, start, m))
+            start, n = start + m, n - m
+        for x in cut:
+            put(*x)
     return pieces
 
 
