@@ -472,6 +472,11 @@ def rank_notable_interleave(spark, d):
     return search.interleave(x, "o_orderkey").select("o_orderkey", "turn")
 
 
+def _asked(v):
+    """Frequent words with their third and fourth letters exchanged."""
+    return v.filter((F.length("word") >= 6) & (F.col("n") >= 20)).select(F.expr("substr(word, 1, 2) || substr(word, 4, 1) || substr(word, 3, 1) || substr(word, 5)").alias("word"))
+
+
 @query(f"""WITH {ITEMS}, v AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(concat_ws(' ', title, summary)), '\\b[a-z]{{4,}}\\b')) AS word FROM items WHERE regexp_full_match(concat_ws(' ', title, summary), '[ -~\\n]*')) GROUP BY word),
 q AS (SELECT DISTINCT substr(word, 1, 2) || substr(word, 4, 1) || substr(word, 3, 1) || substr(word, 5) AS word FROM v WHERE length(word) >= 6 AND n >= 20),
 u AS (SELECT word FROM q WHERE word NOT IN (SELECT word FROM v)),
@@ -480,8 +485,7 @@ SELECT word, w AS fixed FROM c QUALIFY row_number() OVER (PARTITION BY word ORDE
 def typo_vocab(spark, d):
     safe = F.concat_ws(" ", "title", "summary").rlike("^[ -~\\n]*$")
     v = search.vocabulary(_items(spark, d).filter(safe))
-    asked = v.filter((F.length("word") >= 6) & (F.col("n") >= 20)).select(F.expr("substr(word, 1, 2) || substr(word, 4, 1) || substr(word, 3, 1) || substr(word, 5)").alias("word"))
-    return search.repair(asked, v)
+    return search.repair(_asked(v), v)
 
 
 NEAR = """WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 50 = 0),
@@ -517,6 +521,49 @@ def unsupported_numbers(spark, d):
     return a.join(b, ["conv_id", "turn"]).select("conv_id", "turn", F.array_join(F.array_sort(X.unsupported_numbers(F.col("a"), F.col("b"))), " ").alias("unsupported"))
 
 
+# All rows -----------------------------------------------------------------------------------------------------------
+# The queries of these names without _all keep the rows on which SQL folds case and splits words alike, as their SQL states.
+
+
+@query()
+def extract_words_count_all(spark, d):
+    return core.extract(t(spark, d, "conversations"), "words", ("text",), "word").select(F.explode("word").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def item_key_hash_all(spark, d):
+    return _items(spark, d).select("doc_id", "key")
+
+
+@query()
+def archive_upsert_all(spark, d):
+    """The fresh items are all that the archive was not offered, and more."""
+    x = _items(spark, d).select("month", "key", "doc_id")
+    old = catalog.upsert(x.limit(0), x.filter("doc_id % 3 <> 0"), ["doc_id"])
+    return catalog.upsert(old, x.filter("doc_id % 2 = 0 or doc_id % 3 = 0 or doc_id is null"), ["doc_id"])
+
+
+@query()
+def word_postings_all(spark, d):
+    return catalog.postings(_items(spark, d)).withColumn("months", F.array_join("months", " "))
+
+
+@query()
+def word_postings_rare_all(spark, d):
+    return catalog.index(catalog.postings(_items(spark, d))).select("word", "shard", F.size("months").alias("n"), "kind")
+
+
+@query()
+def validate_duplicates_all(spark, d):
+    return catalog.duplicate_keys(_items(spark, d))
+
+
+@query()
+def typo_vocab_all(spark, d):
+    v = search.vocabulary(_items(spark, d))
+    return search.repair(_asked(v), v)
+
+
 # Time series and joins ----------------------------------------------------------------------------------------------
 
 PRICES = "p AS (SELECT user_id, ts, event_id, value FROM events WHERE event_type = 'purchase'), s AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'error')"
