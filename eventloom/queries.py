@@ -522,7 +522,8 @@ def unsupported_numbers(spark, d):
 
 
 # All rows -----------------------------------------------------------------------------------------------------------
-# The queries of these names without _all keep the rows on which SQL folds case and splits words alike, as their SQL states.
+# The queries of these names without _all keep the rows on which SQL folds case and splits words alike, or the first
+# 380 characters of a text, as their SQL states.
 
 
 @query()
@@ -530,40 +531,69 @@ def extract_words_count_all(spark, d):
     return core.extract(t(spark, d, "conversations"), "words", ("text",), "word").select(F.explode("word").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _whole(spark, d):
+    """Items that hold whole texts: the title is the first line, the summary all the rest, and the key is of both. A null text is
+    an empty one."""
+    text = F.coalesce("text", F.lit(""))
+    x = t(spark, d, "documents").withColumn("title", text).select("doc_id", F.col("source").alias("feed"), "title", F.concat(F.lit("https://e.org/"), F.col("doc_id") % 700).alias("link"), F.date_format(F.date_add(F.lit("2023-01-01").cast("date"), (F.col("doc_id") * 37 % 800).cast("int")), "yyyy-MM-dd").alias("date"))
+    first = F.substring_index("title", "\n", 1)
+    return catalog.with_keys(x).withColumn("summary", F.expr("substring(title, length(substring_index(title, '\\n', 1)) + 2)")).withColumn("title", first)
+
+
+def _posted(x):
+    """Postings of titles and summaries."""
+    return catalog.postings(x.withColumn("title", F.concat_ws("\n", "title", "summary")))
+
+
 @query()
 def item_key_hash_all(spark, d):
-    return _items(spark, d).select("doc_id", "key")
+    return _whole(spark, d).select("doc_id", "key")
 
 
 @query()
 def archive_upsert_all(spark, d):
     """The fresh items are all that the archive was not offered, and more."""
-    x = _items(spark, d).select("month", "key", "doc_id")
+    x = _whole(spark, d).select("month", "key", "doc_id")
     old = catalog.upsert(x.limit(0), x.filter("doc_id % 3 <> 0"), ["doc_id"])
     return catalog.upsert(old, x.filter("doc_id % 2 = 0 or doc_id % 3 = 0 or doc_id is null"), ["doc_id"])
 
 
 @query()
 def word_postings_all(spark, d):
-    return catalog.postings(_items(spark, d)).withColumn("months", F.array_join("months", " "))
+    return _posted(_whole(spark, d)).withColumn("months", F.array_join("months", " "))
 
 
 @query()
 def word_postings_rare_all(spark, d):
-    return catalog.index(catalog.postings(_items(spark, d))).select("word", "shard", F.size("months").alias("n"), "kind")
+    return catalog.index(_posted(_whole(spark, d))).select("word", "shard", F.size("months").alias("n"), "kind")
 
 
 @query()
 def validate_duplicates_all(spark, d):
-    return catalog.duplicate_keys(_items(spark, d))
+    return catalog.duplicate_keys(_whole(spark, d))
 
 
 @query()
 def typo_vocab_all(spark, d):
-    v = search.vocabulary(_items(spark, d))
+    v = search.vocabulary(_whole(spark, d))
     return search.repair(_asked(v), v)
 
 
+@query()
+def search_all_words_all(spark, d):
+    return search.find(_whole(spark, d), ["that", "with"]).select("doc_id")
+
+
+@query()
+def search_feed_filter_all(spark, d):
+    return search.find(_whole(spark, d), ["the"], ["src1", "src2"]).select("doc_id")
+
+
+@query()
+def rank_tfidf_all(spark, d):
+    return search.rank(_whole(spark, d), ["that", "with"], 50, 1_000_000, "doc_id").select("doc_id", "coverage", "score")
+
+
 # Time series and joins ----------------------------------------------------------------------------------------------
 
 PRICES = "p AS (SELECT user_id, ts, event_id, value FROM events WHERE event_type = 'purchase'), s AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'error')"

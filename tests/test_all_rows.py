@@ -3,6 +3,7 @@
 import collections
 import datetime
 import hashlib
+import math
 import re
 
 import pytest
@@ -47,7 +48,7 @@ def items():
 
 
 def parts(t):
-    return (None, "") if t is None else (t[:80], " ".join([t[:80], t[80:380]]))
+    return t or "", t or ""
 
 
 def test_keys_and_archive(spark, folder):
@@ -70,7 +71,7 @@ def test_postings(spark, folder):
     for (w, _), m in want.items():
         months[w] |= m
     assert {r.word: (r.shard, r.n) for r in Q.word_postings_rare_all(spark, folder).collect()} == {w: (w[:2], len(m)) for w, m in months.items()}
-    assert {"naïve", "éclair", "don't", "12b"} <= set(months)
+    assert {"naïve", "éclair", "don't", "12b", "zanzibar"} <= set(months)
 
 
 def test_vocabulary_and_repair(spark, folder):
@@ -84,6 +85,21 @@ def test_vocabulary_and_repair(spark, folder):
     assert want and {r.word: r.fixed for r in Q.typo_vocab_all(spark, folder).collect()} == want
 
 
+def test_search_and_rank(spark, tmp_path):
+    far = "first line\n" + "filler " * 90
+    texts = [far + "that with", "that with\n" + far, far + "that", None, "with", far + "the", "Ünder that\nwith"]
+    rows = [(i, t, "en", f"src{i % 3}", 0) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id for r in Q.search_all_words_all(spark, str(tmp_path)).collect()} == {0, 1, 6}
+    assert {r.doc_id for r in Q.search_feed_filter_all(spark, str(tmp_path)).collect()} == {5}
+    n, d = len(rows), {w: sum(w in (t or "").split() for t in texts) for w in ("that", "with")}
+    rarity = {w: 1 + math.log((n + 1) / (1 + c)) for w, c in d.items()}
+    weight = {0: (1, 1), 1: (2, 2), 6: (2, 1)}
+    want = {i: round(a * rarity["that"] + b * rarity["with"], 6) for i, (a, b) in weight.items()}
+    got = Q.rank_tfidf_all(spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.score for r in got} == pytest.approx({i: s for i, s in want.items() if s >= max(want.values()) / 2}) and {r.coverage for r in got} == {2}
+
+
 def test_words_of_all_turns(spark, folder):
     got = {r.word: r.n for r in Q.extract_words_count_all(spark, folder).collect()}
     assert got["lamps"] == 3 and got["stop"] == 1 and not {"https", "org"} & set(got) and not set(core.STOPWORDS) & set(got)
