@@ -1,13 +1,15 @@
 """Token ids of whole text columns with the tokenizers library.
 
 A text is cut where no token can cross (before white space, and between an ASCII letter and one of the marks below),
-each distinct piece is encoded once, and ids are gathered back. A row with white space outside ASCII is encoded whole.
+each distinct piece is encoded once, and ids are gathered back. A row with white space outside ASCII is encoded whole,
+and so is one that holds the text of a special token, which is that token as by the library's default.
 The result equals encoding each text by itself; tests compare both.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +43,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values() if t.content]
+        self.whole = "|".join([ODD_SPACE, *(f"(?i:{a})" for a in added)])
         self.lower = lower
         self.kept: dict[bytes, bytes] = {}
         self.width = np.uint16 if self.tok.get_vocab_size() <= 1 << 16 else np.uint32
@@ -83,7 +86,7 @@ class Encoder:
     def encode(self, column: pa.Array):
         """Yields (first row, ids of a run of rows, ids per row)."""
         column = pc.fill_null(column, "")
-        odd = pc.match_substring_regex(column, ODD_SPACE).to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(column, self.whole).to_numpy(zero_copy_only=False)
         data, offs = tk.flat(column)
         for lo, hi, part, po in tk.slices(data, offs):
             if odd[lo:hi].any():
