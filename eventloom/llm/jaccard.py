@@ -1,17 +1,17 @@
 """Exact n-gram Jaccard join.
 
-Who meets whom: two sets that link differ in at most d elements, d from their sizes. Sets of a size class are split by
-hash into d + 1 segments and a few more, so that one segment at least is the same, and not empty, in both; equal segments
-put sets in one group. A group's sets meet in one task, or, above a fixed weight, in one task for each two of its blocks.
-There the join is by set relations: an index of prefix tokens in blocks of one position, skipped whole when the position
-leaves no room for the overlap, finds out if a set can have answers; its overlaps are added up over the index; and the
+Who meets whom: the tokens of all sets are counted, and each set's tokens are ordered from the rarest to the most frequent. Sets that
+link share one of their first n - least + 1 tokens; a token of one set alone cannot be that one. So a set can only link if `least`
+of its tokens stand elsewhere too, and its prefix is the rarest of those; nearly all sets end here. Sets of near sizes that share a
+token of their prefixes are put in one group. A group's sets meet in one task, or, above a fixed weight, in one task for each two
+of its blocks. There the join is by set relations: an index of prefix tokens in blocks of one position, skipped whole when the
+position leaves no room for the overlap, finds out if a set can have answers; its overlaps are added up over the index; and the
 overlaps of every set similar to it are derived from those by the few tokens in which the two differ.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +19,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .linededup import sided
 from .links import components
-from .runtime import stored
+from .runtime import discard, sided, stored
 
 #: Shingles that meet in one task at most, but for two blocks of half of it each.
 WEIGHT = 2 << 20
-RATIO = 1.3
+#: Bits of a token that take part in counting: tokens that agree in them are counted as one, which can only add candidates.
+TOKEN_BITS = 48
 
 
 def least_overlap(s, percent: int):
@@ -33,81 +33,18 @@ def least_overlap(s, percent: int):
     return -(-percent * s // (100 + percent))
 
 
-@lru_cache(maxsize=64)
-def size_classes(percent: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts of the size classes up to `most`; for each: the most elements in which linked sets differ, segments, empty segments allowed."""
-    starts = [1]
-    while starts[-1] <= most:
-        starts.append(max(starts[-1] + 1, int(starts[-1] * RATIO)))
-    b = np.array(starts)
-    s = np.arange(2 * b[-1] + 1)
-    differ = np.maximum.accumulate(s - 2 * least_overlap(s, percent))
-    d = differ[2 * (b[1:] - 1)]
-    segments, spare = d + 1, np.zeros(len(d), np.int64)
-    for i in np.flatnonzero(d >= 2):
-        for e in range(int(d[i]) + 1):
-            k = d[i] + 1 + e
-            empty = k * (1 - 1 / k) ** b[i]
-            segments[i], spare[i] = k, e
-            if empty + 3 * empty**0.5 <= e:
-                break
-    return b, d, segments, spare
-
-
-def signatures(s: np.ndarray, offs: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of each set and their offsets: sets that link, and are not equal, share one."""
-    n = np.diff(offs)
-    if not len(s):
-        return np.zeros(0, np.uint64), np.zeros(len(n) + 1, np.int64)
-    starts, differ, segments, spare = size_classes(percent, 1 << int(100 * n.max() // percent + 1).bit_length())
-    own = np.searchsorted(starts, n, "right") - 1
-    last = np.searchsorted(starts, 100 * n // percent, "right") - 1
-    rows_out, sig_out = [], []
+def fingerprints(s: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """A 128-bit hash of each set, as two numbers."""
+    out = np.empty((len(offs) - 1, 2), np.uint64)
     with np.errstate(over="ignore"):
-        h = tk.mix(s + np.uint64(0x9E3779B97F4A7C15))
-        for step in range(int((last - own)[n > 0].max(initial=0)) + 1):
-            c = own + step
-            for one in (True, False):
-                d = differ[np.minimum(c, last)]
-                rows = np.flatnonzero((n > 0) & (c <= last) & ((d == 1) if one else (d > 1)))
-                if not len(rows):
-                    continue
-                m, cls = n[rows], c[rows]
-                at = tk.gather(np.arange(len(s)), offs[:-1][rows], m)
-                x = h[at]
-                who = np.repeat(np.arange(len(rows)), m)
-                if one:
-                    ends = np.cumsum(np.concatenate((np.zeros(1, np.uint64), x)))
-                    cut = np.concatenate(([0], np.cumsum(m)))
-                    whole = ends[cut[1:]] - ends[cut[:-1]]
-                    rows_out += [rows, rows[who]]
-                    sig_out += [tk.mix(whole + np.uint64(1)), tk.mix(whole[who] - x + np.uint64(1))]
-                    continue
-                k = segments[cls]
-                base = np.cumsum(k) - k
-                place = (tk.mix(x ^ cls[who].astype(np.uint64)) % k[who].astype(np.uint64)).astype(np.int64) + base[who]
-                total = np.zeros(int(k.sum()), np.uint64)
-                np.add.at(total, place, x)
-                filled = np.bincount(place, minlength=len(total)) > 0
-                owner = np.repeat(np.arange(len(rows)), k)
-                empty = np.bincount(owner[~filled], minlength=len(rows))
-                keep = filled | (empty > spare[cls])[owner]
-                seg = (np.arange(len(total)) - base[owner]).astype(np.uint64)
-                sig = tk.mix(total + tk.mix(seg * np.uint64(0x10001) + cls[owner].astype(np.uint64) + np.uint64(1 << 40)))
-                rows_out.append(rows[owner[keep]])
-                sig_out.append(sig[keep])
-    if not rows_out:
-        return np.zeros(0, np.uint64), np.zeros(len(n) + 1, np.int64)
-    row, sig = np.concatenate(rows_out), np.concatenate(sig_out)
-    order = np.argsort(row, kind="stable")
-    return sig[order], np.searchsorted(row[order], np.arange(len(n) + 1))
+        for i, salt in enumerate((0x5851F42D4C957F2D, 0x14057B7EF767814F)):
+            ends = np.cumsum(np.concatenate((np.zeros(1, np.uint64), tk.mix(s ^ np.uint64(salt)))))
+            out[:, i] = tk.mix(ends[offs[1:]] - ends[offs[:-1]] + np.diff(offs).astype(np.uint64))
+    return out
 
 
-def fingerprints(s: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each set."""
-    with np.errstate(over="ignore"):
-        ends = np.cumsum(np.concatenate((np.zeros(1, np.uint64), tk.mix(s ^ np.uint64(0x5851F42D4C957F2D)))))
-        return tk.mix(ends[offs[1:]] - ends[offs[:-1]] + np.diff(offs).astype(np.uint64)).view(np.int64)
+def _nodes(marks: np.ndarray) -> pa.Array:
+    return tk.binary(marks.view(np.uint8).ravel(), 16 * np.arange(len(marks) + 1)).cast(pa.binary())
 
 
 def _sets(column: pa.Array, words: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -228,7 +165,49 @@ def _links(meet: DataFrame, percent: int) -> DataFrame:
                     sets.append(np.frombuffer(data[lo:hi].tobytes(), np.uint64))
         yield from flush()
 
-    return meet.select("comp", "i", "j", "node", "set").repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "node").mapInArrow(run, "a long, b long")
+    return meet.select("comp", "i", "j", "node", "set").repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "node").mapInArrow(run, "a binary, b binary")
+
+
+def candidates(rows: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """node (a class's key), label: the groups of classes that can link. A table.
+
+    rows (text) are all texts, classes (key, n) their sets. Tokens are dealt by token once; counting them, and finding those that
+    stand in two sets, reads the same shuffle twice. What is shuffled by set after that is only tokens of two sets or more."""
+
+    def spread(batches):
+        seen: set[bytes] = set()  # copies in one task are spread once
+        for b in batches:
+            for _, _, s, offs in _sets(b.column(0), words):
+                marks = fingerprints(s, offs)
+                new = np.zeros(len(marks), bool)
+                for i, x in enumerate(_nodes(marks).to_pylist()):
+                    if x not in seen:
+                        seen.add(x)
+                        new[i] = True
+                if len(seen) > 1 << 20:
+                    seen.clear()
+                n = np.diff(offs)
+                yield pa.RecordBatch.from_arrays([pa.array((s[np.repeat(new, n)] >> np.uint64(64 - TOKEN_BITS)).view(np.int64)), pa.array(np.repeat(marks[new, 0].view(np.int64), n[new]))], names=["token", "key"])
+
+    tokens = rows.select("text").mapInArrow(spread, "token long, key long").repartition("token")
+    many = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo <> hi").select("token", "df")
+    shared = tokens.join(many.hint("shuffle_hash"), "token").repartition("key").groupBy("key", "token").agg(F.max("df").alias("df"))
+    own = Window.partitionBy("key")
+    shared = shared.withColumn("s", F.count(F.lit(1)).over(own)).join(classes.select("key", "n"), "key").withColumn("spare", F.col("s") - F.ceil(F.col("n") * percent / 100))
+    prefix = shared.filter("spare >= 0").withColumn("at", F.row_number().over(own.orderBy("df", "token"))).filter(F.col("at") <= F.col("spare") + 1)
+    # Sets that link are in the same cell of sizes or in neighbours: a token's sets of a cell meet its least one, and that the next cell's.
+    prefix = stored(prefix.select("token", "key", _cell("n", percent).alias("cell")), "prefixes")
+    least = prefix.groupBy("token", "cell").agg(F.min("key").alias("least"))
+    to_least = prefix.join(least, ["token", "cell"]).select(F.col("key").alias("a"), F.col("least").alias("b"))
+    to_next = least.select("token", (F.col("cell") + 1).alias("cell"), F.col("least").alias("a")).join(least, ["token", "cell"]).select("a", F.col("least").alias("b"))
+    groups = stored(components(to_least.unionByName(to_next)), "groups")
+    discard(prefix)
+    return groups
+
+
+def _cell(n: str, percent: int):
+    """The cell of a set's size: sizes of sets that link are in one cell or in two that follow each other."""
+    return F.floor(F.log(n) / (np.log(100 / percent) * 1.0001 if percent < 100 else 1.0)).cast("long")
 
 
 def join_documents(docs: DataFrame, words: int = 3, percent: int = 90, weight: int = WEIGHT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -236,54 +215,52 @@ def join_documents(docs: DataFrame, words: int = 3, percent: int = 90, weight: i
 
     A text's set is its distinct shingles of `words` words (A-Z in lower case), as 64-bit hashes; with fewer words its whole
     sequence; null or empty texts have none and link with nothing. Sets link if 100 * |both| >= percent * |either|. Equal sets
-    are one class (class_id: a hash of the set), which is joined once. Rows with a null id take part; their component is
-    that of their class, or null. Repeated rows each have a row. An empty table gives no rows.
+    are one class (class_id: a 128-bit hash of the set, in hex), which is joined once. Rows with a null id take part; their component
+    is that of their class, or null. Repeated rows each have a row. An empty table gives no rows.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    rows = rows.withColumn("th", F.xxhash64("text"))
 
     def sign(batches):
         for b in batches:
-            for lo, hi, s, offs in _sets(b.column(1), words):
-                sig, at = signatures(s, offs, percent)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(np.diff(offs)), pa.array(fingerprints(s, offs)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(sig.view(np.int64)))], names=["doc_id", "n_shingles", "node", "sig"])
-
-    signed = stored(rows.mapInArrow(sign, "doc_id long, n_shingles long, node long, sig array<long>"), "signed")
-    some = signed.filter("n_shingles > 0")
-    classes = stored(some.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")), "classes")
-    w = Window.partitionBy("sig").orderBy("node")
-    one = some.join(sided(classes.select(F.col("node").alias("own"), "rep")), (F.col("node") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("rep")))
-    met = one.select("node", F.explode("sig").alias("sig")).withColumn("first", F.first("node").over(w)).filter("first <> node")
-    group = stored(components(met.select(F.col("first").alias("a"), F.col("node").alias("b"))), "groups")
-    inside = group.join(classes.select("node", "rep", "n"), "node")
-    load = inside.groupBy("label").agg(F.sum("n").alias("load"))
+            for lo, hi, s, offs in _sets(b.column(2), words):
+                marks = fingerprints(s, offs)
+                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(lo, hi - lo) for i in (0, 1)), pa.array(np.diff(offs)), _nodes(marks), pa.array(marks[:, 0].view(np.int64))], names=["doc_id", "th", "n_shingles", "node", "key"])
+
+    signed = stored(rows.select("doc_id", "th", "text").mapInArrow(sign, "doc_id long, th long, n_shingles long, node binary, key long"), "signed")
+    classes = signed.filter("n_shingles > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")).alias("rep"), F.first("key").alias("key"), F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("rows"))
+    classes = stored(classes.select("node", "key", "n", "rows", "rep.doc_id", "rep.th"), "classes")
+    group = candidates(rows, classes, words, percent)
+    inside = stored(group.withColumnRenamed("node", "key").join(classes, "key").select("node", "n", "doc_id", "th", F.col("label").alias("comp")), "inside")
+    load = inside.groupBy("comp").agg(F.sum("n").alias("load"))
     # A heavy group is split by size, so that linked sets are in the same cell or neighbours, and a heavy cell by hash; a
     # set goes to the tasks of its block with each block of these cells only.
-    cell = F.floor(F.log("n") / (np.log(100 / percent) * 1.0001 if percent < 100 else 1.0)).cast("long")
-    inside = inside.join(load, "label").withColumn("g", F.when(F.col("load") <= weight, F.lit(0).cast("long")).otherwise(cell))
-    cells = inside.groupBy("label", "g").agg(F.when(F.max("load") <= weight, 1).otherwise(F.ceil(F.sum("n") * 2 / weight)).cast("int").alias("blocks"))
-    near = cells.select("label", F.explode(F.array(F.col("g") - 1, F.col("g"), F.col("g") + 1)).alias("g"), F.struct(F.col("g").alias("of"), "blocks").alias("p"))
-    near = near.groupBy("label", "g").agg(F.collect_list("p").alias("near"))  # three at most
-    inside = inside.join(cells, ["label", "g"]).join(near, ["label", "g"])
+    placed = inside.join(load, "comp").withColumn("g", F.when(F.col("load") <= weight, F.lit(0).cast("long")).otherwise(_cell("n", percent)))
+    cells = placed.groupBy("comp", "g").agg(F.when(F.max("load") <= weight, 1).otherwise(F.ceil(F.sum("n") * 2 / weight)).cast("int").alias("blocks"))
+    near = cells.select("comp", F.explode(F.array(F.col("g") - 1, F.col("g"), F.col("g") + 1)).alias("g"), F.struct(F.col("g").alias("of"), "blocks").alias("p"))
+    near = near.groupBy("comp", "g").agg(F.collect_list("p").alias("near"))  # three at most
+    placed = placed.join(cells, ["comp", "g"]).join(near, ["comp", "g"])
     place = lambda g, k: g * F.lit(1 << 32) + k
-    inside = inside.withColumn("own", place(F.col("g"), F.pmod(F.xxhash64("node"), F.col("blocks"))))
-    meets = F.flatten(F.transform("near", lambda p: F.transform(F.sequence(F.lit(0), p["blocks"] - 1), lambda k: place(p["of"], k))))
-    inside = stored(inside.select("rep", "node", F.col("label").alias("comp"), "own", "near"), "meet")
+    placed = placed.withColumn("own", place(F.col("g"), F.pmod(F.xxhash64("node"), F.col("blocks")))).select("node", "comp", "own", "near")
 
     def sets(batches):
         for b in batches:
-            for lo, hi, s, offs in _sets(b.column(0), words):
-                same = pa.array(fingerprints(s, offs) == b.column(1).slice(lo, hi - lo).to_numpy())
-                view = s.tobytes()
-                at = (8 * offs).tolist()
-                part = [b.column(i).slice(lo, hi - lo) for i in (1, 2, 3, 4)]
-                yield pa.RecordBatch.from_arrays([*part, pa.array([view[x:y] for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["node", "comp", "own", "near", "set"]).filter(same)
-
-    text = rows.join(sided(inside, 1 << 18), rows.doc_id.eqNullSafe(inside.rep))
-    whole = text.select("text", "node", "comp", "own", "near").mapInArrow(sets, "node long, comp long, own long, near array<struct<of:long,blocks:int>>, set binary")
+            for _, _, s, offs in _sets(b.column(0), words):
+                view, at = s.tobytes(), (8 * offs).tolist()
+                yield pa.RecordBatch.from_arrays([_nodes(fingerprints(s, offs)), pa.array([view[x:y] for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["own_node", "set"])
+
+    keys = sided(inside.select(F.col("doc_id").alias("rep"), F.col("th").alias("rep_th")).distinct(), 48)
+    texts = rows.join(keys, rows.doc_id.eqNullSafe(F.col("rep")) & (rows.th == F.col("rep_th")), "left_semi").select("text")
+    whole = texts.mapInArrow(sets, "own_node binary, set binary").join(placed, F.col("own_node") == F.col("node"))
+    meets = F.flatten(F.transform("near", lambda p: F.transform(F.sequence(F.lit(0), p["blocks"] - 1), lambda k: place(p["of"], k))))
     meet = whole.select("node", "comp", "own", "set", F.explode(meets).alias("other")).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    label = components(stored(_links(meet, percent), "links"))
-    named = classes.select("node", "rep").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    named = stored(named.join(least, "label").select("node", "component_id"), "components")
-    out = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("class_id")).join(sided(named), F.col("class_id") == F.col("node"), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "class_id")
+    links = stored(_links(meet, percent), "links")
+    label = stored(components(links), "labels")
+    discard(group, inside, links)
+    # Rows that are alone in their class and without links are their own component.
+    named = classes.join(label, "node", "left").filter("rows > 1 or label is not null").withColumn("label", F.coalesce("label", "node"))
+    least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    named = stored(named.join(least, "label").select(F.col("node").alias("of"), "component_id"), "components")
+    discard(classes, label)
+    out = signed.join(sided(named), F.col("node") == F.col("of"), "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.when(F.col("n_shingles") > 0, F.lower(F.hex("node"))).alias("class_id"))

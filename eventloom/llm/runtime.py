@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A side of a join is broadcast up to this size.
+BROADCAST_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,11 +46,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop(spark: SparkSession, path: str) -> None:
-    """Remove a path of the shared folder, on whatever file system it is."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that `stored` wrote (told by their names), once what was made of them is itself written."""
+    for t in tables:
+        for folder in {f.rpartition("/")[0] for f in t.inputFiles()}:
+            if re.search("-[0-9a-f]{32}$", folder):
+                path = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sided(df: DataFrame, row_bytes: int = 64, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df as the broadcast side of a join if its rows, of row_bytes at most, fit in `most` bytes; else as it is, for a join by shuffle."""
+    rows = most // row_bytes
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def workers_see_package(spark: SparkSession) -> None:

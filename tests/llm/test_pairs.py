@@ -38,18 +38,12 @@ def groups(n, links):
 
 
 @pytest.mark.parametrize("percent", [90, 80, 60])
-def test_join_and_signatures_lose_no_link(percent):
+def test_join_loses_no_link(percent):
     for seed in range(60):
         r = random.Random(seed)
         sets = sorted(sets_of(r, 40), key=len)
         links = [(i, j) for i in range(len(sets)) for j in range(i) if linked(sets[i], sets[j], percent)]
         assert groups(len(sets), jaccard.join(sets, percent)) == groups(len(sets), links)
-        s = tk.mix(np.concatenate(sets))
-        parts = np.split(s, np.cumsum([len(x) for x in sets])[:-1])
-        s = np.concatenate([np.sort(p) for p in parts])
-        sig, at = jaccard.signatures(s, np.concatenate(([0], np.cumsum([len(x) for x in sets]))), percent)
-        own = [set(sig[a:b].tolist()) for a, b in zip(at[:-1], at[1:])]
-        assert all(own[i] & own[j] for i, j in links)
 
 
 def test_join_documents(spark):
@@ -65,7 +59,7 @@ def test_join_documents(spark):
             n += 1
     rows += [(n, None), (n + 1, ""), (n + 2, " \n"), (n + 3, "a"), (n + 4, "A"), (n + 4, "A")]
     r.shuffle(rows)
-    for k, percent in ((3, 90), (5, 80)):
+    for k, percent in ((3, 90), (5, 80), (1, 60)):
         sets = {i: frozenset(tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))) if (w := words(t)) else frozenset() for i, t in rows}
         label = {i: i for i in sets}
         for a in sets:
