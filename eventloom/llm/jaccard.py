@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
@@ -26,6 +26,8 @@ from .runtime import discard, sided, stored
 WEIGHT = 2 << 20
 #: Bits of a token that take part in counting: tokens that agree in them are counted as one, which can only add candidates.
 TOKEN_BITS = 48
+#: Tokens of one partition; one set in SAMPLE, by its text, tells which tokens stand in HOT sets or more.
+PART, SAMPLE, HOT = 2 << 20, 64, 200_000
 
 
 def least_overlap(s, percent: int):
@@ -168,14 +170,14 @@ def _links(meet: DataFrame, percent: int) -> DataFrame:
     return meet.select("comp", "i", "j", "node", "set").repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "node").mapInArrow(run, "a binary, b binary")
 
 
-def candidates(rows: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """node (a class's key), label: the groups of classes that can link. A table.
+def _spread(rows: DataFrame, words: int, hot=None) -> DataFrame:
+    """token, key, n, hot: the tokens of every set, its key and size, and for frequent tokens how often they were seen; copies in
+    one run of texts count once."""
+    sent = rows.sparkSession.sparkContext.broadcast(hot) if hot is not None else None
 
-    rows (text) are all texts, classes (key, n) their sets. Tokens are dealt by token once; counting them, and finding those that
-    stand in two sets, reads the same shuffle twice. What is shuffled by set after that is only tokens of two sets or more."""
-
-    def spread(batches):
-        seen: set[bytes] = set()  # copies in one task are spread once
+    def run(batches):
+        seen: set[bytes] = set()
+        known, often = sent.value if sent else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         for b in batches:
             for _, _, s, offs in _sets(b.column(0), words):
                 marks = fingerprints(s, offs)
@@ -187,20 +189,90 @@ def candidates(rows: DataFrame, classes: DataFrame, words: int, percent: int) ->
                 if len(seen) > 1 << 20:
                     seen.clear()
                 n = np.diff(offs)
-                yield pa.RecordBatch.from_arrays([pa.array((s[np.repeat(new, n)] >> np.uint64(64 - TOKEN_BITS)).view(np.int64)), pa.array(np.repeat(marks[new, 0].view(np.int64), n[new]))], names=["token", "key"])
-
-    tokens = rows.select("text").mapInArrow(spread, "token long, key long").repartition("token")
-    many = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo <> hi").select("token", "df")
-    shared = tokens.join(many.hint("shuffle_hash"), "token").repartition("key").groupBy("key", "token").agg(F.max("df").alias("df"))
-    own = Window.partitionBy("key")
-    shared = shared.withColumn("s", F.count(F.lit(1)).over(own)).join(classes.select("key", "n"), "key").withColumn("spare", F.col("s") - F.ceil(F.col("n") * percent / 100))
-    prefix = shared.filter("spare >= 0").withColumn("at", F.row_number().over(own.orderBy("df", "token"))).filter(F.col("at") <= F.col("spare") + 1)
+                token = (s[np.repeat(new, n)] >> np.uint64(64 - TOKEN_BITS)).view(np.int64)
+                seen_before = np.zeros(len(token), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, token), len(known) - 1)
+                    seen_before = np.where(known[at] == token, often[at], 0)
+                n = n[new]
+                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.repeat(marks[new, 0].view(np.int64), n)), pa.array(np.repeat(n, n)), pa.array(seen_before)], names=["token", "key", "n", "hot"])
+
+    return rows.select("text").mapInArrow(run, "token long, key long, n long, hot long")
+
+
+def _columns(batches) -> list[np.ndarray]:
+    """The whole of a partition of numbers: its size is set by the number of partitions."""
+    parts = [[c.to_numpy() for c in b.columns] for b in batches]
+    return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else []
+
+
+def _emit(names: str, *columns: np.ndarray, most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    for lo in range(0, len(columns[0]), most):
+        yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + most]) for c in columns], names=names.split())
+
+
+def _elsewhere(batches):
+    """Rows of tokens that stand in two sets, with the number of their rows as df. Tokens known to be frequent pass as they are."""
+    got = _columns(batches)
+    if not got:
+        return
+    token, key, n, hot = got
+    free = hot > 0
+    yield from _emit("token key n df", token[free], key[free], n[free], hot[free] + (1 << 40))
+    order = np.flatnonzero(~free)
+    order = order[np.argsort(token[order], kind="stable")]
+    by = token[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(len(by), 1), bool), by[1:] != by[:-1])))
+    if not len(first):
+        return
+    df = np.diff(np.append(first, len(by)))
+    own = key[order]
+    two = np.repeat(np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first), df)
+    at = order[two]
+    yield from _emit("token key n df", token[at], key[at], n[at], np.repeat(df, df)[two])
+
+
+def _prefixes(percent: int):
+    def run(batches):
+        """The rarest of each set's shared tokens, one more than it can lack; none if it has too few to link at all."""
+        got = _columns(batches)
+        if not got:
+            return
+        token, key, n, df = got
+        order = np.lexsort((token, df, key))
+        token, key, n = token[order], key[order], n[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (token[1:] != token[:-1])
+        token, key, n = token[new], key[new], n[new]
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        many = np.diff(np.append(first, len(key)))
+        spare = np.repeat(many - -(-percent * n[first] // 100), many)
+        keep = np.arange(len(key)) - np.repeat(first, many) <= spare
+        yield from _emit("token key n", token[keep], key[keep], n[keep])
+
+    return run
+
+
+def candidates(rows: DataFrame, signed: DataFrame, words: int, percent: int, hot: int = HOT) -> DataFrame:
+    """key, label: the groups of sets that can link, sets by the first half of their hashes. A table.
+
+    rows (text) are all texts, signed (n_shingles) their sets. Tokens are dealt by token, those that stand in two sets by set; the
+    number of partitions follows the number of tokens, so that each has about PART of them. Tokens that a sample of the sets has
+    often, a bounded list, are counted by it and are not dealt by token: any order of tokens loses no link."""
+    total = signed.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART))
+    few = _spread(rows.filter(F.pmod(F.col("th"), F.lit(SAMPLE)) == 0), words).groupBy("token").agg(F.count(F.lit(1)).alias("c"))
+    often = few.filter(F.col("c") >= max(-(-hot // SAMPLE), total // SAMPLE >> 20)).toArrow().sort_by("token")
+    known = (often["token"].to_numpy(), often["c"].to_numpy())
+    tokens = _spread(rows, words, known).repartition(parts, F.when(F.col("hot") > 0, F.col("key")).otherwise(F.col("token")))
+    shared = tokens.mapInArrow(_elsewhere, "token long, key long, n long, df long").repartition(parts, "key")
+    prefix = shared.mapInArrow(_prefixes(percent), "token long, key long, n long")
     # Sets that link are in the same cell of sizes or in neighbours: a token's sets of a cell meet its least one, and that the next cell's.
     prefix = stored(prefix.select("token", "key", _cell("n", percent).alias("cell")), "prefixes")
     least = prefix.groupBy("token", "cell").agg(F.min("key").alias("least"))
     to_least = prefix.join(least, ["token", "cell"]).select(F.col("key").alias("a"), F.col("least").alias("b"))
     to_next = least.select("token", (F.col("cell") + 1).alias("cell"), F.col("least").alias("a")).join(least, ["token", "cell"]).select("a", F.col("least").alias("b"))
-    groups = stored(components(to_least.unionByName(to_next)), "groups")
+    groups = stored(components(to_least.unionByName(to_next)).withColumnRenamed("node", "key"), "groups")
     discard(prefix)
     return groups
 
@@ -210,7 +282,7 @@ def _cell(n: str, percent: int):
     return F.floor(F.log(n) / (np.log(100 / percent) * 1.0001 if percent < 100 else 1.0)).cast("long")
 
 
-def join_documents(docs: DataFrame, words: int = 3, percent: int = 90, weight: int = WEIGHT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join_documents(docs: DataFrame, words: int = 3, percent: int = 90, weight: int = WEIGHT, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, class_id of every row: the smallest id that links lead to, and the row's set.
 
     A text's set is its distinct shingles of `words` words (A-Z in lower case), as 64-bit hashes; with fewer words its whole
@@ -230,8 +302,8 @@ def join_documents(docs: DataFrame, words: int = 3, percent: int = 90, weight: i
     signed = stored(rows.select("doc_id", "th", "text").mapInArrow(sign, "doc_id long, th long, n_shingles long, node binary, key long"), "signed")
     classes = signed.filter("n_shingles > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")).alias("rep"), F.first("key").alias("key"), F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("rows"))
     classes = stored(classes.select("node", "key", "n", "rows", "rep.doc_id", "rep.th"), "classes")
-    group = candidates(rows, classes, words, percent)
-    inside = stored(group.withColumnRenamed("node", "key").join(classes, "key").select("node", "n", "doc_id", "th", F.col("label").alias("comp")), "inside")
+    group = candidates(rows, signed, words, percent, hot)
+    inside = stored(group.join(classes, "key").select("node", "n", "doc_id", "th", F.col("label").alias("comp")), "inside")
     load = inside.groupBy("comp").agg(F.sum("n").alias("load"))
     # A heavy group is split by size, so that linked sets are in the same cell or neighbours, and a heavy cell by hash; a
     # set goes to the tasks of its block with each block of these cells only.

@@ -59,7 +59,7 @@ def test_join_documents(spark):
             n += 1
     rows += [(n, None), (n + 1, ""), (n + 2, " \n"), (n + 3, "a"), (n + 4, "A"), (n + 4, "A")]
     r.shuffle(rows)
-    for k, percent in ((3, 90), (5, 80), (1, 60)):
+    for k, percent, hot in ((3, 90, 200_000), (5, 80, 200_000), (1, 60, 200_000), (1, 80, 1)):
         sets = {i: frozenset(tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))) if (w := words(t)) else frozenset() for i, t in rows}
         label = {i: i for i in sets}
         for a in sets:
@@ -68,7 +68,7 @@ def test_join_documents(spark):
                     x, y = label[a], label[b]
                     label = {i: min(x, y) if v in (x, y) else v for i, v in label.items()}
         df = spark.createDataFrame([(*x, "clash") for x in rows], "doc_id long, text string, node string").repartition(3)
-        got = jaccard.join_documents(df, words=k, percent=percent, weight=300).collect()
+        got = jaccard.join_documents(df, words=k, percent=percent, weight=300, hot=hot).collect()
         assert len(got) == len(rows)
         assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == {i: (len(sets[i]), label[i]) for i in sets}
     assert jaccard.join_documents(df.limit(0)).count() == 0
