@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .runtime import stored
+from .runtime import discard, sided, stored
 
 SIZE, GRAM = 200, 32
 #: Regions of one lot; and the most with one k-gram that meet in a lot (more are compared window by window, see _crowded).
@@ -224,6 +224,8 @@ def _decide(meet: DataFrame, size: int) -> DataFrame:
 
         for b in batches:
             for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if group and r[:2] == group[-1][:2]:
+                    continue  # the same region of a row that repeats
                 if group and r[0] != group[-1][0]:
                     close()
                     group = []
@@ -252,7 +254,7 @@ def _crowded(meet: DataFrame, size: int) -> DataFrame:
                 d = [xxhash.xxh3_128_digest(region[i : i + size]) for i in range(n)]
                 yield pa.RecordBatch.from_arrays([pa.array([f] * n, pa.int64()), pa.array([rh] * n, pa.int64()), pa.array([many] * n, pa.bool_()), pa.array(range(n), pa.int32()), pa.array(d, pa.binary())], names=["f", "rh", "many", "at", "w"])
 
-    w = meet.select("f", "rh", "many", "region").mapInArrow(windows, "f long, rh long, many boolean, at int, w binary")
+    w = meet.select("f", "rh", "many", "region").dropDuplicates(["f", "rh"]).mapInArrow(windows, "f long, rh long, many boolean, at int, w binary")
     twice = w.groupBy("f", "w").agg(F.sum(F.when(F.col("many"), 2).otherwise(1)).alias("c")).filter("c > 1").select("f", "w")
     hit = w.join(twice, ["f", "w"]).groupBy("f", "rh").agg(F.collect_list("at").alias("at"))
     return hit.select("f", "rh", F.flatten(F.transform(F.array_sort("at"), lambda a: F.array(a, a + size))).alias("spans"))
@@ -287,24 +289,30 @@ def remove(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col:
     same = F.col("d").eqNullSafe(F.col("ld")) & (F.col("th") == F.col("lth"))
 
     def cut(batches):
+        last = None
         for b in batches:
             data, offs = tk.flat(b.column(0))
-            for base, own in zip(offs[:-1].tolist(), b.column(1).to_pylist(), strict=True):
+            for base, own, *row in zip(offs[:-1].tolist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if row == last:
+                    continue  # a row that repeats, mostly beside the first; _decide passes over any other
+                last = row
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([o[x] for o in own], t) for x, t in (("f", pa.int64()), ("rh", pa.int64()), ("many", pa.bool_()), ("gram", pa.int32()))]
                     + [pa.array([data[base + o["at"] : base + o["at"] + o["n"] + size - 1].tobytes() for o in own], pa.binary())],
                     names=["f", "rh", "many", "gram", "region"],
                 )
 
-    meet = stored(rows.join(lists, same).select("text", "own").mapInArrow(cut, "f long, rh long, many boolean, gram int, region binary"), "meet")
-    crowds = meet.groupBy("f").count().filter(F.col("count") > CROWD).select("f").limit(100_000)
+    meet = stored(rows.join(lists, same).select("text", "own", "d", "th").mapInArrow(cut, "f long, rh long, many boolean, gram int, region binary"), "meet")
+    crowds = meet.groupBy("f").count().filter(F.col("count") > CROWD).select("f")
+    crowds = stored(crowds, "crowds")
     if crowds.isEmpty():
         decided = _decide(meet, size)
     else:
-        crowds = F.broadcast(stored(crowds, "crowds"))
+        crowds = sided(crowds, 16)
         decided = _decide(meet.join(crowds, "f", "left_anti"), size).unionByName(_crowded(meet.join(crowds, "f", "left_semi"), size))
     decided = stored(decided, "decided")
-    spans = found.select("d", "th", "at", "f", "rh").join(decided, ["f", "rh"]).select(F.col("d").alias("ld"), F.col("th").alias("lth"), F.transform("spans", lambda s: s + F.col("at")).alias("s")).groupBy("ld", "lth").agg(F.flatten(F.collect_list("s")).alias("spans"))
+    discard(meet, regions_)
+    spans = found.select("d", "th", "at", "f", "rh").join(decided, ["f", "rh"]).select(F.col("d").alias("ld"), F.col("th").alias("lth"), F.transform("spans", lambda s: s + F.col("at")).alias("s")).groupBy("ld", "lth").agg(F.flatten(F.collect_set("s")).alias("spans"))
 
     def apply(batches):
         for b in batches:
