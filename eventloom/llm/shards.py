@@ -23,14 +23,14 @@ def _numbered(df: DataFrame, by: list[str], part: str, order: list[str], out: st
 def shard(docs: DataFrame, shards: int = 16, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", group_rows: int = GROUP_ROWS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, source and place of every row.
 
-    Rows of a source are shuffled by a seeded hash and ranked; rank r of n gets the fraction (r - 1/2) / n. In the order of
+    Rows of a source are shuffled by a seeded hash of id and text and ranked; rank r of n gets the fraction (r - 1/2) / n. In the order of
     fractions over all sources, any run of rows has each source in proportion, and the order is cut into runs whose
     counts are at most one apart (law `rows`). Only ids, sizes and hashes are shuffled, in groups of about group_rows.
     A null source is a source, a null text has size 1; ties and repeated rows go in the order of id and then text hash;
     null ids come first. An empty table gives no rows.
     """
     text = F.encode(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), "UTF-8")
-    key = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))), 256)
+    key = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.xxhash64(text).cast("string")), 256)
     rows = docs.select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
