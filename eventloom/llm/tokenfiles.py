@@ -25,8 +25,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder, with_end
-from .runtime import scratch, stored
+from .runtime import scratch, sided, stored
 
+#: Ids of a file, about: a file is read back as one row, whose size this bounds.
+FILE_IDS = 32 << 20
 MAGIC, BLOCK, FRAME, PERCENTILE = b"PFR1", 256, 1 << 20, 0.9
 
 
@@ -137,38 +139,49 @@ def documents(data: bytes):
         yield [None if z else d for d, z in zip(docs[done:].tolist(), null[done:].tolist(), strict=True)], np.full(n - done + 1, base), held
 
 
-def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, file_ids: int = FILE_IDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write each document's ids and end_id under path, in ascending id order over the files in order of their names.
 
-    Texts go to ranges of ids; each task streams one file to a name of its own attempt and renames it, so that a task that
-    runs again leaves one file. Null texts are empty, null ids come first, repeated rows are written each. Returns the
+    Texts go to ranges of ids; each task streams files of about file_ids ids to names of its own attempt and renames them, so that a
+    task that runs again leaves each file once. Null texts are empty, null ids come first, rows of one id go in the order of a
+    hash of their texts, repeated rows are written each. Returns the
     manifest: segment, n_docs, n_ids, and base, the ids in all files before.
     """
-    ranged = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ranged = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    # Rows of one id are dealt by their texts, equal rows at random: no id is one task.
+    ranged = ranged.withColumns({"th": F.xxhash64("text"), "any": F.rand(7)}).repartitionByRange("doc_id", "th", "any").sortWithinPartitions("doc_id", "th").select("doc_id", "text")
 
     def run(batches):
         from pyarrow import fs
 
         enc, ctx = encoder(vocabulary, lower=True), TaskContext.get()
-        name, store, writer = f"{ctx.partitionId():08d}", None, None
+        done, store, writer = 0, None, None
+
+        def close():
+            nonlocal done, writer
+            writer.close()
+            out.close()
+            name = f"{ctx.partitionId():08d}-{done:06d}"
+            store.move(temp, f"{root}/{name}.pfr")
+            row = pa.RecordBatch.from_pydict({"segment": [name], "n_docs": [len(writer.docs)], "n_ids": [writer.n_ids]})
+            done, writer = done + 1, None
+            return row
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            if writer is None:
-                store, root = fs.FileSystem.from_uri(path)
-                store.create_dir(root, recursive=True)
-                temp = f"{root}/_{name}-{ctx.taskAttemptId()}"
-                out = store.open_output_stream(temp)
-                writer = Writer(out)
             keys = batch.column(0).to_pylist()
             for lo, ids, counts in enc.encode(batch.column(1)):
+                if writer is None:
+                    store, root = fs.FileSystem.from_uri(path)
+                    store.create_dir(root, recursive=True)
+                    temp = f"{root}/_{ctx.partitionId():08d}-{done:06d}-{ctx.taskAttemptId()}"
+                    out = store.open_output_stream(temp)
+                    writer = Writer(out)
                 ids, offs = with_end(ids, counts, end_id)
                 writer.add(keys[lo : lo + len(counts)], ids, np.diff(offs))
+                if writer.n_ids >= file_ids:
+                    yield close()
         if writer:
-            writer.close()
-            out.close()
-            store.move(temp, f"{root}/{name}.pfr")
-            yield pa.RecordBatch.from_pydict({"segment": [name], "n_docs": [len(writer.docs)], "n_ids": [writer.n_ids]})
+            yield close()
 
     done = stored(ranged.mapInArrow(run, "segment string, n_docs long, n_ids long"), "manifest")
     w = Window.orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
@@ -199,7 +212,7 @@ def read(spark, path: str, manifest: DataFrame, with_ids: bool = False) -> DataF
         files = spark.createDataFrame([], "path string, content binary")
     rows = files.mapInArrow(run, out)
     cols = ["doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])]
-    return rows.join(F.broadcast(manifest.select("segment", "base")), "segment").select(*cols)  # a row for each file
+    return rows.join(sided(manifest.select("segment", "base"), 96), "segment").select(*cols)
 
 
 def round_trip(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
