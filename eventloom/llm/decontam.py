@@ -197,6 +197,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, words: int = 5, least: float =
                         yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([lo + r for r in row])), pa.array(item, pa.int64()), pa.array(sim), pa.array(first, pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "item_id", "similarity", "first_word", "n_words"])
 
         part = rows.mapInArrow(run, "doc_id long, item_id long, similarity double, first_word long, n_words long")
+        if len(items) * 2 >= ITEMS:  # one of many passes: its rows are written and what was sent for it is released
+            part = stored(part, "leaks")
+            sent.destroy()
         out = part if out is None else out.unionByName(part)
     return out if out is not None else rows.selectExpr("doc_id", "0L as item_id", "0D as similarity", "0L as first_word", "0L as n_words").limit(0)
 

@@ -5,9 +5,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .runtime import stored
+
 #: Queries whose vectors a task holds at once, rows of a block of dense scores, and cells of that block.
 QUERY_BLOCK, CELLS = 2048, 4 << 20
 SAFE = 1 << 62
@@ -82,13 +85,16 @@ def search(df: DataFrame, every: int = 100, k: int = 10, scale: int = 1024, id_c
         got = asked.filter(F.col("b") == b).select("vec_id", "w").toArrow().combine_chunks()
         batches = got.to_batches()
         q = _rows(batches[0]) if batches else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-        part = _against(all_rows, q, k)
+        part, sent = _against(all_rows, q, k)
+        if blocks > 1:  # a block's partial lists are written and what was sent for it is released before the next
+            part = stored(part, "topk")
+            sent.destroy()
         out = part if out is None else out.unionByName(part)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _against(rows: DataFrame, q: tuple, k: int) -> DataFrame:
+def _against(rows: DataFrame, q: tuple, k: int) -> tuple[DataFrame, Broadcast]:
     spark = rows.sparkSession
     sent = spark.sparkContext.broadcast(q)
 
@@ -114,4 +120,4 @@ def _against(rows: DataFrame, q: tuple, k: int) -> DataFrame:
             s = s if s.dtype != object else [min(MOST, max(LEAST, x)) for x in s.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q[0], n)), pa.array(np.concatenate([i for i, _ in top])), pa.array(s, pa.int64())], names=["query_id", "vec_id", "score"])
 
-    return rows.mapInArrow(run, "query_id long, vec_id long, score long")
+    return rows.mapInArrow(run, "query_id long, vec_id long, score long"), sent
