@@ -106,3 +106,51 @@ def stable_keys(first: DataFrame, second: DataFrame, most: float = 0.2) -> DataF
     """fresh, whole, unstable: how many keys of a second run the first lacked; over a fifth means that keys change."""
     fresh = second.select("key").distinct().join(first.select("key").distinct(), "key", "left_anti").agg(F.count(F.lit(1)).alias("fresh"))
     return fresh.join(F.broadcast(second.agg(F.countDistinct("key").alias("whole")))).withColumn("unstable", F.col("fresh") > F.col("whole") * most)
+
+
+def splice(live: DataFrame, history: DataFrame, by: str = "feed", date: str = "date") -> DataFrame:
+    """The live rows, and those of a history that are older than the oldest live one of their feed."""
+    oldest = live.groupBy(by).agg(F.min(date).alias("_oldest"))
+    older = history.join(oldest, by, "left").filter(F.col("_oldest").isNull() | (F.col(date) < F.col("_oldest")))
+    return live.unionByName(older.drop("_oldest"))
+
+
+def fullest(reports: DataFrame, by: str, detail, order: str) -> DataFrame:
+    """One report for each id: the last that has the detail, else the first: one without never replaces another."""
+    has, n = F.coalesce(detail, F.lit(False)), F.col(order).cast("long")
+    rank = F.struct(has.cast("int"), F.when(has, n).otherwise(-n))
+    return reports.groupBy(by).agg(F.max_by(F.struct(*[c for c in reports.columns if c != by]), rank).alias("_r")).select(by, "_r.*")
+
+
+def recent_days(items: DataFrame, last: str, days: int, by: str = "feed") -> DataFrame:
+    """day, feed, items for each of the last days and each feed, days without items too."""
+    spine = items.select(by).distinct().withColumn("day", F.explode(F.sequence(F.date_sub(F.lit(last).cast("date"), days - 1), F.lit(last).cast("date"))))
+    spine = spine.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+    counted = day_counts(items.withColumnRenamed(by, "feed")).withColumnRenamed("feed", by)
+    return spine.join(counted, ["day", by], "left").fillna(0, ["items"])
+
+
+def pass_rates(answers: DataFrame, by: list[str], ok) -> DataFrame:
+    """passed, of, share of each group of graded answers."""
+    return answers.groupBy(*by).agg(F.count_if(ok).alias("passed"), F.count(F.lit(1)).alias("of"), F.round(F.avg(F.when(ok, 1.0).otherwise(0.0)), 6).alias("share"))
+
+
+#: Months of a word that is rare enough to look a question up by, and months that are read for it.
+RARE_MONTHS, MOST_MONTHS = 60, 12
+
+
+def anchor_months(posted: DataFrame, words: list[list[str]], feeds: list[str] = (), rare: int = RARE_MONTHS, most: int = MOST_MONTHS) -> list[str]:
+    """The months to read for a question without a date. words: the stems of each word's forms; feeds: those that the question names.
+
+    The word with the fewest months decides, in a named feed or, if rare, anywhere; without a rare word, the months that all
+    words share. Months with more of the words come first, then newer ones. Only rows of the asked words are gathered."""
+    stems = sorted({s for w in words for s in w})
+    rows = posted.filter(F.col("word").isin(stems)).groupBy("word").agg(F.array_distinct(F.flatten(F.collect_list("months"))).alias("all"), F.array_distinct(F.flatten(F.collect_list(F.when(F.col("feed").isin(list(feeds)), F.col("months"))))).alias("own")).collect()
+    everywhere, own = {r.word: set(r["all"]) for r in rows}, {r.word: set(r["own"]) for r in rows}
+    per_word = [m for w in words if (m := set().union(*(everywhere.get(s, ()) for s in w)))]
+    anchors = [m for w in words if (m := set().union(*(own.get(s, ()) for s in w)))] + [m for m in per_word if len(m) <= rare]
+    if not anchors and len(per_word) == len(words) > 1:
+        anchors = [m] if (m := set.intersection(*per_word)) else []
+    if not anchors:
+        return []
+    return sorted(min(anchors, key=len), key=lambda m: (sum(m in p for p in per_word), m), reverse=True)[:most]

@@ -15,7 +15,7 @@ from ..plans.expr import Value, _java, compile_filter, compile_value, conjunctio
 
 URL = r"https?://\S+|www\.\S+"
 
-#: English words that are no topics.
+#: English words that are no topics, unless a caller has a list of its own (extract, `stop`).
 STOPWORDS = """a about after all also am an and any are as at be because been before being but by can could did do does
 for from had has have he her here him his how i if in into is it its just like me more most my new no not now of on one
 only or other our out over she should so some than that the their them then there these they this to too up us was we were
@@ -149,18 +149,20 @@ def union_first(key: str, *dfs: DataFrame) -> DataFrame:
     return whole.groupBy(key).agg(F.min(F.struct("_source", *[c for c in cols if c != key])).alias("_r")).select(key, *[F.col(f"_r.`{c}`").alias(c) for c in cols if c != key])
 
 
-#: pattern, case
+#: Pattern, case and mark of what can be asked for by name.
 PRESETS = {
     "hashtags": (r"(?<![\w#])#([A-Za-z_]\w{1,49})", F.lower, "#"),
     "cashtags": (r"(?<![\w$])\$([A-Za-z]{1,6})(?!\w)", F.upper, "$"),
     "domains": (r"https?://(?:www\.)?([^/\s:?#]+)", F.lower, ""),
     "words": (r"(?<![\w'])([A-Za-z][A-Za-z'+-]*[A-Za-z+])", F.lower, ""),
 }
+#: Links, bare domains and names of people are no words.
 NOT_WORDS = r"(?i)(?:https?://|www\.)\S+|@[\w.-]+|\b[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}(?:/\S*)?"
 
 
-def extract(df: DataFrame, what: str, field: tuple[str, ...] = ("title", "summary", "text"), into: str | None = None, keep_case: bool = False) -> DataFrame:
-    """A new array column: the different matches of a preset or a regular expression (its first group, if any), in order."""
+def extract(df: DataFrame, what: str, field: tuple[str, ...] = ("title", "summary", "text"), into: str | None = None, keep_case: bool = False, stop: list[str] = STOPWORDS) -> DataFrame:
+    """A new array column: the different matches of a preset or a regular expression (its first group, if any), in order. stop: words
+    that the preset "words" leaves out, in lower case; a short English list by default."""
     pattern, case, prefix = PRESETS.get(what, (what, None, ""))
     texts = _texts(df, field)
     if what in PRESETS and what != "domains":
@@ -170,7 +172,7 @@ def extract(df: DataFrame, what: str, field: tuple[str, ...] = ("title", "summar
     if case and not keep_case:
         got = F.transform(got, case)
     if what == "words":
-        got = F.filter(got, lambda w: ~F.lower(w).isin(STOPWORDS))
+        got = F.filter(got, lambda w: ~F.lower(w).isin(list(stop)))
     got = F.array_distinct(F.filter(got, lambda w: w != ""))
     return df.withColumn(into or what, F.transform(got, lambda w: F.concat(F.lit(prefix), w)) if prefix else got)
 
@@ -233,14 +235,19 @@ def trend(counts: DataFrame, history: int = 6, min_count: int = 3, min_change: f
 # Change detection ---------------------------------------------------------------------------------------------------
 
 
+def _leaves(kind, path: str) -> list[str]:
+    return [x for f in kind.fields for x in _leaves(f.dataType, f"{path}.{f.name}")] if isinstance(kind, T.StructType) else [path]
+
+
 def diff(old: DataFrame, new: DataFrame, key: str, fields: tuple[str, ...], ignore: tuple[str, ...] = (), only: tuple[str, ...] = (), fetched: str | None = None, remember: bool = False) -> DataFrame:
     """key, change, fields: what was added, modified (with each field's old and new text) or removed between two snapshots.
 
-    With `fetched`, a row is removed only if its source was read this time; `remember` keeps rows that are gone."""
-    names = [f for f in fields if f not in ignore]
-    a = old.select(key, *([fetched] if fetched else []), F.struct(*[F.col(f) for f in names]).alias("a"))
-    b = new.select(key, F.struct(*[F.col(f) for f in names]).alias("b"))
-    changed = F.filter(F.array(*[F.struct(F.lit(f).alias("path"), F.col(f"a.{f}").cast("string").alias("old"), F.col(f"b.{f}").cast("string").alias("new"), F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}")).alias("same")) for f in names]), lambda x: ~x["same"])
+    Fields of structs are compared one by one, under their paths; lists as a whole. With `fetched`, a row is removed only if its
+    source was read this time; `remember` keeps rows that are gone."""
+    names = [p for f in fields for p in _leaves(new.schema[f].dataType if f in new.columns else None, f) if f not in ignore and p not in ignore]
+    a = old.select(key, *([fetched] if fetched else []), F.struct(*[F.col(f).alias(f) for f in names]).alias("a"))
+    b = new.select(key, F.struct(*[F.col(f).alias(f) for f in names]).alias("b"))
+    changed = F.filter(F.array(*[F.struct(F.lit(f).alias("path"), F.col(f"a.`{f}`").cast("string").alias("old"), F.col(f"b.`{f}`").cast("string").alias("new"), F.col(f"a.`{f}`").eqNullSafe(F.col(f"b.`{f}`")).alias("same")) for f in names]), lambda x: ~x["same"])
     both = a.join(b, key, "full_outer")
     change = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.size(changed) > 0, "modified")
     out = both.withColumn("change", change).filter("change is not null")

@@ -4,33 +4,147 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .catalog import anchor_months
+
+
+stem = X.stem_of
+
+#: Past forms that do not begin as the verb does.
+IRREGULAR = """
+buy: bought
+sell: sold
+rise: rose, risen
+fall: fell, fallen
+win: won
+lose: lost
+pay: paid
+steal: stole
+say: said
+hold: held
+spend: spent
+strike: struck
+shake: shook
+"""
+#: What sources call a thing that is asked for under another name.
+SAME = """
+fed: federal reserve, fomc
+gdp: gross domestic product
+jobless: unemployment
+job: employment
+inflation: consumer price
+cpi: consumer price
+ipo: go public, initial public offering
+purchase: bought, buy
+purchas: bought, buy
+sale: sold, sell
+warning: alert, advisory, bulletin
+outage: issues with, elevated error, degraded, disruption, unavailable
+quake: earthquake
+sec: securities and exchange commission
+fda: food and drug administration
+doj: justice department, department of justice
+us: u.s., united states
+uk: britain, british, united kingdom
+eu: european union
+un: united nations
+ai: artificial intelligence
+stock: share
+flaw: vulnerabilit
+flaws: vulnerabilit
+bug: vulnerabilit
+sign: became public law
+congress: public law
+sanction: designation
+xai: x.ai
+sp: s&p
+usd: us dollar, dollar
+thb: baht
+jpy: yen
+cny: yuan
+inr: rupee
+eur: euro
+tech: technolog
+spac: blank check, acquisition corp
+"""
+#: Agencies by the names that registers give them. These short names match whole words only.
+AGENCIES = """
+epa: environmental protection agency
+hhs: health and human services
+usda: agriculture department, department of agriculture
+dod: defense department, department of defense, pentagon
+pentagon: defense department, department of defense
+dhs: homeland security
+hud: housing and urban development
+dol: labor department, department of labor
+opm: personnel management
+sba: small business administration
+ssa: social security administration
+cftc: commodity futures trading commission
+nrc: nuclear regulatory commission
+gsa: general services administration
+fhfa: federal housing finance agency
+cfpb: consumer financial protection bureau
+nasa: national aeronautics and space administration
+nlrb: national labor relations board
+eeoc: equal employment opportunity commission
+usaid: agency for international development
+ftc: federal trade commission
+fdic: federal deposit insurance corporation
+ncua: national credit union administration
+faa: federal aviation administration
+irs: internal revenue service
+osha: occupational safety and health administration
+fcc: federal communications commission
+fema: federal emergency management agency
+nhtsa: national highway traffic safety administration
+cdc: centers for disease control
+nih: national institutes of health
+"""
+#: Endings that a form may have, by its length; longer forms may end in anything.
+SHORT_ENDS, FOUR_ENDS = "(?:s|es|'s|ed|ing)?", "(?:s|es|'s|e?d|ing|ers?|i?ans?|ese|ish)?"
+
+
+def _table(text: str) -> dict[str, list[str]]:
+    return {k: v.split(", ") for k, v in (line.split(": ") for line in text.strip().splitlines())}
+
+
+OTHER, WHOLE_ONLY = _table(SAME) | _table(AGENCIES), set(_table(AGENCIES))
+PAST = _table(IRREGULAR)
+
+
+def forms(word: str) -> list[str]:
+    """What a word of a question may look like in a source: the start of its own forms, irregular ones, and other names."""
+    base = stem(word)
+    return list(dict.fromkeys([base, *PAST.get(base, []), *OTHER.get(base, OTHER.get(word.lower(), []))]))
 
 
-def stem(word: str) -> str:
-    w = word.lower()
-    for end, least in (("ies", 7), ("ing", 7), ("ed", 6), ("es", 5), ("s", 4), ("y", 5)):
-        if w.endswith(end) and len(w) >= least and not re.search("(ss|us|is|ws)$", w):
-            return w[: -len(end)]
-    return w
+def _open(form: str) -> str:
+    """The form as the start of a word: whole words for short names, the endings of its own forms for four letters, any end else."""
+    quoted = re.sub(r"([^\w ])", r"\\\1", form)
+    if len(form) <= 3 or form in WHOLE_ONLY:
+        return rf"(?<!\w){quoted}{SHORT_ENDS}(?!\w)"
+    if form == "hack":  # a hacker, but not the site that is named after them
+        return r"(?<!\w)hack(?:s|'s|ed|ing|er(?! ?news\b)|ers)?(?!\w)"
+    return rf"(?<!\w){quoted}{FOUR_ENDS}(?!\w)" if len(form) == 4 else rf"(?<!\w){quoted}"
 
 
 def pattern(word: str) -> str:
-    """A question's word as a pattern for its forms: short ones whole, longer ones open at the end."""
-    base = stem(word)
-    quoted = re.sub(r"([^\w])", r"\\\1", base)
-    tail = r"(?:s|es|ed|ing)?\b" if len(base) <= 3 else r"\w*" if len(base) >= 5 else r"(?:s|es|ed|er|ers|ing|y|ies)?\b"
-    return rf"(?i)\b{quoted}{tail}"
+    """A question's word as a pattern for all its forms. Scripts without spaces between words match anywhere."""
+    return "(?iU)" + ("|".join(_open(f) for f in forms(word)) if word.isascii() else re.escape(word))
 
 
 def has(word: str, text: Column) -> Column:
-    """A plain look for the stem first, which most rows fail, then the pattern."""
-    return F.contains(F.lower(text), F.lit(stem(word))) & text.rlike(pattern(word))
+    """A plain look for the forms first, which most rows fail, then the pattern."""
+    low = F.lower(text)
+    some = [F.contains(low, F.lit(f)) for f in (forms(word) if word.isascii() else [word.lower()])]
+    return reduce(Column.__or__, some) & text.rlike(pattern(word))
 
 
 def find(items: DataFrame, words: list[str], feeds: list[str] | None = None, limit: int | None = None, order: tuple[str, ...] = ("date", "key")) -> DataFrame:
@@ -42,6 +156,13 @@ def find(items: DataFrame, words: list[str], feeds: list[str] | None = None, lim
     return out.orderBy(F.desc(order[0]), *order[1:]).limit(limit) if limit else out
 
 
+def find_undated(items: DataFrame, posted: DataFrame, words: list[str], feeds: list[str] = ()) -> DataFrame:
+    """find() over the months that the word index names for a question without a date (see catalog.anchor_months): with items read from
+    an archive, only these partitions are read."""
+    months = anchor_months(posted, [[stem(f) for f in forms(w)] for w in words], feeds)
+    return find(items.filter(F.col("month").isin(months)), words)
+
+
 def rank(items: DataFrame, words: list[str], limit: int = 20, per_story: int = 2, tie: str = "key") -> DataFrame:
     """The best items for a question: 2 for a word in the title or feed name, 1 in the summary, times 1 + ln((N + 1) / (1 + df)).
 
@@ -104,13 +225,23 @@ def edits(a: str, b: str, most: int) -> int:
     return row[-1]
 
 
+def _deletions(word: Column, most: int) -> Column:
+    """The word and what is left of it without each letter, or each two letters."""
+    less = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1)))
+    one = less(word)
+    out = F.array_union(F.array(word), one)
+    return out if most == 1 else F.array_union(out, F.flatten(F.transform(F.array_distinct(one), less)))
+
+
 def repair(words: DataFrame, vocab: DataFrame) -> DataFrame:
     """word, fixed: the most frequent vocabulary word within one edit (two from nine letters), for words of five letters or
-    more that the vocabulary lacks. The few asked words meet vocabulary words of a fitting length only."""
+    more that the vocabulary lacks. Words within so many edits are equal without so many letters each: they meet by what is left."""
     unknown = words.filter(F.col("word").rlike("^[a-z]{5,}$")).join(vocab.select("word"), "word", "left_anti").distinct()
-    most = F.when(F.length("word") >= 9, 2).otherwise(1)
-    asked = unknown.withColumn("most", most).withColumn("len", F.explode(F.sequence(F.length("word") - F.col("most"), F.length("word") + F.col("most"))))
-    near = asked.join(vocab.select(F.col("word").alias("v"), "n").withColumn("len", F.length("v")), "len").filter(F.levenshtein("word", "v") <= 2 * F.col("most"))
+    asked = unknown.withColumn("most", F.when(F.length("word") >= 9, 2).otherwise(1))
+    left = lambda w, most: F.when(most == 2, _deletions(w, 2)).otherwise(_deletions(w, 1))
+    asked = asked.withColumn("left", F.explode(left(F.col("word"), F.col("most"))))
+    known = vocab.filter(F.length("word") >= 4).select(F.col("word").alias("v"), "n", F.explode(left(F.col("word"), F.when(F.length("word") >= 7, 2).otherwise(1))).alias("left"))
+    near = asked.join(known, "left").select("word", "v", "n", "most").distinct()
 
     @F.pandas_udf("int")
     def distance(a: pd.Series, b: pd.Series, most: pd.Series) -> pd.Series:
@@ -120,19 +251,26 @@ def repair(words: DataFrame, vocab: DataFrame) -> DataFrame:
     return close.groupBy("word").agg(F.max(F.struct("n", "v")).alias("b")).select("word", F.col("b.v").alias("fixed"))
 
 
+#: Queries that are sent to all tasks at once.
+BLOCK = 4096
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, least: float | None = None) -> DataFrame:
-    """query_id, vec_id, similarity, rank by cosine. queries: a stated set, small enough to send to all tasks (checked)."""
-    if queries.limit(10_001).count() > 10_000:
-        raise ValueError("nearest: more than 10,000 queries; split them")
+    """query_id, vec_id, similarity, rank by cosine. Queries are a stated set; they are sent to all tasks in blocks of about BLOCK, and each
+    block keeps k a query."""
     unit = lambda c: F.transform(c.cast("array<double>"), lambda x: x / F.sqrt(F.aggregate(c.cast("array<double>"), F.lit(0.0), lambda a, y: a + y * y)))
     v = vectors.select("vec_id", unit(F.col("embedding")).alias("v"), "label")
     q = queries.select(F.col("vec_id").alias("query_id"), unit(F.col("embedding")).alias("q"))
     dot = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    pairs = v.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).withColumn("similarity", F.round(dot, 6)).drop("v", "q")
-    if least is not None:
-        pairs = pairs.filter(F.col("similarity") >= least)
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    blocks = -(-queries.count() // BLOCK) or 1
+
+    def ranked(block: DataFrame) -> DataFrame:
+        pairs = v.join(F.broadcast(block), F.col("vec_id") != F.col("query_id")).withColumn("similarity", F.round(dot, 6)).drop("v", "q")
+        pairs = pairs if least is None else pairs.filter(F.col("similarity") >= least)
+        return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+    return reduce(DataFrame.unionByName, [ranked(q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else q) for i in range(blocks)])
 
 
 def vote(near: DataFrame) -> DataFrame:

@@ -49,3 +49,17 @@ def noisy(df: DataFrame, by: list[str], day: str, value: str, percent: float, da
     n = F.datediff(day, F.lit("1970-01-01"))
     around = Window.partitionBy(*by).orderBy(n).rangeBetween(-days, days)
     return out.withColumn("jumps", F.coalesce(F.sum(big).over(around), F.lit(0)) - F.coalesce(big, F.lit(0))).withColumn("noisy", F.col("jumps") >= others)
+
+
+def level_moves(df: DataFrame, by: list[str], day: str, value: str, least: float, floor: float) -> DataFrame:
+    """Rows that changed by `least` or more from the row before and stand at `floor` or above; `change` says by how much."""
+    out = df.withColumn("change", F.col(value) - F.lag(value).over(Window.partitionBy(*by).orderBy(day)))
+    return out.filter((F.abs("change") >= least) & (F.col(value) >= floor))
+
+
+def undone(df: DataFrame, by: list[str], day: str, value: str, percent: float = 20, near: float = 10, rows: int = 7) -> DataFrame:
+    """Rows that moved by so many percent and one of whose next rows is back within `near` percent of the row before them."""
+    w = Window.partitionBy(*by).orderBy(day)
+    out = df.select("*", F.lag(value).over(w).alias("previous"), F.collect_list(value).over(w.rowsBetween(1, rows)).alias("_later")).filter(F.col("previous") != 0)
+    back = F.exists("_later", lambda p: F.abs(p / F.col("previous") - 1) < near / 100)
+    return out.filter((F.abs(F.col(value) / F.col("previous") - 1) * 100 >= percent) & back).drop("_later")

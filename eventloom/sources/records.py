@@ -114,3 +114,50 @@ def bad_days(flights: DataFrame, day: str, place: str, cancelled, late, cause: s
     n = flights.groupBy(day, place).agg(F.count(F.lit(1)).alias("flights"), F.count_if(cancelled).alias("cancelled"), F.count_if(late).alias("late"))
     causes = flights.filter(cancelled | late).groupBy(day, place, cause).agg(F.count(F.lit(1)).alias("c")).groupBy(day, place).agg(F.min(F.struct((-F.col("c")).alias("c"), cause)).alias("m")).select(day, place, F.col(f"m.{cause}").alias("main_cause"))
     return n.filter((F.col("flights") >= least) & ((F.col("cancelled") + F.col("late")) / F.col("flights") >= share)).join(causes, [day, place], "left")
+
+
+#: The least Kp of each storm level, G1 to G5.
+STORM_KP = (5, 6, 7, 8, 9)
+
+
+def storm_level(kp):
+    """0, or 1 to 5 for a geomagnetic storm of G1 to G5."""
+    return sum((F.when(kp >= k - 0.001, 1).otherwise(0) for k in STORM_KP), F.lit(0))
+
+
+def eruption(title):
+    """The explosivity that a title states ("VEI 5")."""
+    return F.regexp_extract(title, r"\bVEI (\d)\b", 1).try_cast("int")
+
+
+def priced(logs: DataFrame, prices: DataFrame, least: float, key: list[str]) -> DataFrame:
+    """Logs (token, ts, amount) with their value at their token's close of the day (token, day, price). A log that repeats counts once;
+    those without a price, or below `least`, go."""
+    once = logs.dropDuplicates(key).withColumn("day", F.to_date("ts"))
+    return once.join(prices, ["token", "day"]).withColumn("value", F.col("amount") * F.col("price")).filter((F.col("price") != 0) & (F.col("value") >= least))
+
+
+QUAKE = "agency string, id string, t double, lat double, lon double, mag double, title string, place string, link string"
+_POINT = "id string, properties struct<mag:double,place:string,time:double,title:string,url:string,type:string>, geometry struct<coordinates:array<double>>"
+
+
+def _quake(agency: str, **columns) -> list:
+    return [F.lit(agency).alias("agency"), *[columns[f.split()[0]].alias(f.split()[0]) for f in QUAKE.split(", ")[1:]]]
+
+
+def usgs_quakes(df: DataFrame, body: str = "body") -> DataFrame:
+    """GeoJSON bodies as one report for each earthquake that has a magnitude and a place."""
+    f = df.select(F.explode(F.from_json(F.col(body), f"features array<struct<{', '.join(x.replace(' ', ':', 1) for x in _POINT.split(', ', 2))}>>")["features"]).alias("f")).select("f.*")
+    p, at = F.col("properties"), F.col("geometry.coordinates")
+    f = f.filter(p["mag"].isNotNull() & F.get(at, F.lit(1)).isNotNull() & (F.coalesce(p["type"], F.lit("earthquake")) == "earthquake"))
+    title = F.coalesce(F.nullif(p["title"], F.lit("")), F.concat(F.lit("M "), F.format_number(p["mag"], 1), F.lit(" - "), F.coalesce(p["place"], F.lit(""))))
+    return f.select(*_quake("USGS", id=F.col("id"), t=p["time"] / 1000, lat=F.get(at, F.lit(1)), lon=F.get(at, F.lit(0)), mag=p["mag"], title=title, place=F.coalesce(p["place"], F.lit("")), link=F.coalesce(p["url"], F.lit(""))))
+
+
+def gfz_quakes(df: DataFrame, body: str = "body", link: str = "https://geofon.gfz.de/eqinfo/event.php?id=") -> DataFrame:
+    """Lines of a text service, fields between bars: id, time, latitude, longitude, ..., magnitude (11th), ..., place (13th), kind (14th)."""
+    lines = df.select(F.explode(F.split(F.col(body), "\n")).alias("l")).filter((F.col("l") != "") & ~F.col("l").startswith("#"))
+    x = lambda i: F.get(F.split("l", "[|]"), F.lit(i))
+    number = lambda i: x(i).try_cast("double")
+    kept = lines.filter(x(13).isin("", "earthquake") & number(10).isNotNull() & number(2).isNotNull() & number(3).isNotNull())
+    return kept.select(*_quake("GFZ", id=x(0), t=F.unix_micros(F.to_timestamp(x(1))) / 1e6, lat=number(2), lon=number(3), mag=number(10), title=F.concat(F.lit("M "), F.format_number(number(10), 1), F.lit(" - "), x(12)), place=x(12), link=F.concat(F.lit(link), x(0))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import urllib.request
 from email.utils import format_datetime
-from xml.sax.saxutils import escape
+from xml.sax.saxutils import escape, quoteattr
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
@@ -53,17 +53,34 @@ def merged_history(new: DataFrame, old: DataFrame, most: int) -> DataFrame:
 
 
 def rss(items: DataFrame, title: str, link: str) -> str:
-    """A feed document of at most a few hundred items (merged_history bounds them)."""
-    rows = items.limit(1000).withColumn("_t", F.to_timestamp("date")).collect()
+    """A feed document of all its items, which merged_history bounds."""
+    rows = items.withColumn("_t", F.to_timestamp("date")).toLocalIterator()
     body = "".join(f"<item><guid>{escape(r.id)}</guid><title>{escape(r.title or '')}</title><link>{escape(r.link or '')}</link><description>{escape(r.summary or '')}</description>" + (f"<pubDate>{format_datetime(r._t)}</pubDate>" if r._t else "") + "</item>" for r in rows)
     return f'<?xml version="1.0" encoding="utf-8"?><rss version="2.0"><channel><title>{escape(title)}</title><link>{escape(link)}</link>{body}</channel></rss>'
 
 
 def json_feed(items: DataFrame, title: str, link: str) -> str:
-    rows = items.limit(1000).collect()
+    """The same as a JSON feed."""
+    rows = items.toLocalIterator()
     return json.dumps({"version": "https://jsonfeed.org/version/1.1", "title": title, "home_page_url": link, "items": [{"id": r.id, "title": r.title, "url": r.link, "summary": r.summary, "date_published": r.date} for r in rows]}, ensure_ascii=False)
 
 
+def atom(items: DataFrame, title: str, link: str) -> str:
+    """The same as an Atom feed."""
+    body = "".join(f"<entry><id>{escape(r.id)}</id><title>{escape(r.title or '')}</title><link href={quoteattr(r.link or '')}/><updated>{escape(r.date or '')}</updated><summary>{escape(r.summary or '')}</summary></entry>" for r in items.toLocalIterator())
+    return f'<?xml version="1.0" encoding="utf-8"?><feed xmlns="http://www.w3.org/2005/Atom"><title>{escape(title)}</title><id>{escape(link)}</id>{body}</feed>'
+
+
+def pretty(df: DataFrame, most: int = 20) -> str:
+    """The first rows for a reader: a title, then each field that has a value on a line of its own."""
+    blocks = []
+    for r in df.limit(most).collect():
+        row = {k: v for k, v in r.asDict(recursive=True).items() if v is not None}
+        head = row.pop("title", None) or row.get("key") or row.get("id") or ""
+        blocks.append("\n".join([str(head), *(f"  {k}: {v}" for k, v in row.items())]))
+    return "\n\n".join(blocks)
+
+
 def insert_or_ignore(df: DataFrame, path: str, key: str = "id") -> None:
     """Append rows whose key the table lacks, one row for each key."""
     rest = [c for c in df.columns if c != key]

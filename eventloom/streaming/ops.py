@@ -9,11 +9,16 @@ from pyspark.sql import functions as F
 from ..plans.state import State
 
 
-def counts(df: DataFrame, by: str, every: str, late: str = "0 seconds", time: str = "ts", distinct: str | None = None) -> DataFrame:
-    """window_start, value, count of closed windows; what comes after a window has closed is dropped (and in Spark's metrics)."""
+def counts(df: DataFrame, by: str, every: str, late: str = "0 seconds", time: str = "ts", distinct: str | None = None, approximate: bool = False) -> DataFrame:
+    """window_start, value, count of closed windows; what comes after a window has closed is dropped (and in Spark's metrics).
+
+    distinct: count the different values of a column, which the state of an open window holds; approximate: a sketch of them instead."""
     w = F.window(F.col(time), every)
     rows = df.withWatermark(time, late).filter(F.col(by).isNotNull() & (F.col(by).cast("string") != ""))
-    how = F.approx_count_distinct(distinct) if distinct else F.count(F.lit(1))
+    if distinct and not approximate:
+        rows = rows.select(w.alias("window"), by, distinct).dropDuplicates(["window", by, distinct])
+        w = F.col("window")
+    how = F.approx_count_distinct(distinct) if distinct and approximate else F.count(distinct or F.lit(1))
     return rows.groupBy(w, F.col(by).cast("string").alias("value")).agg(how.alias("count")).select(F.date_format("window.start", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("window_start"), "value", "count")
 
 
