@@ -220,15 +220,9 @@ def extract_domains(spark, d):
     return core.extract(t(spark, d, "pages").select("url"), "domains", ("url",), "domain").select(F.explode("domain").alias("domain")).groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
 
 
-STOP = ", ".join(f"'{w}'" for w in core.STOPWORDS)
-
-
-@query(f"""WITH w AS (SELECT conv_id, turn, unnest(list_distinct(regexp_extract_all(lower(regexp_replace(text, '(?i)(https?://|www\\.)\\S+|@[\\w.-]+|\\b[\\w-]+(\\.[\\w-]+)*\\.[a-z]{{2,}}(/\\S*)?', ' ', 'g')), '[a-z]+'))) AS word
-FROM conversations WHERE regexp_full_match(text, '[a-zA-Z ,.]*'))
-SELECT word, count(*) AS n FROM w WHERE length(word) > 1 AND word NOT IN ({STOP}) GROUP BY word""")
+@query()
 def extract_words_count(spark, d):
-    c = t(spark, d, "conversations").filter(F.col("text").rlike("^[a-zA-Z ,.]*$"))
-    return core.extract(c, "words", ("text",), "word").select(F.explode("word").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return core.extract(t(spark, d, "conversations"), "words", ("text",), "word").select(F.explode("word").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 # Counting, spikes, changes ------------------------------------------------------------------------------------------
@@ -324,20 +318,30 @@ def diff_summary_counts(spark, d):
 
 # Catalog ------------------------------------------------------------------------------------------------------------
 
-ITEMS = """items AS (SELECT doc_id, source AS feed, substr(text, 1, 80) AS title, substr(text, 81, 300) AS summary, 'https://e.org/' || (doc_id % 700) AS link,
-strftime(DATE '2023-01-01' + (doc_id * 37 % 800)::INTEGER, '%Y-%m-%d') AS date FROM documents)"""
-KEY = "substr(sha256(feed || chr(10) || link || chr(10) || trim(regexp_replace(lower(replace(title, 'ß', 'ss')), '\\s+', ' ', 'g'))), 1, 16)"
-TITLE_SAFE = "regexp_full_match(title, '[ -~\\n]*')"
+# An item holds the whole text of a document: its title is the first line, its summary all the rest; its key, and the words of its
+# postings, are those of both. A null text is an empty one.
+ITEMS = """items AS (SELECT doc_id, source AS feed, coalesce(text, '') AS whole, split_part(coalesce(text, ''), chr(10), 1) AS title, substr(coalesce(text, ''), length(split_part(coalesce(text, ''), chr(10), 1)) + 2) AS summary,
+'https://e.org/' || (doc_id % 700) AS link, strftime(DATE '2023-01-01' + (doc_id * 37 % 800)::INTEGER, '%Y-%m-%d') AS date FROM documents)"""
+KEY = "substr(sha256(feed || chr(10) || link || chr(10) || trim(regexp_replace(lower(replace(whole, 'ß', 'ss')), '[\\s\\v\\x{85}\\p{Z}]+', ' ', 'g'))), 1, 16)"
+#: What a letter of a word is.
+LETTER = "\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}"
 
 
 def _items(spark, d):
-    x = t(spark, d, "documents").select("doc_id", F.col("source").alias("feed"), F.substring("text", 1, 80).alias("title"), F.substring("text", 81, 300).alias("summary"), F.concat(F.lit("https://e.org/"), F.col("doc_id") % 700).alias("link"), F.date_format(F.date_add(F.lit("2023-01-01").cast("date"), (F.col("doc_id") * 37 % 800).cast("int")), "yyyy-MM-dd").alias("date"))
-    return catalog.with_keys(x)
+    text = F.coalesce("text", F.lit(""))
+    x = t(spark, d, "documents").withColumn("title", text).select("doc_id", F.col("source").alias("feed"), "title", F.concat(F.lit("https://e.org/"), F.col("doc_id") % 700).alias("link"), F.date_format(F.date_add(F.lit("2023-01-01").cast("date"), (F.col("doc_id") * 37 % 800).cast("int")), "yyyy-MM-dd").alias("date"))
+    first = F.substring_index("title", "\n", 1)
+    return catalog.with_keys(x).withColumn("summary", F.expr("substring(title, length(substring_index(title, '\\n', 1)) + 2)")).withColumn("title", first)
+
+
+def _posted(x):
+    """Postings of titles and summaries."""
+    return catalog.postings(x.withColumn("title", F.concat_ws("\n", "title", "summary")))
 
 
-@query(f"WITH {ITEMS} SELECT doc_id, {KEY} AS key FROM items WHERE {TITLE_SAFE}")
+@query(f"WITH {ITEMS} SELECT doc_id, {KEY} AS key FROM items")
 def item_key_hash(spark, d):
-    return _items(spark, d).filter(F.col("title").rlike("^[ -~\\n]*$")).select("doc_id", "key")
+    return _items(spark, d).select("doc_id", "key")
 
 
 @query("""SELECT o_orderkey, substr(sha256('["orders","' || o_orderkey || '",{"status":"' || o_orderstatus || '"}]'), 1, 20) AS id FROM orders""")
@@ -346,14 +350,15 @@ def event_id_hash(spark, d):
     return o.select("o_orderkey", X.event_id(F.lit("orders"), F.col("o_orderkey").cast("string"), F.to_json(F.struct(F.col("o_orderstatus").alias("status")))).alias("id"))
 
 
-@query(f"""WITH {ITEMS}, k AS (SELECT *, {KEY} AS key, substr(date, 1, 7) AS month FROM items WHERE {TITLE_SAFE}),
+@query(f"""WITH {ITEMS}, k AS (SELECT *, {KEY} AS key, substr(date, 1, 7) AS month FROM items),
 old AS (SELECT DISTINCT ON (month, key) month, key, doc_id FROM k WHERE doc_id % 3 <> 0 ORDER BY month, key, doc_id),
-new AS (SELECT DISTINCT ON (month, key) month, key, doc_id FROM k WHERE doc_id % 2 = 0 ORDER BY month, key, doc_id)
+new AS (SELECT DISTINCT ON (month, key) month, key, doc_id FROM k WHERE doc_id % 2 = 0 OR doc_id % 3 = 0 OR doc_id IS NULL ORDER BY month, key, doc_id)
 SELECT month, key, doc_id FROM old UNION ALL SELECT * FROM new WHERE (month, key) NOT IN (SELECT month, key FROM old)""")
 def archive_upsert(spark, d):
-    x = _items(spark, d).filter(F.col("title").rlike("^[ -~\\n]*$")).select("month", "key", "doc_id")
+    """The fresh items are all that the archive was not offered, and more."""
+    x = _items(spark, d).select("month", "key", "doc_id")
     old = catalog.upsert(x.limit(0), x.filter("doc_id % 3 <> 0"), ["doc_id"])
-    return catalog.upsert(old, x.filter("doc_id % 2 = 0"), ["doc_id"])
+    return catalog.upsert(old, x.filter("doc_id % 2 = 0 or doc_id % 3 = 0 or doc_id is null"), ["doc_id"])
 
 
 @query(f"WITH {ITEMS} SELECT substr(date, 1, 7) AS month, feed, count(*) AS items FROM items GROUP BY GROUPING SETS ((substr(date, 1, 7), feed), (substr(date, 1, 7)))")
@@ -368,18 +373,18 @@ def archive_days(spark, d):
 
 STEM = """CASE WHEN regexp_matches(w, '(ss|us|is|ws)$') THEN w WHEN ends_with(w, 'y') AND length(w) >= 5 THEN w[:-2] WHEN ends_with(w, 'ies') AND length(w) >= 7 THEN w[:-4] WHEN ends_with(w, 'ing') AND length(w) >= 7 THEN w[:-4]
 WHEN ends_with(w, 'ed') AND length(w) >= 6 THEN w[:-3] WHEN ends_with(w, 'es') AND length(w) >= 5 THEN CASE WHEN regexp_matches(w[:-3], '(s|x|z|ch|sh)$') THEN w[:-3] ELSE w[:-2] END WHEN ends_with(w, 's') AND length(w) >= 4 THEN w[:-2] ELSE w END"""
-POSTED = f"""WITH {ITEMS}, w AS (SELECT feed, substr(date, 1, 7) AS month, unnest(regexp_extract_all(lower(title), '[\\w'']+')) AS w FROM items WHERE {TITLE_SAFE}),
+POSTED = f"""WITH {ITEMS}, w AS (SELECT feed, substr(date, 1, 7) AS month, unnest(regexp_extract_all(lower(whole), '[{LETTER}'']+')) AS w FROM items),
 p AS (SELECT DISTINCT {STEM} AS word, feed, month FROM w WHERE length(w) > 2 AND NOT regexp_full_match(w, '\\d+'))"""
 
 
 @query(POSTED + "SELECT word, feed, array_to_string(list_sort(list(month)), ' ') AS months FROM p GROUP BY word, feed")
 def word_postings(spark, d):
-    return catalog.postings(_items(spark, d).filter(F.col("title").rlike("^[ -~\\n]*$"))).withColumn("months", F.array_join("months", " "))
+    return _posted(_items(spark, d)).withColumn("months", F.array_join("months", " "))
 
 
 @query(POSTED + "SELECT word, substr(word, 1, 2) AS shard, count(DISTINCT month)::INTEGER AS n, CASE WHEN count(DISTINCT month) > 120 THEN 'everywhere' WHEN count(DISTINCT month) > 12 THEN 'by feed' ELSE 'whole' END AS kind FROM p GROUP BY word")
 def word_postings_rare(spark, d):
-    x = catalog.index(catalog.postings(_items(spark, d).filter(F.col("title").rlike("^[ -~\\n]*$"))))
+    x = catalog.index(_posted(_items(spark, d)))
     return x.select("word", "shard", F.size("months").alias("n"), "kind")
 
 
@@ -401,9 +406,9 @@ def on_this_day(spark, d):
     return catalog.on_this_day(x, 7.0).select("day", "doc_id", "rank")
 
 
-@query(f"WITH {ITEMS} SELECT substr(date, 1, 7) AS month, {KEY} AS key, count(*) AS copies FROM items WHERE {TITLE_SAFE} GROUP BY ALL HAVING count(*) > 1")
+@query(f"WITH {ITEMS} SELECT substr(date, 1, 7) AS month, {KEY} AS key, count(*) AS copies FROM items GROUP BY ALL HAVING count(*) > 1")
 def validate_duplicates(spark, d):
-    return catalog.duplicate_keys(_items(spark, d).filter(F.col("title").rlike("^[ -~\\n]*$")))
+    return catalog.duplicate_keys(_items(spark, d))
 
 
 @query(f"WITH {ITEMS} SELECT doc_id FROM items WHERE substr(date, 1, 7) <> (CASE WHEN doc_id % 9 = 0 THEN '2020-01' ELSE substr(date, 1, 7) END)")
@@ -434,19 +439,41 @@ def health_transitions(spark, d):
 # Retrieval ----------------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {ITEMS} SELECT doc_id FROM items WHERE regexp_matches(concat_ws(' ', title, summary, feed), '(?i)\\bthat(?:s|es|ed|er|ers|ing|y|ies)?\\b') AND regexp_matches(concat_ws(' ', title, summary, feed), '(?i)\\bwith(?:s|es|ed|er|ers|ing|y|ies)?\\b')")
+def _found(text: str, *forms: str) -> str:
+    """SQL: the text has one of the forms (patterns) as a word."""
+    return f"regexp_matches({text}, '(?i)(^|[^{LETTER}])(?:{'|'.join(forms)})($|[^{LETTER}])')"
+
+
+FOUR = "(?:s|es|''s|e?d|ing|ers?|i?ans?|ese|ish)?"
+ANY = f"[{LETTER}]*"
+WHOLE = "concat_ws(' ', title, summary, replace(feed, '-', ' '))"
+
+
+@query(f"WITH {ITEMS} SELECT doc_id FROM items WHERE {_found(WHOLE, 'that' + FOUR)} AND {_found(WHOLE, 'with' + FOUR)}")
 def search_all_words(spark, d):
     return search.find(_items(spark, d), ["that", "with"]).select("doc_id")
 
 
-@query(f"WITH {ITEMS} SELECT doc_id FROM items WHERE feed IN ('src1', 'src2') AND regexp_matches(concat_ws(' ', title, summary, feed), '(?i)\\bthe(?:s|es|ed|ing)?\\b')")
+@query(f"WITH {ITEMS} SELECT doc_id FROM items WHERE feed IN ('src1', 'src2') AND {_found(WHOLE, 'the(?:s|es|''s|ed|ing)?')}")
 def search_feed_filter(spark, d):
     return search.find(_items(spark, d), ["the"], ["src1", "src2"]).select("doc_id")
 
 
-RANKED = f"""WITH {ITEMS}, m AS (SELECT *, regexp_matches(title || ' ' || feed, '(?i)\\bwhen?\\w*') AS x FROM items),
-h AS (SELECT doc_id, date, regexp_matches(concat_ws(' ', title, feed), '(?i)\\bthat(?:s|es|ed|er|ers|ing|y|ies)?\\b') AS h0, regexp_matches(summary, '(?i)\\bthat(?:s|es|ed|er|ers|ing|y|ies)?\\b') AS b0,
- regexp_matches(concat_ws(' ', title, feed), '(?i)\\bwith(?:s|es|ed|er|ers|ing|y|ies)?\\b') AS h1, regexp_matches(summary, '(?i)\\bwith(?:s|es|ed|er|ers|ing|y|ies)?\\b') AS b1 FROM items),
+@query(f"""WITH {ITEMS} SELECT 'places' AS word, doc_id FROM items WHERE {_found(WHOLE, 'place' + ANY)}
+UNION ALL SELECT 'companies', doc_id FROM items WHERE {_found(WHOLE, 'compan' + ANY)}
+UNION ALL SELECT 'houses', doc_id FROM items WHERE {_found(WHOLE, 'hous' + FOUR)}
+UNION ALL SELECT 'worked', doc_id FROM items WHERE {_found(WHOLE, 'work' + FOUR)}
+UNION ALL SELECT 'buys', doc_id FROM items WHERE {_found(WHOLE, 'buy(?:s|es|''s|ed|ing)?', 'bought' + ANY)}
+UNION ALL SELECT 'un', doc_id FROM items WHERE {_found(WHOLE, 'un(?:s|es|''s|ed|ing)?', 'united nations' + ANY)}""")
+def search_word_forms(spark, d):
+    x = _items(spark, d)
+    each = [search.find(x, [w]).select(F.lit(w).alias("word"), "doc_id") for w in ("places", "companies", "houses", "worked", "buys", "un")]
+    return core.reduce(DataFrame.unionByName, each)
+
+
+RANKED = f"""WITH {ITEMS},
+h AS (SELECT doc_id, date, {_found("concat_ws(' ', title, replace(feed, '-', ' '))", 'that' + FOUR)} AS h0, {_found('summary', 'that' + FOUR)} AS b0,
+ {_found("concat_ws(' ', title, replace(feed, '-', ' '))", 'with' + FOUR)} AS h1, {_found('summary', 'with' + FOUR)} AS b1 FROM items),
 n AS (SELECT count(*) AS n, count(*) FILTER (WHERE h0 OR b0) AS d0, count(*) FILTER (WHERE h1 OR b1) AS d1 FROM h),
 s AS (SELECT doc_id, date, (CASE WHEN h0 THEN 2 WHEN b0 THEN 1 ELSE 0 END) AS w0, (CASE WHEN h1 THEN 2 WHEN b1 THEN 1 ELSE 0 END) AS w1, n, d0, d1 FROM h, n),
 c AS (SELECT doc_id, date, ((w0 > 0)::INTEGER + (w1 > 0)::INTEGER) AS coverage, round(w0 * (1 + ln((n + 1.0) / (1 + d0))) + w1 * (1 + ln((n + 1.0) / (1 + d1))), 6) AS score FROM s),
@@ -477,14 +504,9 @@ def _asked(v):
     return v.filter((F.length("word") >= 6) & (F.col("n") >= 20)).select(F.expr("substr(word, 1, 2) || substr(word, 4, 1) || substr(word, 3, 1) || substr(word, 5)").alias("word"))
 
 
-@query(f"""WITH {ITEMS}, v AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(concat_ws(' ', title, summary)), '\\b[a-z]{{4,}}\\b')) AS word FROM items WHERE regexp_full_match(concat_ws(' ', title, summary), '[ -~\\n]*')) GROUP BY word),
-q AS (SELECT DISTINCT substr(word, 1, 2) || substr(word, 4, 1) || substr(word, 3, 1) || substr(word, 5) AS word FROM v WHERE length(word) >= 6 AND n >= 20),
-u AS (SELECT word FROM q WHERE word NOT IN (SELECT word FROM v)),
-c AS (SELECT u.word, v.word AS w, v.n FROM u JOIN v ON abs(length(u.word) - length(v.word)) <= 2 AND damerau_levenshtein(u.word, v.word) <= CASE WHEN length(u.word) >= 9 THEN 2 ELSE 1 END)
-SELECT word, w AS fixed FROM c QUALIFY row_number() OVER (PARTITION BY word ORDER BY n DESC, w DESC) = 1""")
+@query()
 def typo_vocab(spark, d):
-    safe = F.concat_ws(" ", "title", "summary").rlike("^[ -~\\n]*$")
-    v = search.vocabulary(_items(spark, d).filter(safe))
+    v = search.vocabulary(_items(spark, d))
     return search.repair(_asked(v), v)
 
 
@@ -521,77 +543,9 @@ def unsupported_numbers(spark, d):
     return a.join(b, ["conv_id", "turn"]).select("conv_id", "turn", F.array_join(F.array_sort(X.unsupported_numbers(F.col("a"), F.col("b"))), " ").alias("unsupported"))
 
 
-# All rows -----------------------------------------------------------------------------------------------------------
-# The queries of these names without _all keep the rows on which SQL folds case and splits words alike, or the first
-# 380 characters of a text, as their SQL states.
-
-
-@query()
-def extract_words_count_all(spark, d):
-    return core.extract(t(spark, d, "conversations"), "words", ("text",), "word").select(F.explode("word").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-
-
-def _whole(spark, d):
-    """Items that hold whole texts: the title is the first line, the summary all the rest, and the key is of both. A null text is
-    an empty one."""
-    text = F.coalesce("text", F.lit(""))
-    x = t(spark, d, "documents").withColumn("title", text).select("doc_id", F.col("source").alias("feed"), "title", F.concat(F.lit("https://e.org/"), F.col("doc_id") % 700).alias("link"), F.date_format(F.date_add(F.lit("2023-01-01").cast("date"), (F.col("doc_id") * 37 % 800).cast("int")), "yyyy-MM-dd").alias("date"))
-    first = F.substring_index("title", "\n", 1)
-    return catalog.with_keys(x).withColumn("summary", F.expr("substring(title, length(substring_index(title, '\\n', 1)) + 2)")).withColumn("title", first)
-
-
-def _posted(x):
-    """Postings of titles and summaries."""
-    return catalog.postings(x.withColumn("title", F.concat_ws("\n", "title", "summary")))
-
-
-@query()
-def item_key_hash_all(spark, d):
-    return _whole(spark, d).select("doc_id", "key")
-
-
-@query()
-def archive_upsert_all(spark, d):
-    """The fresh items are all that the archive was not offered, and more."""
-    x = _whole(spark, d).select("month", "key", "doc_id")
-    old = catalog.upsert(x.limit(0), x.filter("doc_id % 3 <> 0"), ["doc_id"])
-    return catalog.upsert(old, x.filter("doc_id % 2 = 0 or doc_id % 3 = 0 or doc_id is null"), ["doc_id"])
-
-
-@query()
-def word_postings_all(spark, d):
-    return _posted(_whole(spark, d)).withColumn("months", F.array_join("months", " "))
-
-
-@query()
-def word_postings_rare_all(spark, d):
-    return catalog.index(_posted(_whole(spark, d))).select("word", "shard", F.size("months").alias("n"), "kind")
-
-
-@query()
-def validate_duplicates_all(spark, d):
-    return catalog.duplicate_keys(_whole(spark, d))
-
-
-@query()
-def typo_vocab_all(spark, d):
-    v = search.vocabulary(_whole(spark, d))
-    return search.repair(_asked(v), v)
-
-
-@query()
-def search_all_words_all(spark, d):
-    return search.find(_whole(spark, d), ["that", "with"]).select("doc_id")
-
-
-@query()
-def search_feed_filter_all(spark, d):
-    return search.find(_whole(spark, d), ["the"], ["src1", "src2"]).select("doc_id")
-
-
-@query()
-def rank_tfidf_all(spark, d):
-    return search.rank(_whole(spark, d), ["that", "with"], 50, 1_000_000, "doc_id").select("doc_id", "coverage", "score")
+# Earlier names of queries that saw all rows when those without _all did not.
+for _name in ("extract_words_count", "item_key_hash", "archive_upsert", "word_postings", "word_postings_rare", "validate_duplicates", "typo_vocab", "search_all_words", "search_feed_filter", "rank_tfidf"):
+    QUERIES[f"{_name}_all"] = QUERIES[_name]
 
 
 # Time series and joins ----------------------------------------------------------------------------------------------
@@ -827,6 +781,97 @@ def ml_tfidf_kmeans(spark, d):
     return clusters(t(spark, d, "documents").select("doc_id", "text"), 8)
 
 
+@query("WITH w AS (SELECT epoch_us(ts) // 3600000000 AS w, event_type, user_id FROM events) SELECT strftime(make_timestamp(w * 3600000000), '%Y-%m-%dT%H:%M:%SZ') AS window_start, event_type AS value, count(DISTINCT user_id) AS count FROM w WHERE w < (SELECT max(w) FROM w) GROUP BY ALL")
+def stream_count_distinct(spark, d):
+    from .streaming import ops
+
+    return ops.into_table(ops.counts(_stream(spark, d), "event_type", "1 hour", distinct="user_id"), *_places(spark))
+
+
+@query("""WITH w AS (SELECT epoch_us(ts) // 3600000000 AS w, event_type, ts FROM events), m AS (SELECT min(ts) + (max(ts) - min(ts)) / 2 AS half FROM events), h AS (SELECT epoch_us(half) // 3600000000 AS h FROM m)
+SELECT strftime(make_timestamp(w * 3600000000), '%Y-%m-%dT%H:%M:%SZ') AS window_start, event_type AS value, count(*) AS count FROM w, h WHERE w > h AND w < (SELECT max(w) FROM w) GROUP BY ALL""")
+def stream_late_drop(spark, d):
+    """The later half of the events arrives first, in two batches (what is late is told by the batch before): the windows of the
+    earlier half are closed by then, and all of it is dropped."""
+    from .streaming import ops
+
+    e = t(spark, d, "events")
+    m = e.agg((F.unix_micros(F.min(F.col("ts").cast("timestamp"))) + (F.unix_micros(F.max(F.col("ts").cast("timestamp"))) - F.unix_micros(F.min(F.col("ts").cast("timestamp")))) / 2).alias("half"))
+    hour = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000)
+    e = e.join(F.broadcast(m)).withColumn("later", hour > F.floor(F.col("half") / 3_600_000_000)).drop("half")  # one row
+    out, checkpoint = _places(spark)
+    path = f"{out}-in"
+    for part in ("later and event_id % 2 = 0", "later and event_id % 2 = 1", "not later"):
+        e.filter(part).drop("later").coalesce(1).write.mode("append").parquet(path)
+    s = spark.readStream.schema(t(spark, d, "events").schema).option("maxFilesPerTrigger", 1).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+    return ops.into_table(ops.counts(s, "event_type", "1 hour"), out, checkpoint)
+
+
+@query(f"WITH {DAILY}, l AS (SELECT *, level - lag(level) OVER (PARTITION BY series ORDER BY day) AS change FROM y) SELECT series, strftime(day, '%Y-%m-%d') AS day, round(change, 2) AS change FROM l WHERE abs(change) >= 100 AND level >= 500")
+def level_moves(spark, d):
+    return _text_days(series.level_moves(_daily(spark, d), ["series"], "day", "level", 100, 500)).select("series", "day", F.round("change", 2).alias("change"))
+
+
+@query(f"WITH {DAILY}, l AS (SELECT *, lag(level) OVER (PARTITION BY series ORDER BY day) AS p, list(level) OVER (PARTITION BY series ORDER BY day ROWS BETWEEN 1 FOLLOWING AND 7 FOLLOWING) AS later FROM y) SELECT series, strftime(day, '%Y-%m-%d') AS day FROM l WHERE p <> 0 AND abs(level / p - 1) * 100 >= 20 AND len(list_filter(later, lambda x: abs(x / p - 1) < 0.1)) > 0")
+def undone_moves(spark, d):
+    return _text_days(series.undone(_daily(spark, d), ["series"], "day", "level")).select("series", "day")
+
+
+@query(f"""WITH {ITEMS}, o AS (SELECT feed, min(date) AS oldest FROM items WHERE date >= '2024-06-01' GROUP BY feed)
+SELECT doc_id FROM items WHERE date >= '2024-06-01' UNION ALL SELECT doc_id FROM items LEFT JOIN o USING (feed) WHERE doc_id % 2 = 0 AND (oldest IS NULL OR date < oldest)""")
+def splice_history(spark, d):
+    x = _items(spark, d).select("doc_id", "feed", "date")
+    return catalog.splice(x.filter("date >= '2024-06-01'"), x.filter("doc_id % 2 = 0")).select("doc_id")
+
+
+@query("""SELECT l_orderkey, arg_max(l_linenumber, CASE WHEN l_returnflag = 'R' THEN l_linenumber ELSE -l_linenumber END) AS l_linenumber FROM (SELECT l_orderkey, l_linenumber, l_returnflag FROM lineitem) GROUP BY l_orderkey""")
+def fullest_report(spark, d):
+    x = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
+    return catalog.fullest(x, "l_orderkey", F.col("l_returnflag") == "R", "l_linenumber").select("l_orderkey", "l_linenumber")
+
+
+@query(f"""WITH {ITEMS}, s AS (SELECT feed, strftime(DATE '2024-05-31' - i::INTEGER, '%Y-%m-%d') AS day FROM (SELECT DISTINCT feed FROM items), range(30) r(i))
+SELECT day, feed, count(doc_id) AS items FROM s LEFT JOIN items i ON i.feed IS NOT DISTINCT FROM s.feed AND i.date = s.day GROUP BY day, s.feed AS feed""".replace("GROUP BY day, s.feed AS feed", "GROUP BY ALL").replace("SELECT day, feed, count", "SELECT day, s.feed AS feed, count"))
+def recent_days(spark, d):
+    return catalog.recent_days(_items(spark, d), "2024-05-31", 30)
+
+
+@query("SELECT o_orderpriority AS kind, count(*) FILTER (WHERE o_orderstatus = 'F') AS passed, count(*) AS of, round(avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END), 6) AS share FROM orders GROUP BY 1")
+def pass_rates(spark, d):
+    return catalog.pass_rates(t(spark, d, "orders").withColumnRenamed("o_orderpriority", "kind"), ["kind"], F.col("o_orderstatus") == "F")
+
+
+@query("""WITH p AS (SELECT event_type AS token, ts::DATE AS day, round(max(value), 2) AS price FROM events WHERE user_id % 3 = 0 GROUP BY 1, 2)
+SELECT event_id, round(user_id * price, 2) AS value FROM events e JOIN p ON p.token = e.event_type AND p.day = e.ts::DATE WHERE price <> 0 AND user_id * price >= 1000""")
+def priced_logs(spark, d):
+    e = t(spark, d, "events")
+    prices = e.filter("user_id % 3 = 0").groupBy(F.col("event_type").alias("token"), F.to_date("ts").alias("day")).agg(F.round(F.max("value"), 2).alias("price"))
+    logs = e.select("event_id", F.col("event_type").alias("token"), "ts", F.col("user_id").alias("amount"))
+    return records.priced(logs.unionByName(logs.filter("event_id % 7 = 0")), prices, 1000, ["event_id"]).select("event_id", F.round("value", 2).alias("value"))
+
+
+@query("SELECT l_orderkey, l_linenumber, (CASE WHEN q >= 9 THEN 5 WHEN q >= 8 THEN 4 WHEN q >= 7 THEN 3 WHEN q >= 6 THEN 2 WHEN q >= 5 THEN 1 ELSE 0 END)::INTEGER AS level FROM (SELECT *, l_quantity / 5 AS q FROM lineitem)")
+def storm_levels(spark, d):
+    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", records.storm_level(F.col("l_quantity") / 5).alias("level"))
+
+
+@query("SELECT 'GFZ' AS agency, c_custkey::VARCHAR AS id, c_nationkey::DOUBLE AS lat, (c_custkey % 180)::DOUBLE AS lon, (c_custkey % 60) / 10 AS mag, 'place ' || c_nationkey AS place FROM customer WHERE c_custkey % 5 <> 0 UNION ALL SELECT 'USGS', c_custkey::VARCHAR, c_nationkey::DOUBLE, (c_custkey % 180)::DOUBLE, (c_custkey % 60) / 10, 'place ' || c_nationkey FROM customer WHERE c_custkey % 5 <> 0")
+def quake_reports(spark, d):
+    c = t(spark, d, "customer")
+    mag = F.format_number(F.col("c_custkey") % 60 / 10, 1)
+    kind = F.when(F.col("c_custkey") % 5 == 0, "explosion").otherwise("earthquake")
+    lines = c.select(F.concat(F.lit("#id|time\n"), F.concat_ws("|", "c_custkey", F.lit("2024-01-01T00:00:00"), "c_nationkey", F.col("c_custkey") % 180, F.lit("10|||||"), mag, F.lit(""), F.concat(F.lit("place "), "c_nationkey"), kind)).alias("body"))
+    point = F.struct(F.col("c_custkey").cast("string").alias("id"), F.struct(mag.cast("double").alias("mag"), F.concat(F.lit("place "), "c_nationkey").alias("place"), F.lit(1.7e12).alias("time"), kind.alias("type")).alias("properties"), F.struct(F.array((F.col("c_custkey") % 180).cast("double"), F.col("c_nationkey").cast("double")).alias("coordinates")).alias("geometry"))
+    bodies = c.select(F.to_json(F.struct(F.array(point).alias("features"))).alias("body"))
+    return records.gfz_quakes(lines).unionByName(records.usgs_quakes(bodies)).select("agency", "id", "lat", "lon", "mag", "place")
+
+
+@query()
+def search_undated(spark, d):
+    x = _items(spark, d)
+    return search.find_undated(x, _posted(x), ["that", "with"]).select("doc_id")
+
+
 # Records, feeds and windows -------------------------------------------------------------------------------------------
 
 

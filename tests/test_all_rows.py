@@ -52,12 +52,12 @@ def parts(t):
 
 
 def test_keys_and_archive(spark, folder):
-    got = {r.doc_id: r.key for r in Q.item_key_hash_all(spark, folder).collect()}
+    got = {r.doc_id: r.key for r in Q.item_key_hash(spark, folder).collect()}
     assert got == {i: k for i, _, k, *_ in items()}
-    archive = {(r.month, r.key, r.doc_id) for r in Q.archive_upsert_all(spark, folder).collect()}
+    archive = {(r.month, r.key, r.doc_id) for r in Q.archive_upsert(spark, folder).collect()}
     assert {i for *_, i in archive} >= {i for i, _, k, *_ in items() if k}
     copies = collections.Counter((m, k) for _, _, k, m, *_ in items())
-    assert {(r.month, r.key): r.copies for r in Q.validate_duplicates_all(spark, folder).collect()} == {x: n for x, n in copies.items() if n > 1}
+    assert {(r.month, r.key): r.copies for r in Q.validate_duplicates(spark, folder).collect()} == {x: n for x, n in copies.items() if n > 1}
 
 
 def test_postings(spark, folder):
@@ -66,11 +66,11 @@ def test_postings(spark, folder):
         for w in re.findall(r"[\w']+", title.lower()):
             if len(w) > 2 and not re.fullmatch(r"[0-9]+", w):
                 want[stem(w), feed].add(month)
-    assert {(r.word, r.feed): r.months for r in Q.word_postings_all(spark, folder).collect()} == {k: " ".join(sorted(v)) for k, v in want.items()}
+    assert {(r.word, r.feed): r.months for r in Q.word_postings(spark, folder).collect()} == {k: " ".join(sorted(v)) for k, v in want.items()}
     months = collections.defaultdict(set)
     for (w, _), m in want.items():
         months[w] |= m
-    assert {r.word: (r.shard, r.n) for r in Q.word_postings_rare_all(spark, folder).collect()} == {w: (w[:2], len(m)) for w, m in months.items()}
+    assert {r.word: (r.shard, r.n) for r in Q.word_postings_rare(spark, folder).collect()} == {w: (w[:2], len(m)) for w, m in months.items()}
     assert {"naïve", "éclair", "don't", "12b", "zanzibar"} <= set(months)
 
 
@@ -82,7 +82,7 @@ def test_vocabulary_and_repair(spark, folder):
         near = [(n, x) for x, n in v.items() if edits(w, x, 2 if len(w) >= 9 else 1) <= (2 if len(w) >= 9 else 1)]
         if near:
             want[w] = max(near)[1]
-    assert want and {r.word: r.fixed for r in Q.typo_vocab_all(spark, folder).collect()} == want
+    assert want and {r.word: r.fixed for r in Q.typo_vocab(spark, folder).collect()} == want
 
 
 def test_search_and_rank(spark, tmp_path):
@@ -90,16 +90,16 @@ def test_search_and_rank(spark, tmp_path):
     texts = [far + "that with", "that with\n" + far, far + "that", None, "with", far + "the", "Ünder that\nwith"]
     rows = [(i, t, "en", f"src{i % 3}", 0) for i, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    assert {r.doc_id for r in Q.search_all_words_all(spark, str(tmp_path)).collect()} == {0, 1, 6}
-    assert {r.doc_id for r in Q.search_feed_filter_all(spark, str(tmp_path)).collect()} == {5}
+    assert {r.doc_id for r in Q.search_all_words(spark, str(tmp_path)).collect()} == {0, 1, 6}
+    assert {r.doc_id for r in Q.search_feed_filter(spark, str(tmp_path)).collect()} == {5}
     n, d = len(rows), {w: sum(w in (t or "").split() for t in texts) for w in ("that", "with")}
     rarity = {w: 1 + math.log((n + 1) / (1 + c)) for w, c in d.items()}
     weight = {0: (1, 1), 1: (2, 2), 6: (2, 1)}
     want = {i: round(a * rarity["that"] + b * rarity["with"], 6) for i, (a, b) in weight.items()}
-    got = Q.rank_tfidf_all(spark, str(tmp_path)).collect()
+    got = Q.rank_tfidf(spark, str(tmp_path)).collect()
     assert {r.doc_id: r.score for r in got} == pytest.approx({i: s for i, s in want.items() if s >= max(want.values()) / 2}) and {r.coverage for r in got} == {2}
 
 
 def test_words_of_all_turns(spark, folder):
-    got = {r.word: r.n for r in Q.extract_words_count_all(spark, folder).collect()}
+    got = {r.word: r.n for r in Q.extract_words_count(spark, folder).collect()}
     assert got["lamps"] == 3 and got["stop"] == 1 and not {"https", "org"} & set(got) and not set(core.STOPWORDS) & set(got)
