@@ -12,8 +12,9 @@ from . import textkit as tk
 from .quality import held_out
 from .runtime import stored
 
-#: Words with a place of their own in the clustering; the others share places by their endings. Both bound the model's size.
-WORDS, ENDINGS, CLASSES, ROUNDS, WORD_BYTES = 16_384, 2_048, 64, 3, 48
+#: Words with a place of their own in the clustering, none longer than WORD_BYTES; the others share places by their endings. They
+#: bound the model's size: a place is a number of 16 bits.
+WORDS, ENDINGS, CLASSES, ROUNDS, WORD_BYTES = 60_000, 2_048, 64, 3, 48
 CHUNK = 1024
 
 
@@ -198,14 +199,16 @@ def transitions(n: np.ndarray, mass: np.ndarray) -> np.ndarray:
 def score(docs: DataFrame, words: int = WORDS, classes: int = CLASSES, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", mod: int = 10) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity of every text.
 
-    Words of the training texts are counted; the `words` most frequent and the endings of all others are places that
-    exchange clustering deals to classes, from their contexts in all training texts; the end of a text is a class alone.
+    Words of the training texts are counted; the `words` most frequent of at most WORD_BYTES bytes and the endings of all others are
+    places that exchange clustering deals to classes, from their contexts in all training texts; the end of a text is a class alone.
     P(w | before) = P(class(w) | class(before)) * (c + 0.1) / (tokens + 0.1 * (kinds + 1)) of the class: the class's words
     and one unknown word sum to 1. A text starts after an end. The factor c + 0.1 is in the base score too, so that
     counts of rare words, joined by word, only add up per text; no list of all words is sent to any task.
     Null or empty texts have the end alone; repeated rows count and score each; a null id is held out; without training
     texts every count is 0.
     """
+    if words + ENDINGS >= 1 << 16:
+        raise ValueError(f"score: at most {(1 << 16) - 1 - ENDINGS} words can have places of their own")
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), held_out(id_col, mod).alias("held_out"), F.col(f"`{text_col}`").cast("string").alias("text"))
     counts = stored(word_counts(texts), "words")
     top = counts.filter(F.octet_length("word") <= WORD_BYTES).orderBy(F.desc("c"), "word").limit(words).toArrow()

@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from test_text import words
 
@@ -75,6 +76,55 @@ def test_language_model(spark):
     assert brown.score(spark.createDataFrame([(None, "a b")], "doc_id long, text string")).first().n_known == 0
 
 
+def test_scores_against_a_plain_model(spark):
+    """The same model with dictionaries and loops: places, contexts, exchange, class and word probabilities."""
+    r = random.Random(8)
+    some = ["the", "cat", "sat", "on", "a", "mat", "Dog", "ran", "far", "x" * 60]
+    rows = [(i, " ".join(r.choice(some[:6]) if r.random() < 0.7 else r.choice([*some, f"rare{r.randrange(40)}"]) for _ in range(r.randint(0, 12)))) for i in range(80)] + [(None, "the cat"), (3, None)]
+    k, many, rounds = 5, 4, 2
+    got = brown.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), words=k, classes=many, rounds=rounds).collect()
+    train = [words(t) for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 10]
+    c = collections.Counter(w for t in train for w in t)
+    own = [w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0])) if len(w.encode()) <= brown.WORD_BYTES][:k]
+    end = k + brown.ENDINGS
+
+    def place(w):
+        return own.index(w) if w in own else k + int(brown.ending(pa.array([w.encode()], pa.large_binary()))[0])
+
+    seqs = [[end, *map(place, t), end] for t in train]
+    cls = np.append(np.arange(end) % (many - 1), many - 1)
+
+    def contexts():
+        after, before = np.zeros((end + 1, many)), np.zeros((end + 1, many))
+        for s in seqs:
+            for x, y in zip(s, s[1:]):
+                after[x, cls[y]] += 1
+                before[y, cls[x]] += 1
+        return after, before
+
+    for _ in range(rounds):
+        cls = brown.exchange(cls, *contexts(), many)
+    n, mass = np.zeros((many, many)), np.array([0.1] * many)
+    np.add.at(n, cls, contexts()[0])
+    for w, m in c.items():
+        mass[cls[place(w)]] += m + 0.1
+    mass[many - 1] = len(train) + 0.1
+    share = brown.transitions(n, mass)
+
+    def plain(t):
+        total, last = 0.0, cls[end]
+        for w in [*words(t), None]:
+            now = cls[end if w is None else place(w)]
+            total += share[last, now] + math.log10((len(train) if w is None else c[w]) + 0.1) - math.log10(mass[now])
+            last = now
+        return total
+
+    want = collections.Counter((i, round(plain(t), 6)) for i, t in rows)
+    assert collections.Counter((x.doc_id, round(x.score, 6)) for x in got) == want
+    with pytest.raises(ValueError):
+        brown.score(spark.createDataFrame(rows, "doc_id long, text string"), words=63_488)
+
+
 def test_class_probabilities_sum_to_one(spark):
     """Over all known words, an unknown one of each class and the end, after any text."""
     texts = [(i, t) for i, t in enumerate(["a b a b c", "b a b a", "c c a b"] * 20)]
@@ -125,6 +175,9 @@ def test_shards(spark):
     assert collections.Counter((x.doc_id, x.size, x.text_crc32) for x in got) == collections.Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, _ in rows)
     key = lambda rs: sorted((x.place, x.doc_id if x.doc_id is not None else -1, x.shard, x.slot) for x in rs)
     assert key(shards.shard(df.repartition(2), group_rows=300).collect()) == key(got)
+    alone = spark.range(3000).selectExpr("cast(null as long) doc_id", "cast(id as string) text", "'a' source")
+    places = [x.place for x in shards.shard(alone, group_rows=100).collect()]
+    assert sorted(places) == list(range(3000))
     assert shards.shard(df.limit(0)).count() == 0 and shards.shard(df.limit(3)).count() == 3
 
 
