@@ -63,6 +63,21 @@ def op6_substring_dedup(spark, sf_dir):
     return remove(table(spark, sf_dir, "documents"))
 
 
+# Two hex digits a byte: string i of a text is 400 of them.
+ORACLES["op6_substring_dedup"] = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT r, b, substr(h, 2 * b + 1, 1422) AS part FROM (SELECT r, h, unnest(range(0, length(h) // 2 - 199, 512)) AS b FROM d WHERE length(h) >= 400)),
+w AS (SELECT r, b + j AS i, md5(substr(part, 2 * j + 1, 400)) AS w FROM (SELECT r, b, part, unnest(range(least(512, length(part) // 2 - 199))) AS j FROM c)),
+t AS (SELECT w FROM w GROUP BY w HAVING count(*) > 1),
+f AS (SELECT r, i, i > coalesce(lag(i) OVER (PARTITION BY r ORDER BY i) + 200, -1) AS new FROM w WHERE w IN (FROM t)),
+n AS (SELECT r, i, sum(new::INTEGER) OVER (PARTITION BY r ORDER BY i) AS run FROM f),
+s AS (SELECT r, run, min(i) AS lo, max(i) + 200 AS hi FROM n GROUP BY r, run),
+p AS (SELECT r, lo, hi, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS before FROM s),
+k AS (SELECT p.r, sum(hi - lo) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) AS front, max(hi) AS last FROM p JOIN d USING (r) GROUP BY p.r)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(front, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN k USING (r)
+"""
+
+
 @query
 def op7_sharding(spark, sf_dir):
     from .shards import shard
@@ -97,4 +112,18 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 def op10_jaccard_join(spark, sf_dir):
     from .jaccard import join_documents
 
-    return join_documents(table(spark, sf_dir, "documents"))
+    return join_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+ORACLES["op10_jaccard_join"] = """
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS sh FROM w),
+u AS (SELECT r, unnest(sh) AS t, len(sh) AS n FROM s),
+p AS (SELECT a.r AS x, b.r AS y, min(a.n) AS m, min(b.n) AS n, count(*) AS c FROM u a JOIN u b ON a.t = b.t AND a.r <> b.r GROUP BY a.r, b.r),
+e AS MATERIALIZED (SELECT x, y FROM p WHERE 100 * c >= 90 * (m + n - c)),
+g AS (SELECT r, r AS o FROM w UNION SELECT g.r, e.y FROM g JOIN e ON g.o = e.x),
+k AS (SELECT g.r, min(w.doc_id) AS component_id FROM g JOIN w ON g.o = w.r GROUP BY g.r)
+SELECT doc_id, len(sh)::BIGINT AS n_shingles, component_id FROM s JOIN k USING (r)
+"""

@@ -207,3 +207,12 @@ def test_line_dedup_equals_its_sql(spark, tmp_path):
     want = {r[0]: tuple(r) for r in duckdb.sql(linededup.ORACLE).fetchall()}
     got = {x.doc_id: (x.doc_id, x.text, x.n_lines, x.n_dropped) for x in linededup.dedup(df).collect()}
     assert got == want and any(x[3] for x in got.values())
+
+
+def test_a_row_repeated_often_is_one_region(spark):
+    """Repeated rows are covered by each other, at the cost of one."""
+    r = random.Random(1)
+    text = "".join(r.choice("abcdefgh ") for _ in range(700))
+    df = spark.range(10_000).selectExpr("1L doc_id", f"'{text}' text").unionByName(spark.createDataFrame([(2, "x" + text[100:650]), (3, text[:150])], "doc_id long, text string"))
+    got = collections.Counter(map(tuple, substrings.remove(df).select("doc_id", "n_bytes", "n_removed", "n_spans").collect()))
+    assert got == {(1, 700, 700, 1): 10_000, (2, 551, 550, 1): 1, (3, 150, 0, 0): 1}

@@ -125,3 +125,8 @@ def test_pack_and_files_in_spark(spark, tmp_path):
     here = f"file://{tmp_path}/files"
     m = tokenfiles.write(df, here, path)
     assert tokenfiles.read(spark, here, m, with_ids=True).orderBy("start").first().ids[-1] == 2
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    many = tokenfiles.write(df, f"{here}-small", path, file_ids=10)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert many.count() > m.count()
+    assert [tuple(r) for r in tokenfiles.read(spark, f"{here}-small", many).orderBy("start").collect()] == want
