@@ -27,7 +27,7 @@ WEIGHT = 2 << 20
 #: Bits of a token that take part in counting: tokens that agree in them are counted as one, which can only add candidates.
 TOKEN_BITS = 48
 #: Tokens of one partition; one set in SAMPLE, by its text, tells which tokens stand in HOT sets or more.
-PART, SAMPLE, HOT = 2 << 20, 64, 200_000
+PART, SAMPLE, HOT = 1 << 20, 64, 200_000
 
 
 def least_overlap(s, percent: int):
@@ -51,7 +51,7 @@ def _nodes(marks: np.ndarray) -> pa.Array:
 
 def _sets(column: pa.Array, words: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     data, offs = tk.flat(column)
-    for lo, hi, d, o in tk.slices(data, offs):
+    for lo, hi, d, o in tk.slices(data, offs, 2 << 20):
         w, bounds = tk.words(d, o)
         yield lo, hi, *tk.distinct_sets(*tk.shingles(tk.hashes(w), bounds, words))
 
@@ -202,8 +202,8 @@ def _spread(rows: DataFrame, words: int, hot=None) -> DataFrame:
 
 def _columns(batches) -> list[np.ndarray]:
     """The whole of a partition of numbers: its size is set by the number of partitions."""
-    parts = [[c.to_numpy() for c in b.columns] for b in batches]
-    return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else []
+    whole = pa.Table.from_batches(parts) if (parts := list(batches)) else None
+    return [c.to_numpy() for c in whole.columns] if whole is not None else []
 
 
 def _emit(names: str, *columns: np.ndarray, most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
