@@ -197,8 +197,11 @@ def count(df: DataFrame, by: str, every: int | None = None, top: int | None = No
     single = rows.select("w", F.explode("items").alias("value"), "o", "d")
     how = F.countDistinct(F.coalesce("d", F.col("o").cast("string"))) if distinct else F.count(F.lit(1))
     counts = single.groupBy("w", "value").agg(how.alias("count"), F.min("o").alias("first"))
-    w = Window.partitionBy("w").orderBy(F.desc("count"), "first", "value")
-    ranked = counts.select("*", F.row_number().over(w).alias("rank"), F.count(F.lit(1)).over(Window.partitionBy("w")).alias("_kinds"))
+    spans = spans.join(counts.groupBy("w").agg(F.count(F.lit(1)).alias("_kinds")), "w")
+    order = (F.desc("count"), "first", "value")
+    if top is not None and not every:  # one window: only what is asked for is ranked
+        counts = counts.orderBy(*order).limit(top)
+    ranked = counts.select("*", F.row_number().over(Window.partitionBy("w").orderBy(*order)).alias("rank"))
     if top is not None:
         ranked = ranked.filter(F.col("rank") <= top)
     ends = spans.agg(F.min("lo").alias("first_t"), F.max("hi").alias("last_t"))

@@ -198,9 +198,22 @@ def biggest(items: DataFrame, least: bool = False, limit: int = 10, tie: str = "
 
 
 def interleave(items: DataFrame, tie: str = "key") -> DataFrame:
-    """Sized items by their rank within their feed, so that feeds take turns; those without size last."""
-    w = Window.partitionBy("feed").orderBy(F.col("size").desc_nulls_last(), tie)
-    return items.withColumn("turn", F.row_number().over(w)).orderBy(F.col("size").isNull(), "turn", F.desc("size"), tie)
+    """Sized items by their rank within their feed, so that feeds take turns; those without size last.
+
+    A feed is ranked in PARTS ranges of its sizes, each after the counts of those before it, so that no task sorts a whole feed."""
+    cuts = items.groupBy("feed").agg(F.percentile_approx("size", [i / PARTS for i in range(1, PARTS)], 10_000).alias("_cuts")).withColumnRenamed("feed", "_f")
+    part = F.when(F.col("size").isNull(), PARTS).otherwise(F.size(F.filter("_cuts", lambda c: c > F.col("size"))))
+    parted = items.join(cuts, F.col("feed").eqNullSafe(F.col("_f"))).withColumn("_part", part).drop("_cuts", "_f")
+    before = Window.partitionBy("feed").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = parted.groupBy("feed", "_part").agg(F.count(F.lit(1)).alias("_n")).select(F.col("feed").alias("_f"), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    here = Window.partitionBy("feed", "_part").orderBy(F.col("size").desc_nulls_last(), tie)
+    ranked = parted.withColumn("_k", F.row_number().over(here)).join(base, F.col("feed").eqNullSafe(F.col("_f")) & (F.col("_part") == F.col("_p")))
+    ranked = ranked.withColumn("turn", (F.col("_base") + F.col("_k")).cast("int")).drop("_k", "_base", "_f", "_p", "_part")
+    return ranked.orderBy(F.col("size").isNull(), "turn", F.desc("size"), tie)
+
+
+#: Ranges of sizes that a feed is ranked in.
+PARTS = 64
 
 
 def vocabulary(items: DataFrame) -> DataFrame:

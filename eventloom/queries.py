@@ -807,6 +807,15 @@ def stream_late_drop(spark, d):
     return ops.into_table(ops.counts(s, "event_type", "1 hour"), out, checkpoint)
 
 
+@query("""WITH f AS (SELECT user_id, min(ts) AS since FROM events GROUP BY user_id)
+SELECT user_id, min(ts) AS ts FROM events JOIN f USING (user_id) WHERE value >= 50 AND ts <= since + INTERVAL 24 HOUR GROUP BY user_id""")
+def stream_pending(spark, d):
+    from .streaming import ops
+
+    s = _stream(spark, d).select("user_id", "ts", "value")
+    return ops.into_table(ops.pending(s, "user_id", "value", 50).select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts")), *_places(spark))
+
+
 @query(f"WITH {DAILY}, l AS (SELECT *, level - lag(level) OVER (PARTITION BY series ORDER BY day) AS change FROM y) SELECT series, strftime(day, '%Y-%m-%d') AS day, round(change, 2) AS change FROM l WHERE abs(change) >= 100 AND level >= 500")
 def level_moves(spark, d):
     return _text_days(series.level_moves(_daily(spark, d), ["series"], "day", "level", 100, 500)).select("series", "day", F.round("change", 2).alias("change"))

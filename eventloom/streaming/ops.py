@@ -50,8 +50,48 @@ def recent(df: DataFrame, key: str, window: int) -> DataFrame:
     return df.groupBy(group.alias("_g")).applyInPandasWithState(step, schema, "seen array<string>", "append", "NoTimeout")
 
 
+def keyed_changes(df: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
+    """key, change, fields of added and modified rows, as texts. The state is one row of texts for each key; nothing else is read or
+    written. Of several rows of a key in a batch the greatest counts."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def step(k, parts, state):
+        rows = [tuple(None if pd.isna(x) else x for x in r) for part in parts for r in part[list(fields)].itertuples(index=False)]
+        now = max(rows, key=lambda r: [(x is not None, x or "") for x in r])
+        old = tuple(state.get[0]) if state.exists else None
+        state.update((list(now),))
+        changed = [{"path": f, "old": a, "new": b} for f, a, b in zip(fields, old or now, now, strict=True) if a != b]
+        if old is None or changed:
+            yield pd.DataFrame({key: [k[0]], "change": ["modified" if changed else "added"], "fields": [changed or None]})
+
+    rows = df.select(key, *[F.col(f).cast("string").alias(f) for f in fields])
+    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, change string, fields array<struct<path:string,old:string,new:string>>", "seen array<string>", "append", "NoTimeout")
+
+
+def pending(df: DataFrame, key: str, value: str, least: float, within: str = "24 hours", time: str = "ts") -> DataFrame:
+    """The first row of each key that reaches `least` within a span of its first row. A key waits in the state until then; once the
+    watermark has passed its span it is forgotten."""
+    span = pd.Timedelta(within)
+
+    def step(_, parts, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(parts)).sort_values(time, kind="stable")
+        since, done = state.get if state.exists else (int(rows[time].iloc[0].value), False)
+        end = pd.Timestamp(since) + span
+        ready = rows[(rows[value] >= least) & (rows[time] <= end)]
+        if not done and len(ready):
+            yield ready.head(1)
+        state.update((since, bool(done or len(ready))))
+        state.setTimeoutTimestamp(max(end.value // 1_000_000, state.getCurrentWatermarkMs() + 1))
+
+    return df.withWatermark(time, within).groupBy(key).applyInPandasWithState(step, df.schema, "since long, done boolean", "append", "EventTimeTimeout")
+
+
 def changes(df: DataFrame, key: str, fields: tuple[str, ...], state_path: str, out_path: str, checkpoint: str):
-    """Added and modified rows of each micro-batch against a state table, appended to out_path. A batch that runs again finds
+    """Added and modified rows of each micro-batch against a state table that other jobs read too (keyed_changes has no such table),
+    appended to out_path. A batch that runs again finds
     its number in the state and writes the same rows to the same place."""
     from ..operators.core import diff, union_first
 

@@ -107,3 +107,12 @@ def test_stream_changes(spark, tmp_path):
     spark.createDataFrame([("a", 2), ("b", 1)], "k string, v int").write.mode("append").parquet(str(tmp_path / "in"))
     go()
     assert sorted((r.batch, r.k, r.change) for r in spark.read.parquet(str(tmp_path / "o")).collect()) == [(0, "a", "added"), (0, "b", "added"), (1, "a", "modified")]
+
+
+def test_stream_changes_by_key(spark, tmp_path):
+    put = lambda rows: spark.createDataFrame(rows, "k string, v int, w string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    go = lambda: ops.into_table(ops.keyed_changes(spark.readStream.schema("k string, v int, w string").parquet(str(tmp_path / "in")), "k", ("v", "w")), str(tmp_path / "o"), str(tmp_path / "c"))
+    put([("a", 1, None), ("b", 1, "x")])
+    assert sorted(tuple(r) for r in go().collect()) == [("a", "added", None), ("b", "added", None)]
+    put([("a", 2, None), ("b", 1, "x"), ("c", None, None)])
+    assert sorted((r.k, r.change, r.fields and [tuple(f) for f in r.fields]) for r in go().collect())[1:] == [("a", "modified", [("v", "1", "2")]), ("b", "added", None), ("c", "added", None)]
