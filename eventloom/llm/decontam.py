@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .runtime import stored
+from .runtime import kept_rows, stored
 
 BITS, BLOCK_BITS = 128, 16
 #: Fingerprints of bags with similarity 0.8 differ in about 20 of 128 bits (standard deviation 4).
@@ -205,19 +205,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, words: int = 5, least: float =
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", words: int = 5, least: float = 0.8, radius: int = RADIUS, item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that have no window like an item (see leaks)."""
-    at = docs.columns.index(text_col)
+    """The rows of docs, with all their columns, that have no window like an item (see leaks). A null text has none and stays; repeated
+    rows are decided alike; without items or rows nothing goes."""
     for n, items in enumerate(_passes(benchmark, item_col, item_text)):
         sent = docs.sparkSession.sparkContext.broadcast(items)
 
-        def run(batches, sent=sent):
-            m = Matcher(sent.value, words, least, radius)
-            for b in batches:
-                data, offs = tk.flat(b.column(at))
-                keep = np.ones(b.num_rows, bool)
-                for lo, _, d, o in tk.slices(data, offs):
-                    keep[[lo + f[0] for f in m.find(d, o)]] = False
-                yield b.filter(pa.array(keep))
+        def keep(texts, sent=sent, own=[]):
+            if not own:  # one for each task
+                own.append(Matcher(sent.value, words, least, radius))
+            data, offs = tk.flat(texts)
+            free = np.ones(len(texts), bool)
+            for lo, _, d, o in tk.slices(data, offs):
+                free[[lo + f[0] for f in own[0].find(d, o)]] = False
+            return pa.array(free)
 
-        docs = (stored(docs, "clean") if n and n % 8 == 0 else docs).mapInArrow(run, docs.schema)
+        docs = kept_rows(stored(docs, "clean") if n and n % 8 == 0 else docs, text_col, keep)
     return docs

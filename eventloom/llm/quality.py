@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
+from .runtime import kept_rows
 
 SYMBOLS = '!|#%$&*?:;-_=/\\<>()[]{}@^~"\''
 NAMES = [
@@ -149,8 +150,8 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 120, depth: int = 4, rate: fl
     return Trees(feature, threshold, leaf, prior)
 
 
-def _table(batch: pa.RecordBatch, column: int) -> np.ndarray:
-    data, offs = tk.flat(batch.column(column))
+def _table(texts: pa.Array) -> np.ndarray:
+    data, offs = tk.flat(texts)
     got = [statistics(d, o) for _, _, d, o in tk.slices(data, offs)]
     return np.concatenate(got) if got else np.zeros((0, len(NAMES)), np.float32)
 
@@ -169,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 20_000, id_col: str =
 
     def run(batches):
         for b in batches:
-            x = _table(b, 1)
+            x = _table(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["_y", "x"])
 
     got = texts.join(F.broadcast(rows), "_id").select("_y", "_text").mapInArrow(run, "_y int, x binary").orderBy(F.xxhash64("x"), "x", "_y").limit(2 * most).toArrow()
@@ -183,7 +184,7 @@ def score(docs: DataFrame, model: Trees, threshold: float = 0.3, id_col: str = "
 
     def run(batches):
         for b in batches:
-            s = model.scores(_table(b, 2))
+            s = model.scores(_table(b.column(2)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), held_out(id_col, mod).alias("held_out"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -191,11 +192,6 @@ def score(docs: DataFrame, model: Trees, threshold: float = 0.3, id_col: str = "
 
 
 def accepted(docs: DataFrame, model: Trees, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose text scores threshold or more."""
-    at = docs.columns.index(text_col)
-
-    def run(batches):
-        for b in batches:
-            yield b.filter(pa.array(model.scores(_table(b, at)) >= threshold))
-
-    return docs.mapInArrow(run, docs.schema)
+    """The rows, with all their columns, whose text scores threshold or more; a null text is an empty one, repeated rows are judged
+    alike, and an empty table stays empty."""
+    return kept_rows(docs, text_col, lambda texts: pa.array(model.scores(_table(texts)) >= threshold))

@@ -61,6 +61,21 @@ def sided(df: DataFrame, row_bytes: int = 64, most: int = BROADCAST_BYTES) -> Da
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def kept_rows(docs: DataFrame, text_col: str, keep) -> DataFrame:
+    """The rows of docs, with all their columns, that keep(texts: an Arrow array) says True of; a text of another type is read as a string."""
+    own = docs.schema[text_col].dataType.simpleString() == "string"
+    at = docs.columns.index(text_col) if own else len(docs.columns)
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(keep(b.column(at))) if own else b.select(range(at)).filter(keep(b.column(at)))
+
+    name = "_text"
+    while name in docs.columns:
+        name += "_"
+    return (docs if own else docs.withColumn(name, F.col(f"`{text_col}`").cast("string"))).mapInArrow(run, docs.schema)
+
+
 def workers_see_package(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it."""
     root = str(Path(__file__).resolve().parents[2])

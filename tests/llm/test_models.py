@@ -38,10 +38,31 @@ def test_quality_on_the_held_out_fold(spark):
     assert quality.score(odd.limit(0), model).count() == 0
     kept = quality.accepted(docs, model)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i in range(120) if i % 3}
+    numbers = docs.selectExpr("doc_id as text", "'x' as _text")
+    assert quality.accepted(numbers, model).columns == ["text", "_text"] and quality.accepted(numbers, model, threshold=0.0).count() == 120
     blank = quality.train(docs, labels.limit(0))
     assert {r.score for r in quality.score(odd, blank).collect()} == {0.5}
 
 
+def test_trees_against_plain_recursion():
+    """Level-by-level traversal of the arrays gives what walking each tree does, and boosting lowers the loss with each tree."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(600, 5)).astype(np.float32)
+    y = ((x[:, 0] > 0.2) ^ (x[:, 3] > 0)).astype(float)
+    model = quality.fit(x, y, trees=20, depth=3)
+    inner = model.feature.shape[1]
+
+    def walk(t, row, node=0):
+        if node >= inner:
+            return model.leaf[t, node - inner]
+        return walk(t, row, 2 * node + (1 if row[model.feature[t, node]] <= model.threshold[t, node] else 2))
+
+    plain = [1 / (1 + math.exp(-model.prior - sum(walk(t, r) for t in range(20)))) for r in x]
+    assert np.allclose(model.scores(x), plain)
+    loss = [-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean() for k in (0, 5, 20) for p in [quality.Trees(model.feature[:k], model.threshold[:k], model.leaf[:k], model.prior).scores(x)]]
+    assert loss[0] > loss[1] > loss[2] and ((model.scores(x) > 0.5) == (y > 0.5)).mean() > 0.95
+
+
 def test_statistics_do_not_depend_on_neighbours():
     from eventloom.llm import textkit as tk
     import pyarrow as pa
