@@ -1,9 +1,10 @@
 """Exact n-gram Jaccard join.
 
-Who meets whom: the tokens of all sets are counted, and each set's tokens are ordered from the rarest to the most frequent. Sets that
-link share one of their first n - least + 1 tokens; a token of one set alone cannot be that one. So a set can only link if `least`
-of its tokens stand elsewhere too, and its prefix is the rarest of those; nearly all sets end here. Sets of near sizes that share a
-token of their prefixes are put in one group. A group's sets meet in one task, or, above a fixed weight, in one task for each two
+Who meets whom: a set can only link if at least so many of its tokens stand in other sets too, that is if at most n - least stand
+alone. First, tokens with some hashes, a part twice as large as what a set may lack, are counted: sets with more than n - least
+lone tokens among these are out, which are nearly all that are not copies. The tokens of the others are counted whole, and ordered in
+each set from the rarest to the most frequent. Sets that link share one of their first n - least + 1 tokens; lone ones cannot be
+that one. Sets of near sizes that share a token of their prefixes are put in one group. A group's sets meet in one task, or, above a fixed weight, in one task for each two
 of its blocks. There the join is by set relations: an index of prefix tokens in blocks of one position, skipped whole when the
 position leaves no room for the overlap, finds out if a set can have answers; its overlaps are added up over the index; and the
 overlaps of every set similar to it are derived from those by the few tokens in which the two differ.
@@ -24,8 +25,6 @@ from .runtime import discard, sided, stored
 
 #: Shingles that meet in one task at most, but for two blocks of half of it each.
 WEIGHT = 2 << 20
-#: Bits of a token that take part in counting: tokens that agree in them are counted as one, which can only add candidates.
-TOKEN_BITS = 48
 #: Tokens of one partition; one set in SAMPLE, by its text, tells which tokens stand in HOT sets or more.
 PART, SAMPLE, HOT = 1 << 20, 64, 200_000
 
@@ -170,32 +169,54 @@ def _links(meet: DataFrame, percent: int) -> DataFrame:
     return meet.select("comp", "i", "j", "node", "set").repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "node").mapInArrow(run, "a binary, b binary")
 
 
+class First:
+    """Which sets a task has not met before, so that copies in one task count once."""
+
+    def __init__(self):
+        self.seen: set[bytes] = set()
+
+    def of(self, marks: np.ndarray) -> np.ndarray:
+        new = np.zeros(len(marks), bool)
+        for i, x in enumerate(_nodes(marks).to_pylist()):
+            if x not in self.seen:
+                self.seen.add(x)
+                new[i] = True
+        if len(self.seen) > 1 << 20:
+            self.seen.clear()
+        return new
+
+
+def _tokens(s: np.ndarray) -> np.ndarray:
+    """Shingles without their last bit, as numbers of Spark's kind."""
+    return (s >> np.uint64(1)).view(np.int64)
+
+
+def _often(tokens: DataFrame, hot: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of one set in SAMPLE that stand in `hot` sets or more, and how often they were seen: 2^20 tokens at most."""
+    few = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= max(-(-hot // SAMPLE), total // SAMPLE >> 20))
+    got = few.toArrow().sort_by("token")
+    return got["token"].to_numpy(), got["c"].to_numpy()
+
+
 def _spread(rows: DataFrame, words: int, hot=None) -> DataFrame:
     """token, key, n, hot: the tokens of every set, its key and size, and for frequent tokens how often they were seen; copies in
-    one run of texts count once."""
+    one task count once."""
     sent = rows.sparkSession.sparkContext.broadcast(hot) if hot is not None else None
 
     def run(batches):
-        seen: set[bytes] = set()
+        first = First()
         known, often = sent.value if sent else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         for b in batches:
             for _, _, s, offs in _sets(b.column(0), words):
                 marks = fingerprints(s, offs)
-                new = np.zeros(len(marks), bool)
-                for i, x in enumerate(_nodes(marks).to_pylist()):
-                    if x not in seen:
-                        seen.add(x)
-                        new[i] = True
-                if len(seen) > 1 << 20:
-                    seen.clear()
-                n = np.diff(offs)
-                token = (s[np.repeat(new, n)] >> np.uint64(64 - TOKEN_BITS)).view(np.int64)
-                seen_before = np.zeros(len(token), np.int64)
+                new, n = first.of(marks), np.diff(offs)
+                token = _tokens(s[np.repeat(new, n)])
+                before = np.zeros(len(token), np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, token), len(known) - 1)
-                    seen_before = np.where(known[at] == token, often[at], 0)
+                    before = np.where(known[at] == token, often[at], 0)
                 n = n[new]
-                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.repeat(marks[new, 0].view(np.int64), n)), pa.array(np.repeat(n, n)), pa.array(seen_before)], names=["token", "key", "n", "hot"])
+                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.repeat(marks[new, 0].view(np.int64), n)), pa.array(np.repeat(n, n)), pa.array(before)], names=["token", "key", "n", "hot"])
 
     return rows.select("text").mapInArrow(run, "token long, key long, n long, hot long")
 
@@ -253,17 +274,47 @@ def _prefixes(percent: int):
     return run
 
 
-def candidates(rows: DataFrame, signed: DataFrame, words: int, percent: int, hot: int = HOT) -> DataFrame:
+def _lone(batches):
+    """key, lone: how many tokens each set has in this partition that no other set has."""
+    got = _columns(batches)
+    if not got:
+        return
+    token, key = got
+    order = np.lexsort((key, token))
+    token, key = token[order], key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (token[1:] != token[:-1])
+    token, key = token[new], key[new]
+    first = np.ones(len(token), bool)
+    first[1:] = token[1:] != token[:-1]
+    last = np.append(first[1:], True)
+    yield from _emit("key lone", *np.unique(key[first & last], return_counts=True))
+
+
+def _parts(spark, tokens: int) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // PART))
+
+
+def possible(sampled: DataFrame, classes: DataFrame, percent: int, hot: int = HOT) -> DataFrame:
+    """The rows of classes (key, n) that can link by the sample of their tokens (key, th, sample: an array). A table."""
+    total = sampled.agg(F.coalesce(F.sum(F.size("sample")), F.lit(0))).first()[0]
+    known, _ = _often(sampled.filter(F.pmod(F.col("th"), F.lit(SAMPLE)) == 0).select(F.explode("sample").alias("token")), hot, total)
+    tokens = sampled.select(F.explode("sample").alias("token"), "key")
+    if len(known):  # a token of many sets is alone in none
+        tokens = tokens.join(F.broadcast(sampled.sparkSession.createDataFrame(pa.table({"token": known}))), "token", "left_anti")
+    lone = tokens.repartition(_parts(sampled.sparkSession, total), "token").mapInArrow(_lone, "key long, lone long").groupBy("key").agg(F.sum("lone").alias("lone"))
+    spare = F.col("n") - F.ceil(F.col("n") * percent / 100)
+    return stored(classes.join(lone, "key", "left").filter(F.coalesce("lone", F.lit(0)) <= spare).drop("lone"), "possible")
+
+
+def candidates(rows: DataFrame, total: int, words: int, percent: int, hot: int = HOT) -> DataFrame:
     """key, label: the groups of sets that can link, sets by the first half of their hashes. A table.
 
-    rows (text) are all texts, signed (n_shingles) their sets. Tokens are dealt by token, those that stand in two sets by set; the
+    rows (th, text) are the texts of sets with `total` tokens. Tokens are dealt by token, those that stand in two sets by set; the
     number of partitions follows the number of tokens, so that each has about PART of them. Tokens that a sample of the sets has
     often, a bounded list, are counted by it and are not dealt by token: any order of tokens loses no link."""
-    total = signed.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART))
-    few = _spread(rows.filter(F.pmod(F.col("th"), F.lit(SAMPLE)) == 0), words).groupBy("token").agg(F.count(F.lit(1)).alias("c"))
-    often = few.filter(F.col("c") >= max(-(-hot // SAMPLE), total // SAMPLE >> 20)).toArrow().sort_by("token")
-    known = (often["token"].to_numpy(), often["c"].to_numpy())
+    parts = _parts(rows.sparkSession, total)
+    known = _often(_spread(rows.filter(F.pmod(F.col("th"), F.lit(SAMPLE)) == 0), words), hot, total)
     tokens = _spread(rows, words, known).repartition(parts, F.when(F.col("hot") > 0, F.col("key")).otherwise(F.col("token")))
     shared = tokens.mapInArrow(_elsewhere, "token long, key long, n long, df long").repartition(parts, "key")
     prefix = shared.mapInArrow(_prefixes(percent), "token long, key long, n long")
@@ -293,17 +344,34 @@ def join_documents(docs: DataFrame, words: int = 3, percent: int = 90, weight: i
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     rows = rows.withColumn("th", F.xxhash64("text"))
 
+    cut = min(1000, 20 * (100 - percent))  # of 1000 tokens, twice what a set may lack
+
     def sign(batches):
+        first = First()
         for b in batches:
             for lo, hi, s, offs in _sets(b.column(2), words):
                 marks = fingerprints(s, offs)
-                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(lo, hi - lo) for i in (0, 1)), pa.array(np.diff(offs)), _nodes(marks), pa.array(marks[:, 0].view(np.int64))], names=["doc_id", "th", "n_shingles", "node", "key"])
-
-    signed = stored(rows.select("doc_id", "th", "text").mapInArrow(sign, "doc_id long, th long, n_shingles long, node binary, key long"), "signed")
+                token = _tokens(s)
+                take = np.repeat(first.of(marks), np.diff(offs)) & (token % 1000 < cut)
+                at = np.concatenate(([0], np.cumsum(take)))[offs]
+                columns = [*(b.column(i).slice(lo, hi - lo) for i in (0, 1)), pa.array(np.diff(offs)), _nodes(marks), pa.array(marks[:, 0].view(np.int64)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(token[take]))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "n_shingles", "node", "key", "sample"])
+
+    sampled = stored(rows.select("doc_id", "th", "text").mapInArrow(sign, "doc_id long, th long, n_shingles long, node binary, key long, sample array<long>"), "sampled")
+    signed = stored(sampled.drop("sample"), "signed")
     classes = signed.filter("n_shingles > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")).alias("rep"), F.first("key").alias("key"), F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("rows"))
     classes = stored(classes.select("node", "key", "n", "rows", "rep.doc_id", "rep.th"), "classes")
-    group = candidates(rows, signed, words, percent, hot)
-    inside = stored(group.join(classes, "key").select("node", "n", "doc_id", "th", F.col("label").alias("comp")), "inside")
+    some = possible(sampled.select("key", "th", "sample"), classes, percent, hot)
+    discard(sampled)
+
+    def texts(of: DataFrame) -> DataFrame:
+        """th and text of the rows that stand for classes, at least."""
+        keys = sided(of.select(F.col("doc_id").alias("rep"), F.col("th").alias("rep_th")).distinct(), 48)
+        return rows.join(keys, rows.doc_id.eqNullSafe(F.col("rep")) & (rows.th == F.col("rep_th")), "left_semi").select("th", "text")
+
+    total = some.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    group = candidates(texts(some), total, words, percent, hot)
+    inside = stored(group.join(some, "key").select("node", "n", "doc_id", "th", F.col("label").alias("comp")), "inside")
     load = inside.groupBy("comp").agg(F.sum("n").alias("load"))
     # A heavy group is split by size, so that linked sets are in the same cell or neighbours, and a heavy cell by hash; a
     # set goes to the tasks of its block with each block of these cells only.
@@ -321,14 +389,12 @@ def join_documents(docs: DataFrame, words: int = 3, percent: int = 90, weight: i
                 view, at = s.tobytes(), (8 * offs).tolist()
                 yield pa.RecordBatch.from_arrays([_nodes(fingerprints(s, offs)), pa.array([view[x:y] for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["own_node", "set"])
 
-    keys = sided(inside.select(F.col("doc_id").alias("rep"), F.col("th").alias("rep_th")).distinct(), 48)
-    texts = rows.join(keys, rows.doc_id.eqNullSafe(F.col("rep")) & (rows.th == F.col("rep_th")), "left_semi").select("text")
-    whole = texts.mapInArrow(sets, "own_node binary, set binary").join(placed, F.col("own_node") == F.col("node"))
+    whole = texts(inside).select("text").mapInArrow(sets, "own_node binary, set binary").join(placed, F.col("own_node") == F.col("node"))
     meets = F.flatten(F.transform("near", lambda p: F.transform(F.sequence(F.lit(0), p["blocks"] - 1), lambda k: place(p["of"], k))))
     meet = whole.select("node", "comp", "own", "set", F.explode(meets).alias("other")).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
     links = stored(_links(meet, percent), "links")
     label = stored(components(links), "labels")
-    discard(group, inside, links)
+    discard(some, group, inside, links)
     # Rows that are alone in their class and without links are their own component.
     named = classes.join(label, "node", "left").filter("rows > 1 or label is not null").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
