@@ -5,8 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
+from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer, RegexTokenizer
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,3 +39,32 @@ def sparse_code(df: DataFrame, bits: int = 2048, share: float = 0.05, seed: int
             yield pd.DataFrame({"vec_id": part["vec_id"], "code": list(code.astype(np.int32))})
 
     return df.select("vec_id", "embedding").mapInPandas(run, "vec_id long, code array<int>")
+
+
+def ppmi(texts: DataFrame, words: str = "words", window: int = 2, least: int = 20) -> DataFrame:
+    """a, b, count, ppmi of words that stand within `window` places of each other, both ways, where they do so more often than by
+    chance. words: an array of the text's words; those that stand fewer than `least` times take places, but no part."""
+    kept = texts.select(F.explode(words).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("w")
+    near = lambda k: F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - k, F.lit(0))), F.slice(words, k + 1, F.greatest(F.size(words) - k, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    pairs = texts.select(F.explode(F.flatten(F.array(*[near(k) for k in range(1, window + 1)]))).alias("p")).select("p.*").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
+    pairs = pairs.join(kept.withColumnRenamed("w", "a"), "a").join(kept.withColumnRenamed("w", "b"), "b")
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "c")).groupBy("a", "b").agg(F.sum("c").alias("count"))
+    of = both.groupBy("a").agg(F.sum("count").alias("_n"))
+    total = both.agg(F.sum("count").alias("_all"))
+    joined = both.join(of, "a").join(of.select(F.col("a").alias("b"), F.col("_n").alias("_m")), "b").join(F.broadcast(total))  # one row
+    out = joined.withColumn("ppmi", F.log(F.col("count") * F.col("_all") / (F.col("_n") * F.col("_m"))))
+    return out.filter("ppmi > 0").select("a", "b", "count", "ppmi")
+
+
+def word_vectors(pairs: DataFrame, dims: int = 100, context: int = 2000) -> DataFrame:
+    """word, vector: the rows of ppmi() over the `context` most frequent words, in their `dims` principal components."""
+    columns = [r.b for r in pairs.groupBy("b").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "b").limit(context).collect()]
+    place = F.create_map(*[F.lit(x) for i, w in enumerate(columns) for x in (w, i)])
+    rows = pairs.withColumn("i", place[F.col("b")]).filter("i is not null").groupBy(F.col("a").alias("word")).agg(F.map_from_entries(F.collect_list(F.struct("i", "ppmi"))).alias("m"))
+    dense = rows.select("word", array_to_vector(F.transform(F.sequence(F.lit(0), F.lit(len(columns) - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)))).alias("x"))
+    return PCA(k=min(dims, len(columns)), inputCol="x", outputCol="vector").fit(dense).transform(dense).select("word", "vector")
+
+
+def readout(train: DataFrame, rows: DataFrame, features: str = "vector", label: str = "label") -> DataFrame:
+    """rows with `prediction`, the class that a multinomial logistic regression over train's vectors gives them."""
+    return LogisticRegression(featuresCol=features, labelCol=label, maxIter=50, regParam=1e-3).fit(train).transform(rows).drop("rawPrediction", "probability")

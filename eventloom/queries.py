@@ -875,6 +875,18 @@ def quake_reports(spark, d):
     return records.gfz_quakes(lines).unionByName(records.usgs_quakes(bodies)).select("agency", "id", "lat", "lon", "mag", "place")
 
 
+@query("""WITH w AS (SELECT conv_id, turn, row_number() OVER () AS r, regexp_extract_all(lower(coalesce(text, '')), '[a-z]+') AS w FROM conversations),
+u AS (SELECT r, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM w), k AS (SELECT w FROM u GROUP BY w HAVING count(*) >= 20), s AS (SELECT * FROM u WHERE w IN (FROM k)),
+p AS (SELECT a.w AS a, b.w AS b FROM s a JOIN s b ON a.r = b.r AND b.i - a.i BETWEEN 1 AND 2), m AS (SELECT a, b, count(*) AS count FROM (FROM p UNION ALL SELECT b, a FROM p) GROUP BY a, b),
+n AS (SELECT a, sum(count) AS n FROM m GROUP BY a), t AS (SELECT sum(count) AS t FROM m)
+SELECT m.a, m.b, count, round(ln(count * t::DOUBLE / (n.n * o.n)), 6) AS ppmi FROM m JOIN n ON n.a = m.a JOIN n o ON o.a = m.b, t WHERE ln(count * t::DOUBLE / (n.n * o.n)) > 0""")
+def ppmi_pairs(spark, d):
+    from .operators.learn import ppmi
+
+    c = t(spark, d, "conversations").select(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("([a-z]+)"), 1).alias("words"))
+    return ppmi(c).withColumn("ppmi", F.round("ppmi", 6))
+
+
 @query()
 def search_undated(spark, d):
     x = _items(spark, d)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.catalog import fullest
 from ..operators.joins import first_of, without_mirrors
 
 #: A price and a value that no filing states but by mistake.
@@ -161,3 +162,36 @@ def gfz_quakes(df: DataFrame, body: str = "body", link: str = "https://geofon.gf
     number = lambda i: x(i).try_cast("double")
     kept = lines.filter(x(13).isin("", "earthquake") & number(10).isNotNull() & number(2).isNotNull() & number(3).isNotNull())
     return kept.select(*_quake("GFZ", id=x(0), t=F.unix_micros(F.to_timestamp(x(1))) / 1e6, lat=number(2), lon=number(3), mag=number(10), title=F.concat(F.lit("M "), F.format_number(number(10), 1), F.lit(" - "), x(12)), place=x(12), link=F.concat(F.lit(link), x(0))))
+
+
+#: Words of a region's name that stay small, and intensities that count whatever the magnitude.
+SMALL_WORDS, STRONG = "of the and off near in de del la".split(), ["5-", "5+", "6-", "6+", "7"]
+
+
+def region(text):
+    """A region in capitals as people read it."""
+    words = F.split(F.lower(F.trim(text)), " ")
+    return F.array_join(F.transform(words, lambda w, i: F.when((i > 0) & w.isin(SMALL_WORDS), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2))))), " ")
+
+
+def emsc_quakes(df: DataFrame, body: str = "body", link: str = "https://www.seismicportal.eu/eventdetails.html?unid=") -> DataFrame:
+    """Messages of a live stream: quakes that were just located or revised."""
+    kind = "action string, data struct<properties:struct<evtype:string,mag:double,lat:double,lon:double,flynn_region:string,unid:string,time:string>>"
+    m = df.select(F.from_json(F.col(body), kind).alias("m")).select("m.action", "m.data.properties")
+    p = F.col("properties")
+    whole = p["mag"].isNotNull() & p["lat"].isNotNull() & p["lon"].isNotNull() & p["flynn_region"].isNotNull() & p["unid"].isNotNull() & F.try_to_timestamp(p["time"]).isNotNull()
+    kept = m.filter(F.col("action").isin("create", "update") & F.coalesce(p["evtype"], F.lit("")).isin("", "ke", "se") & whole)
+    place = region(p["flynn_region"])
+    return kept.select(*_quake("EMSC", id=p["unid"], t=F.unix_micros(F.try_to_timestamp(p["time"])) / 1e6, lat=p["lat"], lon=p["lon"], mag=p["mag"], title=F.concat(F.lit("M "), F.format_number(p["mag"], 1), F.lit(" - "), place), place=place, link=F.concat(F.lit(link), p["unid"])))
+
+
+def jma_quakes(df: DataFrame, least: float, body: str = "body", link: str = "https://www.jma.go.jp/bosai/map.html#contents=earthquake_map&id=") -> DataFrame:
+    """Lists of reports, one quake for each id: the last report with an intensity, else the first. Strong shaking counts whatever the magnitude."""
+    e = df.select(F.posexplode(F.from_json(F.col(body), "array<struct<eid:string,at:string,en_ttl:string,cod:string,mag:string,maxi:string,en_anm:string>>")).alias("n", "e")).select("n", "e.*")
+    at = lambda k: F.regexp_extract("cod", r"^([+-]\d+(?:\.\d+)?)([+-]\d+(?:\.\d+)?)", k).try_cast("double")
+    e = e.select("n", "eid", "at", "en_ttl", "en_anm", F.coalesce("maxi", F.lit("")).alias("maxi"), F.col("mag").try_cast("double").alias("mag"), at(1).alias("lat"), at(2).alias("lon"))
+    e = e.filter(F.col("en_ttl").contains("Earthquake") & ~F.col("en_ttl").contains("Distant") & F.col("lat").isNotNull() & F.col("at").isNotNull() & ((F.col("mag") >= least) | F.col("maxi").isin(STRONG) & F.col("mag").isNotNull()))
+    q = fullest(e, "eid", F.col("maxi") != "", "n")
+    place = F.concat(F.coalesce("en_anm", F.lit("Japan")), F.lit(", Japan"))
+    shaken = F.when(F.col("maxi") != "", F.concat(F.lit(" (JMA intensity "), F.replace(F.replace("maxi", F.lit("-"), F.lit(" lower")), F.lit("+"), F.lit(" upper")), F.lit(")"))).otherwise("")
+    return q.select(*_quake("JMA", id=F.col("eid"), t=F.unix_micros(F.try_to_timestamp("at")) / 1e6, lat=F.col("lat"), lon=F.col("lon"), mag=F.col("mag"), title=F.concat(F.lit("M "), F.format_number("mag", 1), F.lit(" - "), place, shaken), place=place, link=F.concat(F.lit(link), "eid")))

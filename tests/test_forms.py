@@ -4,8 +4,8 @@ import random
 from xml.etree import ElementTree
 
 from eventloom.functions import text as X
-from eventloom.operators import catalog, core, search
-from eventloom.sources import sinks
+from eventloom.operators import catalog, core, learn, search
+from eventloom.sources import records, sinks
 
 
 def test_both_forms_of_the_stem_agree(spark):
@@ -76,3 +76,31 @@ def test_feed_documents(spark):
     assert len(ElementTree.fromstring(sinks.atom(items, "t", "l")).findall("{http://www.w3.org/2005/Atom}entry")) == 1200
     assert len(ElementTree.fromstring(sinks.rss(items, "t", "l")).findall("channel/item")) == 1200
     assert sinks.pretty(items.limit(1)).splitlines()[0] == "T & 0"
+
+
+def test_texts_that_were_decoded_twice(spark):
+    bad = ["CAFÉ", "São".encode().decode("cp1252"), "it’s".encode().decode("cp1252"), "SÃO PAULO", None, "Ãx", "日本".encode().decode("latin-1")]
+    df = spark.createDataFrame([(t,) for t in bad], "t string")
+    assert [r[0] for r in df.select(X.repaired(df.t)).collect()] == ["CAFÉ", "São", "it’s", "SÃO PAULO", None, "Ãx", "日本"]
+
+
+def test_quakes_of_four_agencies(spark):
+    one = lambda body: spark.createDataFrame([(body,)], "body string")
+    emsc = records.emsc_quakes(one('{"action":"create","data":{"properties":{"unid":"u","mag":5.1,"lat":9.5,"lon":138.1,"time":"2024-01-01T00:00:01Z","flynn_region":"STATE OF YAP, MICRONESIA"}}}')).first()
+    assert (emsc.agency, emsc.id, emsc.t, emsc.place, emsc.title) == ("EMSC", "u", 1704067201.0, "State of Yap, Micronesia", "M 5.1 - State of Yap, Micronesia")
+    assert records.emsc_quakes(one('{"action":"delete"}')).count() == 0
+    report = '{"eid":"%s","at":"2024-01-01T16:10:00+09:00","en_ttl":"%s","cod":"+37.5+137.3-10000/","mag":"%s","maxi":"%s","en_anm":"Noto"}'
+    rows = [("1", "Earthquake Information", "7.6", "7"), ("1", "Earthquake Information", "7.4", ""), ("2", "Earthquake", "2.0", "1"), ("3", "Distant Earthquake", "8.0", ""), ("4", "Earthquake", "3.0", "5-")]
+    got = sorted(tuple(r)[1:7] for r in records.jma_quakes(one("[" + ",".join(report % r for r in rows) + "]"), 4.0).collect())
+    assert got == [("1", 1704093000.0, 37.5, 137.3, 7.6, "M 7.6 - Noto, Japan (JMA intensity 7)"), ("4", 1704093000.0, 37.5, 137.3, 3.0, "M 3.0 - Noto, Japan (JMA intensity 5 lower)")]
+    gfz = records.gfz_quakes(one("#head\ng1|2024-01-01T00:00:00|1.5|2.5|10|||||Mw|6.2||Sea|earthquake\nbad|line")).collect()
+    assert [tuple(r)[:8] for r in gfz] == [("GFZ", "g1", 1704067200.0, 1.5, 2.5, 6.2, "M 6.2 - Sea", "Sea")]
+
+
+def test_word_vectors_and_readout(spark):
+    texts = [["cat", "sat", "mat"], ["dog", "sat", "mat"], ["cat", "ran"], ["dog", "ran"]] * 10
+    pairs = learn.ppmi(spark.createDataFrame([(t,) for t in texts], "words array<string>"), least=5)
+    v = {r.word: r.vector.toArray() for r in learn.word_vectors(pairs, dims=2).collect()}
+    assert set(v) == {"cat", "dog", "sat", "mat", "ran"} and abs(v["cat"] - v["dog"]).max() < 1e-9
+    rows = learn.tfidf(spark.createDataFrame([(i, "good fine" if i % 2 else "bad poor", float(i % 2)) for i in range(20)], "doc_id long, text string, label double"), 64)
+    assert all(r.prediction == r.label for r in learn.readout(rows, rows).collect())
