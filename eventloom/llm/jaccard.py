@@ -275,7 +275,7 @@ def _prefixes(percent: int):
 
 
 def _lone(batches):
-    """key, lone: how many tokens each set has in this partition that no other set has."""
+    """The key of its set for each token that no other set has."""
     got = _columns(batches)
     if not got:
         return
@@ -288,7 +288,7 @@ def _lone(batches):
     first = np.ones(len(token), bool)
     first[1:] = token[1:] != token[:-1]
     last = np.append(first[1:], True)
-    yield from _emit("key lone", *np.unique(key[first & last], return_counts=True))
+    yield from _emit("key", key[first & last])
 
 
 def _parts(spark, tokens: int) -> int:
@@ -302,7 +302,7 @@ def possible(sampled: DataFrame, classes: DataFrame, percent: int, hot: int = HO
     tokens = sampled.select(F.explode("sample").alias("token"), "key")
     if len(known):  # a token of many sets is alone in none
         tokens = tokens.join(F.broadcast(sampled.sparkSession.createDataFrame(pa.table({"token": known}))), "token", "left_anti")
-    lone = tokens.repartition(_parts(sampled.sparkSession, total), "token").mapInArrow(_lone, "key long, lone long").groupBy("key").agg(F.sum("lone").alias("lone"))
+    lone = tokens.repartition(_parts(sampled.sparkSession, total), "token").mapInArrow(_lone, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("lone"))
     spare = F.col("n") - F.ceil(F.col("n") * percent / 100)
     return stored(classes.join(lone, "key", "left").filter(F.coalesce("lone", F.lit(0)) <= spare).drop("lone"), "possible")
 
