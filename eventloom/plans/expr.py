@@ -25,26 +25,61 @@ class ExpressionError(ValueError):
         super().__init__(f"{message}\n  {source}\n  {' ' * at}^" if source else message)
 
 
-TOKEN = re.compile(
-    r"""\s*(?:(?P<number>\d+(?:\.\d+)?(?![\w]))|(?P<text>'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|`(?P<quoted>[^`]+)`"""
-    r"""|(?P<op>==|!=|<=|>=|&&|\|\||[<>=!+*/()\[\],-])|(?P<word>[^\W\d][\w:$@-]*(?:\.[\w:$@-]+)*))""",
-)
+#: The signs and words of the language.
+SIGNS = ("==", "!=", "<=", ">=", "&&", "||", "<", ">", "=", "!", "+", "-", "*", "/", "(", ")", "[", "]", ",")
 COMPARE = {"==", "=", "!=", "<", "<=", ">", ">=", "contains", "in", "startswith", "endswith", "matches"}
 KEYWORDS = {"and", "or", "not", "true", "false", "null", "contains", "in", "startswith", "endswith", "matches"}
 
 
+def _run(source: str, at: int, more: str = "") -> int:
+    """The end of the letters, digits, underscores and `more` from at on."""
+    while at < len(source) and (source[at].isalnum() or source[at] in "_" + more):
+        at += 1
+    return at
+
+
+def _closed(source: str, at: int) -> int:
+    """The end of the text that begins with a quote at `at`; a backslash takes the next character as it is. 0 if it has no end."""
+    end = at + 1
+    while end < len(source) and source[end] != source[at]:
+        end += 2 if source[end] == "\\" else 1
+    return end + 1 if end < len(source) else 0
+
+
+def _token(source: str, at: int) -> tuple[str, str, int, int]:
+    """Kind, body, start of the body, and end of the token at a place that is no space."""
+    c, end = source[at], 0
+    if c in "'\"":
+        if end := _closed(source, at):
+            return "text", source[at:end], at, end
+    elif c == "`":
+        if (end := source.find("`", at + 1)) > at + 1:
+            return "quoted", source[at + 1 : end], at + 1, end + 1
+    elif c.isdecimal():
+        end = at + len(source[at:]) - len(source[at:].lstrip("0123456789"))
+        if source[end : end + 1] == "." and source[end + 1 : end + 2].isdecimal():
+            end += 1 + len(source[end + 1 :]) - len(source[end + 1 :].lstrip("0123456789"))
+        if _run(source, end) == end:
+            return "number", source[at:end], at, end
+    elif c.isalpha() or c == "_":
+        end = _run(source, at, ":$@-")
+        while source[end : end + 1] == "." and _run(source, end + 1, ":$@-") > end + 1:
+            end = _run(source, end + 1, ":$@-")
+        word = source[at:end]
+        return ("key", word.lower(), at, end) if word.lower() in KEYWORDS else ("word", word, at, end)
+    elif sign := next((x for x in SIGNS if source.startswith(x, at)), None):
+        return "op", sign, at, at + len(sign)
+    raise ExpressionError("unexpected character", source, at)
+
+
 def tokens(source: str) -> list[tuple[str, str, int]]:
     out, at = [], 0
-    while source[at:].strip():
-        m = TOKEN.match(source, at)
-        if not m:
-            raise ExpressionError("unexpected character", source, len(source) - len(source[at:].lstrip()))
-        kind = m.lastgroup
-        body, start = m[kind], m.start(kind)
-        if kind == "word" and body.lower() in KEYWORDS:
-            kind, body = "key", body.lower()
+    while at < len(source):
+        if source[at].isspace():
+            at += 1
+            continue
+        kind, body, start, at = _token(source, at)
         out.append((kind, body, start))
-        at = m.end()
     return [*out, ("end", "", len(source))]
 
 
