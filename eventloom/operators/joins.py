@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -78,21 +79,20 @@ def clusters(reports: DataFrame, seconds: float = 120, reach_km: float = 400, pr
     islands = opens.join(base, "_d").withColumn("_island", F.col("_base") + F.sum("_open").over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
-        heads: dict[int, list[tuple]] = {}
+        # Openers by island and slice of time: one that is near enough is in a report's slice or beside it.
+        heads: dict[tuple, list[tuple]] = defaultdict(list)
         group = group.sort_values([priority, "t", "id"], kind="stable")
         found = []
-        for r in group.rename(columns={"_island": "island"}).itertuples():
-            own = heads.setdefault(r.island, [])
-            for h in own:
-                if abs(h[1] - r.t) <= seconds and _km(h[2], h[3], r.lat, r.lon) <= reach_km:
-                    found.append(h[0])
-                    break
-            else:
-                own.append((r.id, r.t, r.lat, r.lon))
-                found.append(r.id)
+        for n, r in enumerate(group.rename(columns={"_island": "island"}).itertuples()):
+            slot = int(r.t // seconds)
+            near = (h for s in (slot - 1, slot, slot + 1) for h in heads[r.island, s])
+            first = min((h for h in near if abs(h[2] - r.t) <= seconds and _km(h[3], h[4], r.lat, r.lon) <= reach_km), default=None)
+            if first is None:
+                heads[r.island, slot].append((n, r.id, r.t, r.lat, r.lon))
+            found.append(r.id if first is None else first[1])
         return group[cols].assign(cluster=found)
 
-    # a few hundred islands, which are short by nature, make one group
+    # a few hundred islands make one group
     return islands.groupBy(F.floor(F.col("_island") / 256)).applyInPandas(merge, out)
 
 

@@ -4,7 +4,7 @@ import random
 from xml.etree import ElementTree
 
 from eventloom.functions import text as X
-from eventloom.operators import catalog, core, learn, search
+from eventloom.operators import catalog, core, joins, learn, search
 from eventloom.sources import records, sinks
 
 
@@ -104,3 +104,16 @@ def test_word_vectors_and_readout(spark):
     assert set(v) == {"cat", "dog", "sat", "mat", "ran"} and abs(v["cat"] - v["dog"]).max() < 1e-9
     rows = learn.tfidf(spark.createDataFrame([(i, "good fine" if i % 2 else "bad poor", float(i % 2)) for i in range(20)], "doc_id long, text string, label double"), 64)
     assert all(r.prediction == r.label for r in learn.readout(rows, rows).collect())
+
+
+def test_clusters_against_plain_loops(spark):
+    r = random.Random(6)
+    rows = [(i, r.randrange(3), float(r.randrange(3000)), r.uniform(0, 12), r.uniform(0, 12)) for i in range(150)] + [(900, 0, 1e6, 0.0, 0.0), (901, 1, 1e6 + 120, 0.0, 3.0), (902, 2, 1e6 + 121, 0.0, 0.0)]
+    heads, want = [], {}
+    for i, _, t, lat, lon in sorted(rows, key=lambda x: (x[1], x[2], x[0])):
+        own = next((h for h in heads if abs(h[1] - t) <= 120 and joins._km(h[2], h[3], lat, lon) <= 400), None)
+        if own is None:
+            heads.append((i, t, lat, lon))
+        want[i] = own[0] if own else i
+    df = spark.createDataFrame(rows, "id long, priority int, t double, lat double, lon double").repartition(3)
+    assert {x.id: x.cluster for x in joins.clusters(df).collect()} == want and len(heads) < 140
