@@ -56,7 +56,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             data, offs = tk.flat(b.column(0))
-            for _, _, d, o in tk.slices(data, offs, tk.SLICE_BYTES):
+            for _, _, d, o in tk.slices(data, offs, 4 << 20):
                 w, _ = tk.words(d, o)
                 coded = w.dictionary_encode()
                 c = np.bincount(coded.indices.to_numpy(zero_copy_only=False), minlength=len(coded.dictionary))

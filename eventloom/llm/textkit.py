@@ -13,7 +13,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def flat(column) -> tuple[np.ndarray, np.ndarray]:
