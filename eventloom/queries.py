@@ -546,6 +546,8 @@ def unsupported_numbers(spark, d):
 # Earlier names of queries that saw all rows when those without _all did not.
 for _name in ("extract_words_count", "item_key_hash", "archive_upsert", "word_postings", "word_postings_rare", "validate_duplicates", "typo_vocab", "search_all_words", "search_feed_filter", "rank_tfidf"):
     QUERIES[f"{_name}_all"] = QUERIES[_name]
+    if _name in ORACLES:
+        ORACLES[f"{_name}_all"] = ORACLES[_name]
 
 
 # Time series and joins ----------------------------------------------------------------------------------------------
