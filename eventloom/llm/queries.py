@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .filteraudit import ORACLE as FILTER_AUDIT
+from .lexical import ORACLE as LEXICAL_SEARCH
 from .linededup import ORACLE as LINE_DEDUP
 from .runtime import table
 
 QUERIES = {}
-ORACLES = {"op5_line_dedup": LINE_DEDUP}
+ORACLES = {"op5_line_dedup": LINE_DEDUP, "op11_filter_audit": FILTER_AUDIT, "op12_lexical_search": LEXICAL_SEARCH}
 
 
 def query(f):
@@ -127,3 +129,24 @@ g AS (SELECT r, r AS o FROM w UNION SELECT g.r, e.y FROM g JOIN e ON g.o = e.x),
 k AS (SELECT g.r, min(w.doc_id) AS component_id FROM g JOIN w ON g.o = w.r GROUP BY g.r)
 SELECT doc_id, len(sh)::BIGINT AS n_shingles, component_id FROM s JOIN k USING (r)
 """
+
+
+@query
+def op11_filter_audit(spark, sf_dir):
+    from .filteraudit import audit, standard_marks
+
+    return audit(standard_marks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), list("ABCDE"), ["good", "toxic"])
+
+
+@query
+def op12_lexical_search(spark, sf_dir):
+    from .lexical import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_quality_rules(spark, sf_dir):
+    from .rules import judge
+
+    return judge(table(spark, sf_dir, "documents"))

@@ -13,6 +13,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Bytes that part terms: ASCII other than letters and digits.
+MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 SLICE_BYTES = 2 << 20
 
 
@@ -46,11 +48,11 @@ def slices(data: np.ndarray, offs: np.ndarray, most: int = SLICE_BYTES) -> Itera
         lo = hi
 
 
-def words(data: np.ndarray, offs: np.ndarray, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
-    """Words [^\\x20\\x09-\\x0D]+ of all rows, A-Z in lower case on demand, and the n+1 word offsets of the rows."""
+def words(data: np.ndarray, offs: np.ndarray, lower: bool = True, apart: np.ndarray = SPACE) -> tuple[pa.Array, np.ndarray]:
+    """Words [^\\x20\\x09-\\x0D]+ of all rows, or what other bytes `apart` part, A-Z in lower case on demand, and the n+1 word offsets of the rows."""
     if lower:
         data = LOWER[data]
-    keep = ~SPACE[data]
+    keep = ~apart[data]
     first = keep.copy()
     first[1:] &= ~keep[:-1]
     at = offs[:-1][offs[:-1] < len(data)]
@@ -118,6 +120,17 @@ def distinct_sets(sh: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     return s, np.searchsorted(r, np.arange(n + 1))
 
 
+def codes(values: pa.Array) -> np.ndarray:
+    """A number of each binary value, the same for equal ones."""
+    return values.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def per_row(mask: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """How many true entries each row has."""
+    total = np.concatenate(([0], np.cumsum(mask, dtype=np.int64)))
+    return total[offs[1:]] - total[offs[:-1]]
+
+
 def gather(values: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """values[starts[i] : starts[i] + lens[i]] of all i, one after another."""
     ends = np.cumsum(lens)
