@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 
@@ -22,13 +23,15 @@ def upsert(archive: DataFrame, fresh: DataFrame, order: list[str]) -> DataFrame:
 
 
 def write(items: DataFrame, path: str) -> None:
-    """One folder for each month and feed, so that a question reads only those that it asks for; a feed's month is dealt
-    over tasks by key, as one may hold most rows."""
-    items.repartition("month", "feed", F.pmod(F.xxhash64("key"), F.lit(8))).write.mode("overwrite").partitionBy("month", "feed").parquet(path)
+    """One folder for each month and feed, so that a question reads only those that it asks for. Spark deals a feed's month over
+    several tasks where it is large, as one may hold most rows, and gives several small ones to one."""
+    items.hint("rebalance", "month", "feed").write.mode("overwrite").partitionBy("month", "feed").parquet(path)
 
 
 def read(spark: SparkSession, path: str, since: str | None = None, until: str | None = None, feeds: list[str] | None = None) -> DataFrame:
-    df = spark.read.option("basePath", path).parquet(path)
+    found = spark.read.option("basePath", path)
+    own = found.parquet(path).schema
+    df = found.schema(T.StructType([T.StructField(f.name, T.StringType()) if f.name in ("month", "feed") else f for f in own])).parquet(path)  # no feed's name is a number
     for on, test in ((since, F.col("month") >= (since or "")[:7]), (until, F.col("month") <= (until or "")[:7])):
         df = df.filter(test) if on else df
     return df.filter(F.col("feed").isin(feeds)) if feeds else df
@@ -44,9 +47,16 @@ def day_counts(items: DataFrame) -> DataFrame:
     return items.groupBy(F.substring("date", 1, 10).alias("day"), "feed").agg(F.count(F.lit(1)).alias("items"))
 
 
-def postings(items: DataFrame) -> DataFrame:
-    """word, feed, months: in which months each stem stands in a feed's titles. Distinct pairs are made before anything is gathered."""
-    single = items.select("feed", "month", F.explode(X.words(F.col("title"))).alias("word")).distinct()
+def stems(items: DataFrame, text: Column) -> DataFrame:
+    """feed, month, word: each stem (see text.words) once for each feed and month. Words are made distinct before their stems are taken."""
+    tokens = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"((?U)[\w']+)"), 1))
+    tokens = items.select("feed", "month", F.explode(tokens).alias("word")).filter((F.length("word") > 2) & ~F.col("word").rlike(r"^\d+$")).distinct()
+    return tokens.select("feed", "month", X.stem(F.col("word")).alias("word")).distinct()
+
+
+def postings(items: DataFrame, text: Column | None = None) -> DataFrame:
+    """word, feed, months: in which months each stem stands in a feed's titles, or another text. Distinct pairs are made before anything is gathered."""
+    single = stems(items, F.col("title") if text is None else text)
     return single.groupBy("word", "feed").agg(F.array_sort(F.collect_set("month")).alias("months"))
 
 
@@ -133,24 +143,3 @@ def recent_days(items: DataFrame, last: str, days: int, by: str = "feed") -> Dat
 def pass_rates(answers: DataFrame, by: list[str], ok) -> DataFrame:
     """passed, of, share of each group of graded answers."""
     return answers.groupBy(*by).agg(F.count_if(ok).alias("passed"), F.count(F.lit(1)).alias("of"), F.round(F.avg(F.when(ok, 1.0).otherwise(0.0)), 6).alias("share"))
-
-
-#: Months of a word that is rare enough to look a question up by, and months that are read for it.
-RARE_MONTHS, MOST_MONTHS = 60, 12
-
-
-def anchor_months(posted: DataFrame, words: list[list[str]], feeds: list[str] = (), rare: int = RARE_MONTHS, most: int = MOST_MONTHS) -> list[str]:
-    """The months to read for a question without a date. words: the stems of each word's forms; feeds: those that the question names.
-
-    The word with the fewest months decides, in a named feed or, if rare, anywhere; without a rare word, the months that all
-    words share. Months with more of the words come first, then newer ones. Only rows of the asked words are gathered."""
-    stems = sorted({s for w in words for s in w})
-    rows = posted.filter(F.col("word").isin(stems)).groupBy("word").agg(F.array_distinct(F.flatten(F.collect_list("months"))).alias("all"), F.array_distinct(F.flatten(F.collect_list(F.when(F.col("feed").isin(list(feeds)), F.col("months"))))).alias("own")).collect()
-    everywhere, own = {r.word: set(r["all"]) for r in rows}, {r.word: set(r["own"]) for r in rows}
-    per_word = [m for w in words if (m := set().union(*(everywhere.get(s, ()) for s in w)))]
-    anchors = [m for w in words if (m := set().union(*(own.get(s, ()) for s in w)))] + [m for m in per_word if len(m) <= rare]
-    if not anchors and len(per_word) == len(words) > 1:
-        anchors = [m] if (m := set.intersection(*per_word)) else []
-    if not anchors:
-        return []
-    return sorted(min(anchors, key=len), key=lambda m: (sum(m in p for p in per_word), m), reverse=True)[:most]

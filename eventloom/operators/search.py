@@ -11,8 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .catalog import anchor_months
-
 
 stem = X.stem_of
 
@@ -156,13 +154,6 @@ def find(items: DataFrame, words: list[str], feeds: list[str] | None = None, lim
     return out.orderBy(F.desc(order[0]), *order[1:]).limit(limit) if limit else out
 
 
-def find_undated(items: DataFrame, posted: DataFrame, words: list[str], feeds: list[str] = ()) -> DataFrame:
-    """find() over the months that the word index names for a question without a date (see catalog.anchor_months): with items read from
-    an archive, only these partitions are read."""
-    months = anchor_months(posted, [[stem(f) for f in forms(w)] for w in words], feeds)
-    return find(items.filter(F.col("month").isin(months)), words)
-
-
 def rank(items: DataFrame, words: list[str], limit: int = 20, per_story: int = 2, tie: str = "key") -> DataFrame:
     """The best items for a question: 2 for a word in the title or feed name, 1 in the summary, times 1 + ln((N + 1) / (1 + df)).
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as X
 from .functions import values as V
-from .operators import catalog, core, joins, search, series
+from .operators import catalog, core, index, joins, search, series
 from .plans.expr import compile_value
 from .sources import html, records
 
@@ -336,7 +336,20 @@ def _items(spark, d):
 
 def _posted(x):
     """Postings of titles and summaries."""
-    return catalog.postings(x.withColumn("title", F.concat_ws("\n", "title", "summary")))
+    return catalog.postings(x, F.concat_ws("\n", "title", "summary"))
+
+
+_INDEXED: dict[tuple[str, str], str] = {}
+
+
+def _archive(spark, d) -> str:
+    """Where the archive of a folder's documents and its word index are: written by the first query of a session that searches it."""
+    own = (spark.sparkContext.applicationId, d)
+    if own not in _INDEXED:
+        path = f"{_places(spark)[0]}/archive"
+        index.write(_items(spark, d), path)
+        _INDEXED[own] = path
+    return _INDEXED[own]
 
 
 @query(f"WITH {ITEMS} SELECT doc_id, {KEY} AS key FROM items")
@@ -543,13 +556,6 @@ def unsupported_numbers(spark, d):
     return a.join(b, ["conv_id", "turn"]).select("conv_id", "turn", F.array_join(F.array_sort(X.unsupported_numbers(F.col("a"), F.col("b"))), " ").alias("unsupported"))
 
 
-# Earlier names of queries that saw all rows when those without _all did not.
-for _name in ("extract_words_count", "item_key_hash", "archive_upsert", "word_postings", "word_postings_rare", "validate_duplicates", "typo_vocab", "search_all_words", "search_feed_filter", "rank_tfidf"):
-    QUERIES[f"{_name}_all"] = QUERIES[_name]
-    if _name in ORACLES:
-        ORACLES[f"{_name}_all"] = ORACLES[_name]
-
-
 # Time series and joins ----------------------------------------------------------------------------------------------
 
 PRICES = "p AS (SELECT user_id, ts, event_id, value FROM events WHERE event_type = 'purchase'), s AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'error')"
@@ -889,10 +895,38 @@ def ppmi_pairs(spark, d):
     return ppmi(c).withColumn("ppmi", F.round("ppmi", 6))
 
 
-@query()
+def _undated(q: int, stems: tuple[str, str], feed: str, rare: int, found: str) -> str:
+    """One question's items: the sets of months that may decide, the one that does, its months in order, and the items of these."""
+    return f"""q{q} AS (SELECT list_position({list(stems)}, word) AS w, month, feed FROM p WHERE word IN {stems}),
+m{q} AS (SELECT month, count(DISTINCT w) AS n FROM q{q} GROUP BY month),
+s{q} AS (SELECT DISTINCT 1 AS kind, w, month FROM q{q} UNION ALL SELECT DISTINCT 0, w, month FROM q{q} WHERE feed = '{feed}' UNION ALL SELECT 2, 0, month FROM m{q} WHERE n = 2),
+n{q} AS (SELECT kind, w, count(*) AS n FROM s{q} GROUP BY ALL),
+a{q} AS (SELECT n.kind, n.w FROM n{q} n LEFT JOIN (FROM n{q} WHERE kind = 1) o ON o.w = n.w WHERE (n.kind = 1 AND n.n <= {rare}) OR n.kind = 2 OR (n.kind = 0 AND o.n > 12 AND o.n <= 120 AND n.n < o.n) ORDER BY n.kind = 2, n.n, n.kind, n.w LIMIT 1),
+t{q} AS (SELECT month FROM s{q} JOIN a{q} USING (kind, w) JOIN m{q} USING (month) ORDER BY m{q}.n DESC, month DESC LIMIT 12),
+r{q} AS (SELECT {q} AS question, doc_id FROM items WHERE substr(date, 1, 7) IN (FROM t{q}) AND {found})"""
+
+
+BOTH = f"{_found(WHOLE, 'that' + FOUR)} AND {_found(WHOLE, 'with' + FOUR)}"
+QUESTIONS = (("that with", 60), ("that src1", 60), ("that with", 5))
+
+
+@query(POSTED + ", " + ", ".join([_undated(1, ("that", "with"), "", 60, BOTH), _undated(2, ("that", "src1"), "src1", 60, f"{_found(WHOLE, 'that' + FOUR)} AND {_found(WHOLE, 'src1' + FOUR)}"), _undated(3, ("that", "with"), "", 5, BOTH)]) + " FROM r1 UNION ALL FROM r2 UNION ALL FROM r3")
 def search_undated(spark, d):
-    x = _items(spark, d)
-    return search.find_undated(x, _posted(x), ["that", "with"]).select("doc_id")
+    """A rare word, a word in a feed that the question names, and words of which none is rare."""
+    path = _archive(spark, d)
+    each = [index.find(spark, path, words.split(), rare=rare).select(F.lit(i).alias("question"), "doc_id") for i, (words, rare) in enumerate(QUESTIONS, 1)]
+    return core.reduce(DataFrame.unionByName, each)
+
+
+@query(f"WITH {ITEMS} SELECT doc_id, feed, date FROM items WHERE date >= '2024-02-10' AND substr(date, 1, 7) <= '2024-04' AND {BOTH}")
+def search_dated(spark, d):
+    return index.find(spark, _archive(spark, d), ["that", "with"], "2024-02-10", "2024-04").select("doc_id", "feed", "date")
+
+
+@query(f"{POSTED}, h AS (SELECT DISTINCT month, feed, word FROM p WHERE starts_with(word, 'that') OR starts_with('that', word) OR starts_with(word, 'with') OR starts_with('with', word)) SELECT month, feed FROM h GROUP BY ALL HAVING count(*) FILTER (starts_with(word, 'that') OR starts_with('that', word)) > 0 AND count(*) FILTER (starts_with(word, 'with') OR starts_with('with', word)) > 0")
+def search_places(spark, d):
+    """Partitions of the archive that the index names for a question."""
+    return index.places(spark, _archive(spark, d), ["that", "with"])
 
 
 # Records, feeds and windows -------------------------------------------------------------------------------------------

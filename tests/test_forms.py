@@ -63,14 +63,6 @@ def test_diff_of_nested_fields(spark):
     assert got == {"x": [("v.b.c", "2", "3")], "y": [("v.b.c", "2", None), ("v.b.d", "p", None), ("l", "[1]", "[2]")]}
 
 
-def test_anchor_months(spark):
-    posted = spark.createDataFrame([("ronin", "hacks", ["2022-03", "2022-04"]), ("bridge", "hacks", ["2022-03", "2023-01"]), ("bridge", "roads", ["2021-01"] * 1), ("act", "law", ["2020-01", "2021-01", "2022-03"])], "word string, feed string, months array<string>")
-    assert catalog.anchor_months(posted, [["ronin"], ["bridge"]]) == ["2022-03", "2022-04"]
-    assert catalog.anchor_months(posted, [["bridge"], ["act"]], ["hacks"]) == ["2022-03", "2023-01"]
-    assert catalog.anchor_months(posted, [["bridge"], ["act"]], rare=1) == ["2022-03", "2021-01"]
-    assert catalog.anchor_months(posted, [["none"]]) == []
-
-
 def test_feed_documents(spark):
     items = spark.createDataFrame([(str(i), f"T & {i}", f"https://e.org/?a={i}&b=2", None, "2024-01-02T00:00:00Z") for i in range(1200)], "id string, title string, link string, summary string, date string")
     assert len(ElementTree.fromstring(sinks.atom(items, "t", "l")).findall("{http://www.w3.org/2005/Atom}entry")) == 1200
