@@ -7,17 +7,17 @@ import re
 UNITS = {"s": 1, "m": 60, "h": 3600, "d": 86400}
 
 
-def parse(text: str) -> int:
-    """1h30m -> 5400."""
-    parts = re.findall(r"(\d+)\s*([smhd])", text.strip().lower())
-    if not parts or re.sub(r"\d+\s*[smhd]|\s", "", text.strip().lower()):
+def parse(text: str) -> float:
+    """Seconds of 30s, 5m, 1h30m, 1.5h or 1 d."""
+    low = text.strip().lower()
+    parts = re.findall(r"(\d+(?:\.\d+)?)\s*([smhd])", low)
+    if not parts or re.sub(r"\d+(?:\.\d+)?\s*[smhd]|\s", "", low):
         raise ValueError(f"not a duration: {text!r}")
-    return sum(int(n) * UNITS[u] for n, u in parts)
+    seconds = sum(float(n) * UNITS[u] for n, u in parts)
+    return int(seconds) if seconds == int(seconds) else seconds
 
 
-def show(seconds: int) -> str:
-    out = ""
-    for unit in "dhms":
-        n, seconds = divmod(seconds, UNITS[unit])
-        out += f"{n}{unit}" if n else ""
-    return out or "0s"
+def show(seconds: float) -> str:
+    """In the largest unit that leaves no rest: 90m, not 1h30m."""
+    unit = next(u for u in "dhms" if int(seconds) % UNITS[u] == 0)
+    return f"{int(seconds) // UNITS[unit]}{unit}"

@@ -970,6 +970,14 @@ def clean_links(spark, d):
     return p.select("page_id", X.clean_link(F.concat(F.regexp_replace("url", r"\?.*$", ""), F.lit("?utm_source=x&id="), "page_id", F.lit("&gclid=9"))).alias("link"))
 
 
+# Every text is damaged (its UTF-8 read as Latin-1) and put right again: what comes back is the text.
+@query("SELECT doc_id, sha256(coalesce(text, '')) AS sha, length(coalesce(text, ''))::INTEGER AS n FROM documents")
+def repaired_texts(spark, d):
+    text = F.coalesce("text", F.lit(""))
+    right = X.repaired(F.decode(text.cast("binary"), "ISO-8859-1"))
+    return t(spark, d, "documents").select("doc_id", right.alias("text")).select("doc_id", F.sha2("text", 256).alias("sha"), F.length("text").alias("n"))
+
+
 @query("""WITH n AS (SELECT o_orderkey::VARCHAR AS id, strftime(o_orderdate, '%Y-%m-%d') AS date, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1 END AS age FROM orders)
 SELECT id, date FROM n ORDER BY age, date DESC, id LIMIT 200""")
 def feed_history(spark, d):

@@ -71,9 +71,17 @@ def test_feed_documents(spark):
 
 
 def test_texts_that_were_decoded_twice(spark):
-    bad = ["CAFÉ", "São".encode().decode("cp1252"), "it’s".encode().decode("cp1252"), "SÃO PAULO", None, "Ãx", "日本".encode().decode("latin-1")]
+    broken = lambda t: t.encode().decode("cp1252")
+    bad = ["CAFÉ", broken("São"), broken("it’s"), "SÃO PAULO", None, "Ãx", "日本".encode().decode("latin-1"), "voilà " + broken("été"), "Ã" + broken("é"), "", broken("“é”"[1:2]) * 3 + "à", "Ã©Ã", "aÃ\x83Â©"]
+    want = ["CAFÉ", "São", "it’s", "SÃO PAULO", None, "Ãx", "日本", "voilà été", "Ãé", "", "éééà", "éÃ", "aÃ©"]
     df = spark.createDataFrame([(t,) for t in bad], "t string")
-    assert [r[0] for r in df.select(X.repaired(df.t)).collect()] == ["CAFÉ", "São", "it’s", "SÃO PAULO", None, "Ãx", "日本"]
+    assert [r[0] for r in df.select(X.repaired(df.t)).collect()] == want
+
+
+def test_titles_of_the_archive(spark):
+    rows = {"Ha&#039;apai &amp;amp; &#x1F600; &eacute;&nbsp;&bogus; &#0; &#xD800; AT&T": "Ha'apai & \U0001f600 é\xa0&bogus; &#0; &#xD800; AT&T", "He said Â€œhiÂ€\x9d, itÏ¿½s CROMATOGRAFÃ\x8dA": "He said “hi”, it’s CROMATOGRAFÍA", "&lt;b&gt;": "<b>", "&;&#;&": "&;&#;&"}
+    df = spark.createDataFrame([(t,) for t in rows], "t string")
+    assert [r[0] for r in df.select(X.archive_title(df.t)).collect()] == list(rows.values())
 
 
 def test_quakes_of_four_agencies(spark):

@@ -176,6 +176,6 @@ def test_pages(spark):
 
 
 def test_durations():
-    assert durations.parse("1h30m") == 5400 and durations.show(5400) == "1h30m" and durations.parse("2d") == 172800
+    assert durations.parse("1h30m") == 5400 and durations.show(5400) == "90m" and durations.parse("1.5h") == 5400 and durations.parse("0.5 s") == 0.5 and durations.show(86400) == "1d" and durations.show(61) == "61s" and durations.show(7200) == "2h" and durations.parse("2d") == 172800
     with pytest.raises(ValueError):
         durations.parse("soon")
