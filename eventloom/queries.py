@@ -824,6 +824,59 @@ def stream_pending(spark, d):
     return ops.into_table(ops.pending(s, "user_id", "value", 50).select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts")), *_places(spark))
 
 
+@query(COUNTED.format(**DAY | {"by": "user_id::VARCHAR"}) + TREND.format(history=6, least=3, change=100) + " AND window_start < (SELECT max(window_start) FROM counts)")
+def stream_trend(spark, d):
+    """trend_daily over a stream: windows that have closed, against the history in the state."""
+    from .streaming import ops, windows
+
+    got = windows.trend(_stream(spark, d).select("ts", "user_id"), "user_id", 86400)
+    return ops.into_table(got, *_places(spark)).select("window_start", "value", "count", "baseline", "change_pct")
+
+
+def _halves(e):
+    """The events up to the middle of their time, and those after it."""
+    lo, hi = e.agg(F.min("ts"), F.max("ts")).first()
+    middle = F.lit(lo + (hi - lo) / 2) if lo else F.lit(None).cast("timestamp")
+    return e.filter(F.col("ts") <= middle), e.filter(F.col("ts") > middle)
+
+
+@query("SELECT 'at://' || user_id || '/app.bsky.feed.post/' || event_id AS key, event_type || ' ' || coalesce(props, '') AS text, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS timestamp FROM events")
+def stream_resumed_posts(spark, d):
+    """Frames that are recorded in two parts: the stream stops after the first and goes on at its cursor."""
+    from .sources import posts, recorded
+    from .streaming import ops
+
+    out, checkpoint = _places(spark)
+    post = F.struct(F.concat_ws(" ", "event_type", F.coalesce("props", F.lit(""))).alias("text"), F.array(F.lit("en")).alias("langs"))
+    commit = F.struct(F.lit("create").alias("operation"), F.lit("app.bsky.feed.post").alias("collection"), F.col("event_id").cast("string").alias("rkey"), post.alias("record"))
+    e = t(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("time_us", F.unix_micros("ts"))
+    e = e.select("ts", "time_us", F.to_json(F.struct(F.col("user_id").cast("string").alias("did"), "time_us", F.lit("commit").alias("kind"), commit.alias("commit"))).alias("payload"))
+    for part in _halves(e):
+        recorded.record(part, f"{out}-frames", "time_us")
+        got = ops.into_table(posts.jetstream(recorded.frames(spark, f"{out}-frames")).select("key", "text", "timestamp"), out, checkpoint)
+    return got
+
+
+@query("SELECT epoch_us(ts) // 3600000000 AS block, count(*) AS logs, round(sum(value), 2) AS value FROM events WHERE epoch_us(ts) // 3600000000 <= (SELECT max(epoch_us(ts) // 3600000000) FROM events) - 12 GROUP BY 1")
+def stream_block_values(spark, d):
+    """Logs by block (an hour of events), read by ranges of 100 blocks, no more than 500 a batch, up to those that are too new to be sure."""
+    from .sources import recorded
+    from .streaming import ops
+
+    out, checkpoint = _places(spark)
+    e = t(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("block", F.floor(F.unix_micros("ts") / 3_600_000_000))
+    e = e.select("ts", "block", F.to_json(F.struct("event_id", "value")).alias("payload"))
+    n = -1
+    for part in _halves(e):
+        recorded.record(part, f"{out}-logs", "block")
+        while True:
+            logs = recorded.blocks(spark, f"{out}-logs", range=100, bound=500, progress=f"{out}-progress/q").select(F.col("position").alias("block"), "payload")
+            got = ops.into_table(logs, out, checkpoint)
+            if n == (n := got.count()):
+                break
+    return got.groupBy("block").agg(F.count(F.lit(1)).alias("logs"), F.round(F.sum(F.get_json_object("payload", "$.value").cast("double")), 2).alias("value"))
+
+
 @query(f"WITH {DAILY}, l AS (SELECT *, level - lag(level) OVER (PARTITION BY series ORDER BY day) AS change FROM y) SELECT series, strftime(day, '%Y-%m-%d') AS day, round(change, 2) AS change FROM l WHERE abs(change) >= 100 AND level >= 500")
 def level_moves(spark, d):
     return _text_days(series.level_moves(_daily(spark, d), ["series"], "day", "level", 100, 500)).select("series", "day", F.round("change", 2).alias("change"))

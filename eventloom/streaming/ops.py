@@ -114,7 +114,15 @@ def into_memory(df: DataFrame, name: str, checkpoint: str, mode: str = "append")
 
 
 def into_table(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Run what there is into parquet files, exactly once."""
-    q = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Run what there is into parquet files, exactly once. Batches without rows, which timers of the processing clock would call for without
+    end, are not run: such timers wait for the next run."""
+    spark, empty = df.sparkSession, "spark.sql.streaming.noDataMicroBatches.enabled"
+    timers = "ProcessingTime" in df._jdf.queryExecution().analyzed().toString()
+    before = spark.conf.get(empty)
+    spark.conf.set(empty, "false" if timers else before)
+    try:
+        q = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(empty, before)
     q.awaitTermination()
-    return df.sparkSession.read.parquet(path)
+    return spark.read.parquet(path)
