@@ -38,26 +38,26 @@ def _left(out, docs):
 
 def one_of_each_group(spark, docs, sf_dir):
     """The row with the smallest id of each group that links of similarity 0.8 on five-word shingles connect; of rows with
-    equal id and text, one. Rows are told apart by a hash of id and text: each row of a repeated id is decided by itself. A null id
+    equal id and text, one. Rows get a number each in a written table: each row of a repeated id is decided by itself. A null id
     is a value like any other, after all numbers; among texts of one id the smaller hash comes first. Null and blank texts link with
     nothing: all stay, save repeated rows. Columns of any name are kept; an empty table stays empty."""
     workers_see_package(spark)
     row = "_row"
     while row in docs.columns:
         row += "_"
-    numbered = docs.withColumn(row, F.xxhash64("doc_id", "text"))
-    found = jaccard.join_documents(numbered, words=5, percent=80, id_col=row).groupBy(F.col("doc_id").alias(row)).agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
-    found = stored(found, "found")
-    ids = numbered.select(row, "doc_id").groupBy(row).agg(F.min("doc_id").alias("doc_id"))
-    first = found.join(ids, row).groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row)).alias("f")).select(f"f.{row}")
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = jaccard.join_documents(numbered, words=5, percent=80, id_col=row)
+    found = stored(found.select(F.col("doc_id").alias(row), F.col("component_id").alias("group"), F.col("n_shingles").alias("n")), "found")
+    hashes = [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2")]
+    known = found.join(numbered.select(row, F.col("doc_id").alias("id"), *hashes), row)
+    # A group is a component, or the equal rows of a blank text.
+    blank = F.col("n") == 0
+    same = [F.when(~blank, F.col("group")).alias("g"), *[F.when(blank, F.col(c)).alias(f"b_{c}") for c in ("id", "t1", "t2")], blank.alias("blank")]
+    order = F.struct(F.col("id").isNull(), "id", "t1", "t2", row)
+    first = stored(known.select(*same, order.alias("o"), F.col(row)).groupBy("g", "b_id", "b_t1", "b_t2", "blank").agg(F.min("o").alias("o")).select(F.col(f"o.{row}").alias(row)), "first")
     gone = stored(found.select(row).join(first, row, "left_anti"), "gone")
-    out = numbered.join(linededup.sided(gone, 24), row, "left_anti")
-    again = stored(found.filter("n > 1").select(row), "again")
-    discard(found)
-    if again.isEmpty():
-        return out.select(*[F.col(f"`{c}`") for c in docs.columns])
-    again = linededup.sided(again, 24)
-    return out.join(again, row, "left_anti").unionByName(out.join(again, row, "left_semi").dropDuplicates([row])).select(*[F.col(f"`{c}`") for c in docs.columns])
+    discard(found, first)
+    return numbered.join(linededup.sided(gone, 24), row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def clean_of_benchmarks(spark, docs, sf_dir):
