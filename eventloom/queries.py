@@ -755,6 +755,25 @@ def html_headings(spark, d):
     return html.pages(t(spark, d, "pages")).select("url", F.explode("headings").alias("h")).select("url", "h.level", "h.text")
 
 
+NAV = "regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '(?s)<li>(.*?)</li>', 1)"
+
+
+@query(f"""WITH n AS (SELECT url, unnest({NAV}) AS li, generate_subscripts({NAV}, 1) - 1 AS n FROM pages)
+SELECT url, n::INTEGER AS n, trim(regexp_extract(li, '<a href="([^"]*)">(.*?)</a>', 2)) AS title, regexp_replace(url, '^(https?://[^/]*).*$', '\\1') || regexp_extract(li, '<a href="([^"]*)">', 1) AS link FROM n""")
+def css_records(spark, d):
+    """A record for each entry of a page's menu."""
+    from .sources import selectors
+
+    return selectors.records(t(spark, d, "pages"), {"title": "a[href]", "link": "a@href"}, each="nav > ul > li")
+
+
+@query(f"""SELECT url, len({NAV})::INTEGER AS entries, (len({NAV}) > 1)::INTEGER AS second, len(regexp_extract_all(html, '<div class="ad">'))::INTEGER AS ads, len(regexp_extract_all(html, '<h1>'))::INTEGER AS heads FROM pages""")
+def css_counts(spark, d):
+    from .sources import selectors
+
+    return selectors.matched(t(spark, d, "pages"), {"entries": "nav li:not(.x) > a:only-child", "second": "nav li:nth-child(2)", "ads": "body div[class~='ad']", "heads": "body > nav ~ article > h1:first-child"})
+
+
 # Streams ------------------------------------------------------------------------------------------------------------
 
 
