@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -242,17 +244,63 @@ def _leaves(kind, path: str) -> list[str]:
     return [x for f in kind.fields for x in _leaves(f.dataType, f"{path}.{f.name}")] if isinstance(kind, T.StructType) else [path]
 
 
+CHANGE = "array<struct<path:string,old:string,new:string>>"
+
+
+def _inside(a, b) -> list[tuple] | None:
+    """What two JSON values hold under the same names: of objects, or of lists of as many objects by position; None if they are compared as wholes."""
+    if isinstance(a, dict) and isinstance(b, dict):
+        return [(k, a.get(k), b.get(k)) for k in {**a, **b}]
+    if isinstance(a, list) and isinstance(b, list) and len(a) == len(b) and all(isinstance(x, dict) for x in a + b):
+        return [(i, x, y) for i, (x, y) in enumerate(zip(a, b, strict=True))]
+    return None
+
+
+def _changed(a, b, path: str) -> list[tuple]:
+    pairs = _inside(a, b)
+    if pairs is None:
+        shown = lambda x: x if x is None or isinstance(x, str) else json.dumps(x, ensure_ascii=False, separators=(",", ":"))
+        return [] if a == b else [(path, shown(a), shown(b))]
+    return [c for k, x, y in pairs for c in _changed(x, y, f"{path}.{k}" if path else str(k))]
+
+
+def differences(old: Column, new: Column, path: str = "") -> Column:
+    """path, old, new of all that differs between two JSON texts (of VARIANT values: to_json of them), down to the values inside. A key that one
+    side lacks is null there; lists of as many objects are compared by position, other lists, and values of unlike kinds, as wholes. Only
+    rows whose texts differ reach Python; a null text is JSON's null, and one that is no JSON a string."""
+    differs = ~old.eqNullSafe(new)
+
+    @F.pandas_udf(CHANGE)
+    def found(a: pd.Series, b: pd.Series, on: pd.Series) -> pd.Series:
+        def value(t):
+            try:
+                return None if t is None else json.loads(t)
+            except ValueError:
+                return t
+
+        return pd.Series([_changed(value(x), value(y), path) if go else None for x, y, go in zip(a, b, on, strict=True)])
+
+    got = found(F.when(differs, old), F.when(differs, new), differs)
+    got = F.transform(got, lambda c: F.struct(F.when(c["path"] == "", "value").otherwise(c["path"]).alias("path"), c["old"].alias("old"), c["new"].alias("new")))
+    return F.coalesce(got, F.array().cast(CHANGE))
+
+
 def diff(old: DataFrame, new: DataFrame, key: str, fields: tuple[str, ...], ignore: tuple[str, ...] = (), only: tuple[str, ...] = (), fetched: str | None = None, remember: bool = False) -> DataFrame:
     """key, change, fields: what was added, modified (with each field's old and new text) or removed between two snapshots.
 
-    Fields of structs are compared one by one, under their paths; lists as a whole. With `fetched`, a row is removed only if its
-    source was read this time; `remember` keeps rows that are gone."""
+    Fields of structs and VARIANT values are compared one by one, under their paths (see differences); lists of other types as a whole. With
+    `fetched`, a row is removed only if its source was read this time; `remember` keeps rows that are gone."""
+    variant = [f for f in fields if f in new.columns and isinstance(new.schema[f].dataType, T.VariantType) and f not in ignore]
+    old, new = (x.withColumns({f: F.to_json(f) for f in variant}) for x in (old, new))
     names = [p for f in fields for p in _leaves(new.schema[f].dataType if f in new.columns else None, f) if f not in ignore and p not in ignore]
     a = old.select(key, *([fetched] if fetched else []), F.struct(*[F.col(f).alias(f) for f in names]).alias("a"))
     b = new.select(key, F.struct(*[F.col(f).alias(f) for f in names]).alias("b"))
-    changed = F.filter(F.array(*[F.struct(F.lit(f).alias("path"), F.col(f"a.`{f}`").cast("string").alias("old"), F.col(f"b.`{f}`").cast("string").alias("new"), F.col(f"a.`{f}`").eqNullSafe(F.col(f"b.`{f}`")).alias("same")) for f in names]), lambda x: ~x["same"])
+    plain = lambda f: F.filter(F.array(F.struct(F.lit(f).alias("path"), F.col(f"a.`{f}`").cast("string").alias("old"), F.col(f"b.`{f}`").cast("string").alias("new"))), lambda _: ~F.col(f"a.`{f}`").eqNullSafe(F.col(f"b.`{f}`")))
+    inner = lambda f: F.filter(differences(F.col(f"a.`{f}`"), F.col(f"b.`{f}`"), f), lambda c: ~c["path"].isin(list(ignore)))
+    changed = F.concat(*[inner(f) if f in variant else plain(f) for f in names])
     both = a.join(b, key, "full_outer")
-    change = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.size(changed) > 0, "modified")
+    both = both.withColumn("_fields", F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), changed))
+    change = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.size("_fields") > 0, "modified")
     out = both.withColumn("change", change).filter("change is not null")
     if fetched:
         seen = new.select(fetched).distinct().withColumnRenamed(fetched, "_read")
@@ -261,4 +309,4 @@ def diff(old: DataFrame, new: DataFrame, key: str, fields: tuple[str, ...], igno
         out = out.filter("change <> 'removed'")
     if only:
         out = out.filter(F.col("change").isin(*only))
-    return out.select(key, "change", F.when(F.col("change") == "modified", F.transform(changed, lambda x: x.dropFields("same"))).alias("fields"))
+    return out.select(key, "change", F.when(F.col("change") == "modified", F.col("_fields")).alias("fields"))

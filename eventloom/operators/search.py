@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as X
 
@@ -255,26 +259,77 @@ def repair(words: DataFrame, vocab: DataFrame) -> DataFrame:
     return close.groupBy("word").agg(F.max(F.struct("n", "v")).alias("b")).select("word", F.col("b.v").alias("fixed"))
 
 
-#: Queries that are sent to all tasks at once.
-BLOCK = 4096
+#: Queries that are sent to all tasks at once, and cells of a block of similarities.
+BLOCK, CELLS = 1 << 16, 4 << 20
+
+
+def _unit(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of length one as a matrix, and which rows of the column they are: those without nulls, of the most common number of
+    components, and with a length."""
+    rows = [None if x is None or None in x else x for x in lists.to_pylist()]
+    sizes = Counter(len(x) for x in rows if x)
+    dims = sizes.most_common(1)[0][0] if sizes else 0
+    at = np.array([i for i, x in enumerate(rows) if x and len(x) == dims], np.int64)
+    m = np.array([rows[i] for i in at], np.float64).reshape(len(at), dims)
+    norm = np.sqrt((m * m).sum(1))
+    good = np.isfinite(norm) & (norm > 0)
+    return m[good] / norm[good, None], at[good]
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, least: float | None = None) -> DataFrame:
-    """query_id, vec_id, similarity, rank by cosine. Queries are a stated set; they are sent to all tasks in blocks of about BLOCK, and each
-    block keeps k a query."""
-    unit = lambda c: F.transform(c.cast("array<double>"), lambda x: x / F.sqrt(F.aggregate(c.cast("array<double>"), F.lit(0.0), lambda a, y: a + y * y)))
-    v = vectors.select("vec_id", unit(F.col("embedding")).alias("v"), "label")
-    q = queries.select(F.col("vec_id").alias("query_id"), unit(F.col("embedding")).alias("q"))
-    dot = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    """query_id, vec_id, label, similarity, rank by cosine, equal ones by the smaller vec_id; a vector is no neighbour of its own id.
+
+    Queries are a stated set; they are sent to all tasks in blocks of about BLOCK. A task multiplies its vectors, some at a time, with a block's
+    matrix and keeps k a query; these lists alone are shuffled. Vectors that are null, hold a null, are all zeros or have another number of
+    components than the queries take no part."""
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"), "label")
+    asked = queries.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
+    blocks = -(-asked.count() // BLOCK) or 1
+    label = rows.schema["label"].dataType.simpleString()
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    blocks = -(-queries.count() // BLOCK) or 1
-
-    def ranked(block: DataFrame) -> DataFrame:
-        pairs = v.join(F.broadcast(block), F.col("vec_id") != F.col("query_id")).withColumn("similarity", F.round(dot, 6)).drop("v", "q")
-        pairs = pairs if least is None else pairs.filter(F.col("similarity") >= least)
-        return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
-    return reduce(DataFrame.unionByName, [ranked(q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else q) for i in range(blocks)])
+    def ranked(i: int) -> DataFrame:
+        block = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i) if blocks > 1 else asked
+        got = block.toArrow().combine_chunks()
+        matrix, at = _unit(got["embedding"].combine_chunks()) if got.num_rows else (np.zeros((0, 0)), np.zeros(0, np.int64))
+        sent = vectors.sparkSession.sparkContext.broadcast((matrix, got["vec_id"].to_numpy()[at] if len(at) else np.zeros(0, np.int64)))
+
+        def run(batches):
+            q, ids = sent.value
+            top = (np.zeros((len(q), 0)), np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0), object))
+            for b in batches if len(q) else ():
+                v, at = _unit(b.column(1))
+                if v.shape[1] == q.shape[1]:
+                    own, names = b.column(0).to_numpy(zero_copy_only=False)[at], np.array(b.column(2).to_pylist(), object)[at]
+                    for lo in range(0, len(v), step := max(1, CELLS // len(q))):
+                        top = _best(top, np.round(q @ v[lo : lo + step].T, 6), ids, own[lo : lo + step], names[lo : lo + step], k, least)
+            sims, near, names = top
+            if sims.shape[1]:
+                keep = np.isfinite(sims)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, keep.sum(1))), pa.array(near[keep]), pa.array(names[keep].tolist(), schema[2].type), pa.array(sims[keep])], schema=schema)
+
+        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("label", to_arrow_type(rows.schema["label"].dataType)), ("similarity", pa.float64())])
+        part = rows.mapInArrow(run, f"query_id long, vec_id long, label {label}, similarity double")
+        return part.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+    return reduce(DataFrame.unionByName, [ranked(i) for i in range(blocks)])
+
+
+def _best(top: tuple, sims: np.ndarray, ids: np.ndarray, own: np.ndarray, names: np.ndarray, k: int, least: float | None) -> tuple:
+    """The k best of each query among those held and those of more vectors; a similarity of minus infinity is none."""
+    sims[ids[:, None] == own[None, :]] = -np.inf
+    if least is not None:
+        sims[sims < least] = -np.inf
+    if sims.shape[1] > k:  # one key for similarity and id, so that ties are cut as they are ranked
+        place = np.empty(len(own), np.int64)
+        place[np.argsort(own, kind="stable")] = np.arange(len(own))
+        key = np.where(np.isfinite(sims), np.rint(np.where(np.isfinite(sims), sims, 0) * 1e6), -(2 << 20)).astype(np.int64) * len(own) - place
+        at = np.argpartition(-key, k - 1, axis=1)[:, :k]
+    else:
+        at = np.broadcast_to(np.arange(len(own)), sims.shape)
+    both = [np.concatenate(x, axis=1) for x in zip(top, (np.take_along_axis(sims, at, 1), own[at], names[at]), strict=True)]
+    order = np.lexsort((both[1], -both[0]), axis=-1)[:, :k]
+    return tuple(np.take_along_axis(x, order, 1) for x in both)
 
 
 def vote(near: DataFrame) -> DataFrame:

@@ -14,6 +14,8 @@ from .plans.expr import compile_value
 from .sources import html, records
 
 QUERIES: dict = {}
+#: What a letter of a word is.
+LETTER = "\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}"
 ORACLES: dict[str, str] = {}
 
 
@@ -220,7 +222,12 @@ def extract_domains(spark, d):
     return core.extract(t(spark, d, "pages").select("url"), "domains", ("url",), "domain").select(F.explode("domain").alias("domain")).groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+STOPPED = ", ".join(f"'{w}'" for w in core.STOPWORDS if "'" not in w)
+
+
+@query(f"""WITH c AS (SELECT row_number() OVER () AS r, regexp_replace(text, '(?i)(?:https?://|www\\.)\\S+|@[{LETTER}.-]+|\\b[{LETTER}-]+(?:\\.[{LETTER}-]+)*\\.[a-z]{{2,}}(?:/\\S*)?', ' ', 'g') AS t FROM conversations),
+w AS (SELECT DISTINCT r, lower(unnest(regexp_extract_all(t, '(?:^|[^{LETTER}''])([A-Za-z][A-Za-z''+-]*[A-Za-z+])', 1))) AS word FROM c)
+SELECT word, count(*) AS n FROM w WHERE word NOT IN ({STOPPED}) GROUP BY word""")
 def extract_words_count(spark, d):
     return core.extract(t(spark, d, "conversations"), "words", ("text",), "word").select(F.explode("word").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
@@ -285,6 +292,25 @@ def trend_hourly_floor(spark, d):
     return core.trend(core.count(t(spark, d, "events"), "event_type", every=3600, top=2), 4, 3, 20.0).select("window_start", "value", "count", "baseline", "change_pct")
 
 
+# Nested values: the old and the new ones are made of each event; what must differ follows from how the new ones are made.
+@query("""WITH e AS (SELECT event_id AS i, event_type AS t, (props::JSON->'k')::BIGINT AS k FROM events),
+c AS (SELECT i, 'p' AS path, '{"k":' || k || '}' AS old, 'none' AS new FROM e WHERE i % 11 = 0
+UNION ALL SELECT i, 'p.k', k::VARCHAR, (k + 1)::VARCHAR FROM e WHERE i % 3 = 0 AND i % 11 <> 0 UNION ALL SELECT i, 'p.n', NULL, '{"m":true}' FROM e WHERE i % 5 = 0 AND i % 11 <> 0
+UNION ALL SELECT i, 'at.1.t', t, t || 'x' FROM e WHERE i % 7 = 0 UNION ALL SELECT i, 'l', '[1,2]', '[1]' FROM e WHERE i % 13 = 0)
+SELECT i AS event_id, path, old, new FROM c""")
+def diff_variant(spark, d):
+    e = t(spark, d, "events").select("event_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    i = F.col("event_id")
+    at = lambda t: F.array(F.struct(F.lit(1).alias("v"), F.lit(None).cast("string").alias("t")), F.struct(F.lit(None).cast("int").alias("v"), t.alias("t")))
+    old = F.to_json(F.struct(F.struct("k").alias("p"), at(F.col("event_type")).alias("at"), F.array(F.lit(1), F.lit(2)).alias("l")))
+    inner = F.struct(F.when(i % 3 == 0, F.col("k") + 1).otherwise(F.col("k")).alias("k"), F.when(i % 5 == 0, F.struct(F.lit(True).alias("m"))).alias("n"))
+    rest = [at(F.when(i % 7 == 0, F.concat("event_type", F.lit("x"))).otherwise(F.col("event_type"))).alias("at"), F.when(i % 13 == 0, F.array(F.lit(1))).otherwise(F.array(F.lit(1), F.lit(2))).alias("l")]
+    new = F.when(i % 11 == 0, F.to_json(F.struct(F.lit("none").alias("p"), *rest))).otherwise(F.to_json(F.struct(inner.alias("p"), *rest)))
+    v = lambda c: e.select("event_id", F.parse_json(c).alias("v"))
+    got = core.diff(v(old), v(new), "event_id", ("v",))
+    return got.select("event_id", F.explode("fields").alias("f")).select("event_id", F.substring("f.path", 3, 99).alias("path"), "f.old", "f.new")
+
+
 def _snapshots(spark, d):
     o = t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
     new = o.filter("o_orderkey % 11 <> 0").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 7 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))).withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 21 == 0, F.lit("X")).otherwise(F.col("o_orderstatus")))
@@ -323,8 +349,6 @@ def diff_summary_counts(spark, d):
 ITEMS = """items AS (SELECT doc_id, source AS feed, coalesce(text, '') AS whole, split_part(coalesce(text, ''), chr(10), 1) AS title, substr(coalesce(text, ''), length(split_part(coalesce(text, ''), chr(10), 1)) + 2) AS summary,
 'https://e.org/' || (doc_id % 700) AS link, strftime(DATE '2023-01-01' + (doc_id * 37 % 800)::INTEGER, '%Y-%m-%d') AS date FROM documents)"""
 KEY = "substr(sha256(feed || chr(10) || link || chr(10) || trim(regexp_replace(lower(replace(whole, 'ß', 'ss')), '[\\s\\v\\x{85}\\p{Z}]+', ' ', 'g'))), 1, 16)"
-#: What a letter of a word is.
-LETTER = "\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}"
 
 
 def _items(spark, d):

@@ -63,6 +63,27 @@ def test_diff_of_nested_fields(spark):
     assert got == {"x": [("v.b.c", "2", "3")], "y": [("v.b.c", "2", None), ("v.b.d", "p", None), ("l", "[1]", "[2]")]}
 
 
+def test_differences_of_json(spark):
+    cases = [
+        ('{"a":1,"b":{"c":[1,2]}}', '{"b":{"c":[1,3]},"a":1}', [("b.c", "[1,2]", "[1,3]")]),
+        ('{"l":[{"x":1},{"x":2}]}', '{"l":[{"x":1},{"x":3,"y":null}]}', [("l.1.x", "2", "3")]),
+        ('{"l":[{"x":1}]}', '{"l":[{"x":1},{"x":2}]}', [("l", '[{"x":1}]', '[{"x":1},{"x":2}]')]),
+        ('{"a":{"b":1}}', '{"a":"s"}', [("a", '{"b":1}', "s")]),
+        ('{"a":null}', "{}", []), ('{"a":1}', '{"a":1.0}', []), ("[1]", "[2]", [("value", "[1]", "[2]")]), (None, '{"a":"é"}', [("value", None, '{"a":"é"}')]), (None, None, []), ("no json", "no json", []), ("no json", "1", [("value", "no json", "1")]), ("{}", '{"":{"z":[]}}', [("value", None, '{"z":[]}')]),  # an empty name alone has no path
+    ]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(cases)], "i int, a string, b string")
+    got = {r.i: [tuple(c) for c in r.c] for r in df.select("i", core.differences(df.a, df.b).alias("c")).collect()}
+    assert got == {i: c for i, (_, _, c) in enumerate(cases)}
+
+
+def test_diff_of_variants(spark):
+    v = lambda rows: spark.createDataFrame(rows, "k string, s string, n int").selectExpr("k", "try_parse_json(s) as v", "n")
+    old, new = v([("a", '{"x":{"y":1}}', 1), ("b", '{"x":1}', 1), ("c", None, 1), ("d", "[]", 1)]), v([("a", '{"x":{"y":2,"z":3}}', 1), ("b", '{"x":1}', 2), ("c", "{}", 1), ("e", "[]", 1)])
+    got = {r.k: (r.change, r.fields and [tuple(f) for f in r.fields]) for r in core.diff(old, new, "k", ("v", "n")).collect()}
+    assert got == {"a": ("modified", [("v.x.y", "1", "2"), ("v.x.z", None, "3")]), "b": ("modified", [("n", "1", "2")]), "c": ("modified", [("v", None, "{}")]), "d": ("removed", None), "e": ("added", None)}
+    assert {r.k for r in core.diff(old, new, "k", ("v",), ignore=("v.x.y", "v.x.z"), only=("modified",)).collect()} == {"c"}
+
+
 def test_feed_documents(spark):
     items = spark.createDataFrame([(str(i), f"T & {i}", f"https://e.org/?a={i}&b=2", None, "2024-01-02T00:00:00Z") for i in range(1200)], "id string, title string, link string, summary string, date string")
     assert len(ElementTree.fromstring(sinks.atom(items, "t", "l")).findall("{http://www.w3.org/2005/Atom}entry")) == 1200
@@ -117,3 +138,25 @@ def test_clusters_against_plain_loops(spark):
         want[i] = own[0] if own else i
     df = spark.createDataFrame(rows, "id long, priority int, t double, lat double, lon double").repartition(3)
     assert {x.id: x.cluster for x in joins.clusters(df).collect()} == want and len(heads) < 140
+
+
+def test_nearest_against_plain_loops(spark):
+    r = random.Random(8)
+    rows = [(i, [float(r.randint(-2, 2)) for _ in range(3)], r.choice(["a", None, "b"])) for i in range(80)] + [(200, None, "x"), (201, [1.0, None, 2.0], "x"), (202, [0.0, 0.0, 0.0], "x"), (203, [1.0, 2.0], "x"), (5, [1.0, 1.0, 1.0], "twice")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string").repartition(3)
+    usable = [(i, v) for i, v, _ in rows if v and len(v) == 3 and None not in v and any(v)]
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    for least in (None, 0.5):
+        want = set()
+        for q, a in usable:
+            if q % 10 == 0:
+                near = sorted((-round(dot(a, b) / (dot(a, a) * dot(b, b)) ** 0.5, 6), i) for i, b in usable if i != q)
+                want |= {(q, i, -s, n + 1) for n, (s, i) in enumerate(x for x in near if least is None or -x[0] >= least) if n < 4}
+        for cells in (search.CELLS, 40):
+            kept, search.CELLS = search.CELLS, cells
+            try:
+                got = search.nearest(df, df.filter("vec_id % 10 = 0"), 4, least).collect()
+            finally:
+                search.CELLS = kept
+            assert {(x.query_id, x.vec_id, x.similarity, x["rank"]) for x in got} == want
+    assert search.nearest(df, df.limit(0)).count() == 0 and search.nearest(df.limit(0), df).count() == 0
