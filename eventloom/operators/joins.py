@@ -60,40 +60,53 @@ def km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     return F.lit(2 * 6371.0) * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
 
 
-def clusters(reports: DataFrame, seconds: float = 120, reach_km: float = 400, priority: str = "priority") -> DataFrame:
-    """Each report with `cluster`, the id of the report that opened its cluster: in the order of priority and time, a report
+def clusters(reports: DataFrame, seconds: float = 120, reach_km: float = 400, priority: str = "priority", span: float = 3600) -> DataFrame:
+    """Each report with `cluster`, the id of the report that opened its cluster: in the order of priority, time and id, a report
     joins the first cluster whose opener is within the seconds and kilometres, or opens one.
 
-    Only reports of one island of time (no gap over `seconds`) can meet, so a task gets an island: gaps are found by
-    day and the day before, not over all rows in one task."""
-    cols = reports.columns
-    out = reports.schema.add("cluster", reports.schema["id"].dataType)
-    day = F.floor(F.col("t") / 86400)
-    last = reports.groupBy(day.alias("_d")).agg(F.max("t").alias("_last"), F.min("t").alias("_first"))
-    before = last.select("_d", F.max("_last").over(Window.orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))  # a row a day
-    w = Window.partitionBy("_d").orderBy("t", "id")
-    gaps = reports.withColumn("_d", day).join(before, "_d").withColumn("_prev", F.coalesce(F.lag("t").over(w), F.col("_before")))
-    opens = gaps.withColumn("_open", (F.col("_prev").isNull() | (F.col("t") - F.col("_prev") > seconds)).cast("int"))
-    opened = opens.groupBy("_d").agg(F.sum("_open").alias("_o"))
-    base = opened.select("_d", F.coalesce(F.sum("_o").over(Window.orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    islands = opens.join(base, "_d").withColumn("_island", F.col("_base") + F.sum("_open").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        # Openers by island and slice of time: one that is near enough is in a report's slice or beside it.
-        heads: dict[tuple, list[tuple]] = defaultdict(list)
-        group = group.sort_values([priority, "t", "id"], kind="stable")
-        found = []
-        for n, r in enumerate(group.rename(columns={"_island": "island"}).itertuples()):
-            slot = int(r.t // seconds)
-            near = (h for s in (slot - 1, slot, slot + 1) for h in heads[r.island, s])
-            first = min((h for h in near if abs(h[2] - r.t) <= seconds and _km(h[3], h[4], r.lat, r.lon) <= reach_km), default=None)
-            if first is None:
-                heads[r.island, slot].append((n, r.id, r.t, r.lat, r.lon))
-            found.append(r.id if first is None else first[1])
-        return group[cols].assign(cluster=found)
-
-    # a few hundred islands make one group
-    return islands.groupBy(F.floor(F.col("_island") / 256)).applyInPandas(merge, out)
+    A report opens one if, and only if, no near report before it does; only one set of openers fits that, so it may be found piece by piece. A task gets
+    a span of time and what lies within the seconds around it; what it assumes of these is what their own task found in the round
+    before. Rounds go on until none changes, mostly three or four. No task holds more than a span, however dense the stream; for one
+    that is denser than a task can hold, give a shorter span. Ids are unique; an empty table stays empty."""
+    if span < seconds:
+        raise ValueError("span must be no shorter than seconds")
+    cols, id_type = reports.columns, reports.schema["id"].dataType.simpleString()
+    slim = reports.select("id", F.col("t").cast("double").alias("t"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), F.col(priority).alias("p"))
+    own = F.floor(F.col("t") / span).cast("long")
+    known = shared(slim.withColumns({"b": own, "opens": F.lit(True), "cluster": F.col("id")}))
+
+    def settle(group: pd.DataFrame) -> pd.DataFrame:
+        block = int(group["g"].iloc[0])
+        group = group.sort_values(["p", "t", "id"], kind="stable").reset_index(drop=True)
+        heads: dict[int, list[tuple]] = defaultdict(list)  # openers by slice of time: one that is near is in a report's slice or beside it
+        opens, cluster = group["opens"].to_numpy().copy(), group["cluster"].to_numpy(object).copy()
+        for n, (key, t, lat, lon, b) in enumerate(zip(group["id"], group["t"], group["lat"], group["lon"], group["b"], strict=True)):
+            slot = int(t // seconds)
+            if b == block:
+                near = (h for s in (slot - 1, slot, slot + 1) for h in heads[s])
+                first = min((h for h in near if abs(h[2] - t) <= seconds and _km(h[3], h[4], lat, lon) <= reach_km), default=None)
+                opens[n], cluster[n] = first is None, key if first is None else first[1]
+            if opens[n]:
+                heads[slot].append((n, key, t, lat, lon))
+        changed = (opens != group["opens"].to_numpy()) | (cluster != group["cluster"].to_numpy(object))
+        return group.assign(opens=opens, cluster=pd.Series(cluster, dtype=group["cluster"].dtype), changed=changed)[group["b"] == block][["id", "t", "lat", "lon", "p", "b", "opens", "cluster", "changed"]]
+
+    schema = f"id {id_type}, t double, lat double, lon double, p {slim.schema['p'].dataType.simpleString()}, b long, opens boolean, cluster {id_type}, changed boolean"
+    while True:
+        around = F.array_distinct(F.array(F.col("b"), F.floor((F.col("t") - seconds) / span).cast("long"), F.floor((F.col("t") + seconds) / span).cast("long")))
+        known = shared(known.withColumn("g", F.explode(around)).groupBy("g").applyInPandas(settle, schema))
+        if known.filter("changed").isEmpty():
+            break
+        known = known.drop("changed")
+    return reports.join(known.select(F.col("id").alias("_id"), "cluster"), F.col("id") == F.col("_id")).select(*cols, "cluster")
+
+
+def shared(df: DataFrame) -> DataFrame:
+    """The rows from the folder that the cluster shares for checkpoints, so that a round does not go back to all before it."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared")
+    return df.checkpoint()
 
 
 def _km(la1: float, lo1: float, la2: float, lo2: float) -> float:

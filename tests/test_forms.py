@@ -3,6 +3,8 @@
 import random
 from xml.etree import ElementTree
 
+import pytest
+
 from eventloom.functions import text as X
 from eventloom.operators import catalog, core, joins, learn, search
 from eventloom.sources import records, sinks
@@ -137,7 +139,11 @@ def test_clusters_against_plain_loops(spark):
             heads.append((i, t, lat, lon))
         want[i] = own[0] if own else i
     df = spark.createDataFrame(rows, "id long, priority int, t double, lat double, lon double").repartition(3)
-    assert {x.id: x.cluster for x in joins.clusters(df).collect()} == want and len(heads) < 140
+    for span in (3600, 250, 120):  # spans that cut the dense stream, in which no gap is over 120 s
+        assert {x.id: x.cluster for x in joins.clusters(df, span=span).collect()} == want and len(heads) < 140
+    assert joins.clusters(df.limit(0)).count() == 0 and joins.clusters(df).columns == [*df.columns, "cluster"]
+    with pytest.raises(ValueError, match="span"):
+        joins.clusters(df, span=60)
 
 
 def test_nearest_against_plain_loops(spark):
