@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
@@ -11,6 +14,7 @@ from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def tfidf(df: DataFrame, dims: int = 1 << 12) -> DataFrame:
@@ -65,6 +69,100 @@ def word_vectors(pairs: DataFrame, dims: int = 100, context: int = 2000) -> Data
     return PCA(k=min(dims, len(columns)), inputCol="x", outputCol="vector").fit(dense).transform(dense).select("word", "vector")
 
 
+#: Cells of a matrix of columns by components that is sent to all tasks, and entries that a task multiplies at once.
+MOST_CELLS, ENTRIES = 16 << 20, 1 << 15
+#: Tasks of a pass: each sends one such matrix on, in parts of so many columns.
+TASKS, COLUMNS = 256, 1024
+
+
+def _sparse(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of vectors as ML keeps them: row, column and value of each entry that is not zero; a null vector has none."""
+    indices, values = batch.column(0).field(2), batch.column(0).field(3)
+    values = [np.asarray(x or [], np.float64) for x in values.to_pylist()]
+    places = [np.arange(len(v)) if i is None else np.asarray(i, np.int64) for i, v in zip(indices.to_pylist(), values, strict=True)]  # dense ones have no indices
+    row = np.repeat(np.arange(len(values)), [len(v) for v in values])
+    flat, place = (np.concatenate([np.zeros(0, kind), *x]) for kind, x in ((np.float64, values), (np.int64, places)))
+    return row[flat != 0], place[flat != 0], flat[flat != 0]
+
+
+def _times(row: np.ndarray, col: np.ndarray, value: np.ndarray, m: np.ndarray, rows: int) -> np.ndarray:
+    """Entries times a dense matrix, some at a time."""
+    out = np.zeros((rows, m.shape[1]))
+    for lo in range(0, len(row), ENTRIES):
+        r, part = row[lo : lo + ENTRIES], m[col[lo : lo + ENTRIES]] * value[lo : lo + ENTRIES, None]
+        order = np.argsort(r, kind="stable")
+        at = np.flatnonzero(np.concatenate(([True], np.diff(r[order]) > 0)))
+        out[r[order][at]] += np.add.reduceat(part[order], at)
+    return out
+
+
+@dataclass
+class Svd:
+    """Right singular vectors (columns by components) and singular values."""
+
+    components: np.ndarray
+    singular: np.ndarray
+
+    def transform(self, df: DataFrame, vector: str = "vector", into: str = "embedding") -> DataFrame:
+        """df with its rows' places along the components, an array of doubles; a null vector is at the origin."""
+        sent = df.sparkSession.sparkContext.broadcast(self.components)
+        rest = [c for c in df.columns if c != into]
+
+        def run(batches):
+            for b in batches:
+                row, col, value = _sparse(b.select([len(rest)]))
+                got = _times(row, col, value, sent.value, b.num_rows)
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(list(got), pa.list_(pa.float64()))], names=[*b.schema.names[:-1], into])
+
+        kept = df.select(*rest, F.unwrap_udt(vector).alias("_v")).drop(vector)
+        rest.remove(vector)
+        return kept.mapInArrow(run, T.StructType([*kept.drop("_v").schema.fields, T.StructField(into, T.ArrayType(T.DoubleType()))]))
+
+
+def svd(df: DataFrame, k: int = 100, vector: str = "vector", more: int = 10, rounds: int = 4, seed: int = 7) -> Svd:
+    """The k largest singular values of the rows' matrix and their right singular vectors, by randomised block iteration.
+
+    A block of k + `more` random directions is multiplied by the matrix and its transpose, `rounds` times, and made orthonormal each time; it
+    turns towards the largest singular vectors. Rows stay where they are and are never dense: a pass sends the block (columns times directions,
+    at most MOST_CELLS numbers, so the columns must be hashed or chosen) to the tasks, and adds up what they make of it by ranges of
+    columns. An empty table has singular values of zero."""
+    spark = df.sparkSession
+    rows = df.filter(F.col(vector).isNotNull()).select(F.unwrap_udt(vector).alias("v"))
+    size = rows.agg(F.max(F.coalesce("v.size", F.size("v.values")))).first()[0] or 1
+    width = min(k + more, size)
+    if size * width > MOST_CELLS:
+        raise ValueError(f"{size} columns times {width} directions are more than {MOST_CELLS} cells")
+    rows = rows.coalesce(TASKS)
+
+    def passed(block: np.ndarray, inner: bool) -> np.ndarray:
+        """A'A times the block, or the block's own products B'A'AB."""
+        sent = spark.sparkContext.broadcast(block)
+
+        def run(batches):
+            total = np.zeros((width if inner else size, width))
+            for b in batches:
+                row, col, value = _sparse(b)
+                y = _times(row, col, value, sent.value, b.num_rows)
+                total += y.T @ y if inner else _times(col, row, value, y, size)
+            for lo in range(0, len(total), COLUMNS):
+                part = total[lo : lo + COLUMNS].ravel()
+                yield pa.RecordBatch.from_arrays([pa.array([lo], pa.int32()), pa.array([part], pa.list_(pa.float64()))], names=["lo", "x"])
+
+        def added(parts: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"lo": parts["lo"].iloc[:1], "x": [np.sum(np.stack(parts["x"].to_numpy()), axis=0)]})
+
+        got = rows.mapInArrow(run, "lo int, x array<double>").groupBy("lo").applyInPandas(added, "lo int, x array<double>").orderBy("lo").collect()
+        sent.destroy()
+        return np.concatenate([np.asarray(r.x) for r in got]).reshape(-1, width) if got else np.zeros((width if inner else size, width))
+
+    block = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, width)))[0]
+    for _ in range(rounds):
+        block = np.linalg.qr(passed(block, False))[0]
+    squares, turn = np.linalg.eigh(passed(block, True))
+    first = np.argsort(-squares)[: min(k, width)]
+    return Svd(block @ turn[:, first], np.sqrt(np.maximum(squares[first], 0)))
+
+
 def readout(train: DataFrame, rows: DataFrame, features: str = "vector", label: str = "label") -> DataFrame:
     """rows with `prediction`, the class that a multinomial logistic regression over train's vectors gives them."""
     return LogisticRegression(featuresCol=features, labelCol=label, maxIter=50, regParam=1e-3).fit(train).transform(rows).drop("rawPrediction", "probability")
