@@ -779,6 +779,14 @@ def html_headings(spark, d):
     return html.pages(t(spark, d, "pages")).select("url", F.explode("headings").alias("h")).select("url", "h.level", "h.text")
 
 
+@query("""SELECT url, CASE WHEN regexp_matches(substr(html, 1, 500), '<rss|<feed') THEN 'feed' ELSE 'page' END AS kind, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g'), '&amp;', '&', 'g')) AS title,
+len(regexp_extract_all(html, 'rel="alternate"'))::INTEGER AS feeds, len(regexp_extract_all(html, 'ld.json'))::INTEGER AS types, len(regexp_extract_all(html, '<script')) >= 3 AS needs_scripts FROM pages""")
+def html_inspection(spark, d):
+    from .sources.inspection import inspect
+
+    return inspect(t(spark, d, "pages")).select("url", "kind", "title", F.size("feeds").alias("feeds"), F.size("types").alias("types"), "needs_scripts")
+
+
 NAV = "regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '(?s)<li>(.*?)</li>', 1)"
 
 
