@@ -126,3 +126,38 @@ def into_table(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
         spark.conf.set(empty, before)
     q.awaitTermination()
     return spark.read.parquet(path)
+
+
+def heard_once(df: DataFrame, state_path: str, out_path: str, checkpoint: str, seconds: float = 120, reach_km: float = 400, days: float = 9, priority: str = "priority"):
+    """Reports (agency, id, t in seconds, lat, lon and a priority) of a stream with `cluster` ("agency:id" of the report that opened it) and `opens`,
+    each (agency, id) once, appended to out_path. What was heard in the last `days` before the newest report is kept in a state table.
+
+    A report near an opener of an earlier batch joins the first such; the others are merged among themselves as joins.clusters does. So what
+    was told is never merged later. Near ones meet by slices of time, in as many tasks as there are slices. A batch that runs again
+    leaves out of the state what it had written itself. Reports without agency, id, time or place take no part."""
+    from ..operators.joins import clusters, km
+
+    cols = ["agency", "id", "t", "lat", "lon", priority]
+
+    def batch(rows: DataFrame, n: int) -> None:
+        state = State(rows.sparkSession, state_path)
+        old = state.load()
+        old = rows.select(*cols).withColumns({"cluster": F.lit(""), "opens": F.lit(True), "batch": F.lit(0).cast("long")}).limit(0) if old is None else old.filter(F.col("batch") < n)
+        whole = rows.select(*cols).dropna(subset=["agency", "id", "t", "lat", "lon"])
+        once = whole.groupBy("agency", "id").agg(F.min(F.struct(priority, "t", "lat", "lon")).alias("r")).select("agency", "id", "r.*")
+        fresh = once.join(old.select("agency", "id"), ["agency", "id"], "left_anti").withColumn("key", F.concat_ws(":", "agency", "id"))
+        slot = F.floor(F.col("t") / seconds)
+        heads = old.filter("opens").select(F.col("cluster").alias("head"), F.struct("batch", F.col(priority).alias("p"), "t", "cluster").alias("turn"), F.col("t").alias("ht"), F.col("lat").alias("hlat"), F.col("lon").alias("hlon"), F.explode(F.array(slot - 1, slot, slot + 1)).alias("slot"))
+        near = fresh.withColumn("slot", slot).join(heads, "slot").filter((F.abs(F.col("t") - F.col("ht")) <= seconds) & (km(F.col("lat"), F.col("lon"), F.col("hlat"), F.col("hlon")) <= reach_km))
+        joined = near.groupBy("key").agg(F.min_by("head", "turn").alias("cluster"))
+        told = fresh.join(joined, "key", "left")
+        rest = told.filter("cluster is null").select(F.col("key").alias("id"), "t", "lat", "lon", priority)
+        own = clusters(rest, seconds, reach_km, priority).select(F.col("id").alias("key"), F.col("cluster").alias("own"))
+        told = told.join(own, "key", "left").withColumns({"opens": F.col("cluster").isNull() & (F.col("own") == F.col("key")), "cluster": F.coalesce("cluster", "own")})
+        told.select(*cols, "cluster", "opens").write.mode("overwrite").parquet(f"{out_path}/batch={n}")
+        told = rows.sparkSession.read.parquet(f"{out_path}/batch={n}").withColumn("batch", F.lit(n).cast("long"))
+        kept = old.unionByName(told)
+        newest = kept.agg(F.max("t").alias("newest"))
+        state.save(kept.join(F.broadcast(newest)).filter(F.col("t") >= F.col("newest") - days * 86400).drop("newest"), keep=3)  # one row
+
+    return df.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
