@@ -787,6 +787,14 @@ def html_inspection(spark, d):
     return inspect(t(spark, d, "pages")).select("url", "kind", "title", F.size("feeds").alias("feeds"), F.size("types").alias("types"), "needs_scripts")
 
 
+@query("""WITH u AS (SELECT url, unnest(regexp_extract_all(html, '(?s)<li>(.*?)</li>', 1)) AS li, generate_subscripts(regexp_extract_all(html, '(?s)<li>(.*?)</li>', 1), 1) - 1 AS n FROM pages)
+SELECT url, n::INTEGER AS n, 0 AS depth, trim(regexp_replace(li, '<[^>]*>', '', 'g')) AS text FROM u""")
+def nested_list_items(spark, d):
+    from .sources.outline import outline
+
+    return outline(t(spark, d, "pages")).select("url", "n", F.size("path").alias("depth"), "text")
+
+
 NAV = "regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '(?s)<li>(.*?)</li>', 1)"
 
 
