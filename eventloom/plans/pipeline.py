@@ -31,21 +31,26 @@ class Context:
     today: date = field(default_factory=lambda: datetime.now(timezone.utc).date())
 
 
-def _diff(df: DataFrame, ctx: Context, key: str, fields: list, only: list = (), ignore: list = (), emit_initial: bool = False, remember: bool = False, namespace: str = "diff") -> DataFrame:
-    """Changes since the last run. The first run only remembers, unless told to emit; state is written once."""
+def _diff(df: DataFrame, ctx: Context, key: str, fields: list, only: list = (), ignore: list = (), emit_initial: bool = False, remember: bool = False, namespace: str = "diff", errors: str = "type") -> DataFrame:
+    """Changes since the last run. The first run only remembers, unless told to emit; state is written once. Rows that report a failure (the column
+    `errors` is "error") are no news of their key: they pass by, with change "error", and neither state nor comparison sees them."""
     if not ctx.state:
         raise PipelineError("diff needs a state folder")
     state = State(ctx.spark, f"{ctx.state}/{namespace}")
+    failed = None
+    if errors in df.columns:
+        wrong = F.coalesce(F.col(errors) == "error", F.lit(False))
+        failed, df = df.filter(wrong), df.filter(~wrong)
     rows = df.groupBy(key).agg(F.min_by(F.struct(*fields), ctx.order).alias("r")).select(key, "r.*") if ctx.order in df.columns else df.select(key, *fields).dropDuplicates([key])
     old = state.load()
     if old is None:
         out = core.diff(rows.limit(0), rows, key, tuple(fields), only=tuple(only))
         out = out if emit_initial else out.limit(0)
         state.save(rows)
-        return out
-    out = core.diff(old, rows, key, tuple(fields), tuple(ignore), tuple(only), remember=remember)
-    state.save(core.union_first(key, rows, old) if remember else rows, keep=3)
-    return out
+    else:
+        out = core.diff(old, rows, key, tuple(fields), tuple(ignore), tuple(only), remember=remember)
+        state.save(core.union_first(key, rows, old) if remember else rows, keep=3)
+    return out if failed is None else out.unionByName(failed.select(key, F.lit("error").alias("change")), allowMissingColumns=True)
 
 
 #: name -> (function of (df, ctx, **options), needs all rows)

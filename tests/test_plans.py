@@ -116,3 +116,13 @@ def test_stream_changes_by_key(spark, tmp_path):
     assert sorted(tuple(r) for r in go().collect()) == [("a", "added", None), ("b", "added", None)]
     put([("a", 2, None), ("b", 1, "x"), ("c", None, None)])
     assert sorted((r.k, r.change, r.fields and [tuple(f) for f in r.fields]) for r in go().collect())[1:] == [("a", "modified", [("v", "1", "2")]), ("b", "added", None), ("c", "added", None)]
+
+
+def test_errors_pass_by_diff(spark, tmp_path):
+    from eventloom.plans import pipeline
+
+    ctx = pipeline.Context(spark, order="seq", state=str(tmp_path / "state"))
+    rows = lambda *r: spark.createDataFrame(list(r), "k string, v int, type string, seq int")
+    go = lambda df: sorted((r.k, r.change, r.fields and [(f.path, f.old, f.new) for f in r.fields]) for r in pipeline._diff(df, ctx, "k", ["v"]).collect())
+    assert go(rows(("a", 1, "item", 1), ("b", 1, None, 2), ("x", None, "error", 3))) == [("x", "error", None)]
+    assert go(rows(("a", 2, "item", 1), ("b", None, "error", 2), ("b", 1, "item", 3))) == [("a", "modified", [("v", "1", "2")]), ("b", "error", None)]
