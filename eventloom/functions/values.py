@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Fixed value: what counts as a number in a text.
 NUMERIC_TEXT = r"^\s*-?\d+(\.\d+)?\s*$"
 
 

@@ -15,116 +15,112 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as X
+from .joins import shared
 
 stem = X.stem_of
 
 #: Past forms that do not begin as the verb does.
-IRREGULAR = """
-buy: bought
-sell: sold
-rise: rose, risen
-fall: fell, fallen
-win: won
-lose: lost
-pay: paid
-steal: stole
-say: said
-hold: held
-spend: spent
-strike: struck
-shake: shook
-"""
+IRREGULAR = {
+    "buy": ["bought"],
+    "sell": ["sold"],
+    "rise": ["rose", "risen"],
+    "fall": ["fell", "fallen"],
+    "win": ["won"],
+    "lose": ["lost"],
+    "pay": ["paid"],
+    "steal": ["stole"],
+    "say": ["said"],
+    "hold": ["held"],
+    "spend": ["spent"],
+    "strike": ["struck"],
+    "shake": ["shook"],
+}
 #: What sources call a thing that is asked for under another name.
-SAME = """
-fed: federal reserve, fomc
-gdp: gross domestic product
-jobless: unemployment
-job: employment
-inflation: consumer price
-cpi: consumer price
-ipo: go public, initial public offering
-purchase: bought, buy
-purchas: bought, buy
-sale: sold, sell
-warning: alert, advisory, bulletin
-outage: issues with, elevated error, degraded, disruption, unavailable
-quake: earthquake
-sec: securities and exchange commission
-fda: food and drug administration
-doj: justice department, department of justice
-us: u.s., united states
-uk: britain, british, united kingdom
-eu: european union
-un: united nations
-ai: artificial intelligence
-stock: share
-flaw: vulnerabilit
-flaws: vulnerabilit
-bug: vulnerabilit
-sign: became public law
-congress: public law
-sanction: designation
-xai: x.ai
-sp: s&p
-usd: us dollar, dollar
-thb: baht
-jpy: yen
-cny: yuan
-inr: rupee
-eur: euro
-tech: technolog
-spac: blank check, acquisition corp
-"""
+SAME = {
+    "fed": ["federal reserve", "fomc"],
+    "gdp": ["gross domestic product"],
+    "jobless": ["unemployment"],
+    "job": ["employment"],
+    "inflation": ["consumer price"],
+    "cpi": ["consumer price"],
+    "ipo": ["go public", "initial public offering"],
+    "purchase": ["bought", "buy"],
+    "purchas": ["bought", "buy"],
+    "sale": ["sold", "sell"],
+    "warning": ["alert", "advisory", "bulletin"],
+    "outage": ["issues with", "elevated error", "degraded", "disruption", "unavailable"],
+    "quake": ["earthquake"],
+    "sec": ["securities and exchange commission"],
+    "fda": ["food and drug administration"],
+    "doj": ["justice department", "department of justice"],
+    "us": ["u.s.", "united states"],
+    "uk": ["britain", "british", "united kingdom"],
+    "eu": ["european union"],
+    "un": ["united nations"],
+    "ai": ["artificial intelligence"],
+    "stock": ["share"],
+    "flaw": ["vulnerabilit"],
+    "flaws": ["vulnerabilit"],
+    "bug": ["vulnerabilit"],
+    "sign": ["became public law"],
+    "congress": ["public law"],
+    "sanction": ["designation"],
+    "xai": ["x.ai"],
+    "sp": ["s&p"],
+    "usd": ["us dollar", "dollar"],
+    "thb": ["baht"],
+    "jpy": ["yen"],
+    "cny": ["yuan"],
+    "inr": ["rupee"],
+    "eur": ["euro"],
+    "tech": ["technolog"],
+    "spac": ["blank check", "acquisition corp"],
+}
 #: Agencies by the names that registers give them. These short names match whole words only.
-AGENCIES = """
-epa: environmental protection agency
-hhs: health and human services
-usda: agriculture department, department of agriculture
-dod: defense department, department of defense, pentagon
-pentagon: defense department, department of defense
-dhs: homeland security
-hud: housing and urban development
-dol: labor department, department of labor
-opm: personnel management
-sba: small business administration
-ssa: social security administration
-cftc: commodity futures trading commission
-nrc: nuclear regulatory commission
-gsa: general services administration
-fhfa: federal housing finance agency
-cfpb: consumer financial protection bureau
-nasa: national aeronautics and space administration
-nlrb: national labor relations board
-eeoc: equal employment opportunity commission
-usaid: agency for international development
-ftc: federal trade commission
-fdic: federal deposit insurance corporation
-ncua: national credit union administration
-faa: federal aviation administration
-irs: internal revenue service
-osha: occupational safety and health administration
-fcc: federal communications commission
-fema: federal emergency management agency
-nhtsa: national highway traffic safety administration
-cdc: centers for disease control
-nih: national institutes of health
-"""
+AGENCIES = {
+    "epa": ["environmental protection agency"],
+    "hhs": ["health and human services"],
+    "usda": ["agriculture department", "department of agriculture"],
+    "dod": ["defense department", "department of defense", "pentagon"],
+    "pentagon": ["defense department", "department of defense"],
+    "dhs": ["homeland security"],
+    "hud": ["housing and urban development"],
+    "dol": ["labor department", "department of labor"],
+    "opm": ["personnel management"],
+    "sba": ["small business administration"],
+    "ssa": ["social security administration"],
+    "cftc": ["commodity futures trading commission"],
+    "nrc": ["nuclear regulatory commission"],
+    "gsa": ["general services administration"],
+    "fhfa": ["federal housing finance agency"],
+    "cfpb": ["consumer financial protection bureau"],
+    "nasa": ["national aeronautics and space administration"],
+    "nlrb": ["national labor relations board"],
+    "eeoc": ["equal employment opportunity commission"],
+    "usaid": ["agency for international development"],
+    "ftc": ["federal trade commission"],
+    "fdic": ["federal deposit insurance corporation"],
+    "ncua": ["national credit union administration"],
+    "faa": ["federal aviation administration"],
+    "irs": ["internal revenue service"],
+    "osha": ["occupational safety and health administration"],
+    "fcc": ["federal communications commission"],
+    "fema": ["federal emergency management agency"],
+    "nhtsa": ["national highway traffic safety administration"],
+    "cdc": ["centers for disease control"],
+    "nih": ["national institutes of health"],
+}
 #: Endings that a form may have, by its length; longer forms may end in anything.
 SHORT_ENDS, FOUR_ENDS = "(?:s|es|'s|ed|ing)?", "(?:s|es|'s|e?d|ing|ers?|i?ans?|ese|ish)?"
 
 
-def _table(text: str) -> dict[str, list[str]]:
-    return {k: v.split(", ") for k, v in (line.split(": ") for line in text.strip().splitlines())}
-
-
-OTHER, WHOLE_ONLY = _table(SAME) | _table(AGENCIES), set(_table(AGENCIES))
-PAST = _table(IRREGULAR)
+OTHER, WHOLE_ONLY = SAME | AGENCIES, set(AGENCIES)
 
 
 def forms(word: str) -> list[str]:
     """What a word of a question may look like in a source: the start of its own forms, irregular ones, and other names."""
     base = stem(word)
-    return list(dict.fromkeys([base, *PAST.get(base, []), *OTHER.get(base, OTHER.get(word.lower(), []))]))
+    return list(dict.fromkeys([base, *IRREGULAR.get(base, []), *OTHER.get(base, OTHER.get(word.lower(), []))]))
 
 
 def _open(form: str) -> str:
@@ -241,15 +237,21 @@ def _deletions(word: Column, most: int) -> Column:
     return out if most == 1 else F.array_union(out, F.flatten(F.transform(F.array_distinct(one), less)))
 
 
+#: Rows of what is left of asked words that are sent to all tasks (of about 60 bytes).
+ASKED = 1 << 17
+
+
 def repair(words: DataFrame, vocab: DataFrame) -> DataFrame:
     """word, fixed: the most frequent vocabulary word within one edit (two from nine letters), for words of five letters or
-    more that the vocabulary lacks. Words within so many edits are equal without so many letters each: they meet by what is left."""
+    more that the vocabulary lacks. Words within so many edits are equal without so many letters each: they meet by what is left. What is left of
+    the asked words is sent to all tasks if it has ASKED rows at most, so that of the vocabulary only what meets it is shuffled."""
+    vocab = shared(vocab)
     unknown = words.filter(F.col("word").rlike("^[a-z]{5,}$")).join(vocab.select("word"), "word", "left_anti").distinct()
     asked = unknown.withColumn("most", F.when(F.length("word") >= 9, 2).otherwise(1))
     left = lambda w, most: F.when(most == 2, _deletions(w, 2)).otherwise(_deletions(w, 1))
-    asked = asked.withColumn("left", F.explode(left(F.col("word"), F.col("most"))))
+    asked = shared(asked.withColumn("left", F.explode(left(F.col("word"), F.col("most")))))
     known = vocab.filter(F.length("word") >= 4).select(F.col("word").alias("v"), "n", F.explode(left(F.col("word"), F.when(F.length("word") >= 7, 2).otherwise(1))).alias("left"))
-    near = asked.join(known, "left").select("word", "v", "n", "most").distinct()
+    near = known.join(F.broadcast(asked) if asked.count() <= ASKED else asked, "left").select("word", "v", "n", "most").distinct()
 
     @F.pandas_udf("int")
     def distance(a: pd.Series, b: pd.Series, most: pd.Series) -> pd.Series:

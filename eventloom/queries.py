@@ -543,7 +543,7 @@ def _asked(v):
 
 @query()
 def typo_vocab(spark, d):
-    v = search.vocabulary(_items(spark, d))
+    v = joins.shared(search.vocabulary(_items(spark, d)))
     return search.repair(_asked(v), v)
 
 
