@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as X
+from ..functions import thai
 from .joins import shared
 
 stem = X.stem_of
@@ -133,15 +134,20 @@ def _open(form: str) -> str:
     return rf"(?<!\w){quoted}{FOUR_ENDS}(?!\w)" if len(form) == 4 else rf"(?<!\w){quoted}"
 
 
+def _all_forms(word: str) -> list[str]:
+    return forms(word) if word.isascii() else [x for f in thai.forms(word) for x in (forms(f) if f.isascii() else [f])]
+
+
 def pattern(word: str) -> str:
-    """A question's word as a pattern for all its forms. Scripts without spaces between words match anywhere."""
-    return "(?iU)" + ("|".join(_open(f) for f in forms(word)) if word.isascii() else re.escape(word))
+    """A question's word as a pattern for all its forms. Scripts without spaces between words match anywhere; Thai words match other spellings and
+    the English words of their table too."""
+    return "(?iU)" + "|".join(_open(f) if f.isascii() else re.escape(f) for f in _all_forms(word))
 
 
 def has(word: str, text: Column) -> Column:
     """A plain look for the forms first, which most rows fail, then the pattern."""
     low = F.lower(text)
-    some = [F.contains(low, F.lit(f)) for f in (forms(word) if word.isascii() else [word.lower()])]
+    some = [F.contains(low, F.lit(f)) for f in _all_forms(word if word.isascii() else word.lower())]
     return reduce(Column.__or__, some) & text.rlike(pattern(word))
 
 
