@@ -523,6 +523,16 @@ def rank_tfidf(spark, d):
     return search.rank(_items(spark, d), ["that", "with"], 50, 1_000_000, "doc_id").select("doc_id", "coverage", "score")
 
 
+STORY = "feed || chr(10) || trim(regexp_replace(regexp_replace(lower(replace(title, 'ß', 'ss')), '[0-9.,]+', '', 'g'), '[\\s\\v\\x{85}\\p{Z}]+', ' ', 'g'))"
+
+
+@query(RANKED.replace("SELECT doc_id, coverage, score FROM c, b, q WHERE coverage = mc AND score >= ms / 2 ORDER", f"""SELECT doc_id, coverage, score FROM (SELECT c.*, row_number() OVER (PARTITION BY {STORY} ORDER BY score DESC, c.date DESC, c.doc_id) AS nth
+ FROM c JOIN items USING (doc_id), b, q WHERE coverage = mc AND score >= ms / 2) WHERE nth <= 2 ORDER"""))
+def rank_story_caps(spark, d):
+    """rank_tfidf with two updates of a story at most."""
+    return search.rank(_items(spark, d), ["that", "with"], 50, 2, "doc_id").select("doc_id", "coverage", "score")
+
+
 @query("SELECT o_orderkey, size, n::INTEGER AS n FROM (SELECT o_orderkey, (o_custkey * 1000)::DOUBLE AS size, row_number() OVER (ORDER BY o_custkey DESC, strftime(o_orderdate, '%Y-%m-%d') DESC, o_orderkey) AS n FROM orders) WHERE n <= 10")
 def rank_most(spark, d):
     x = t(spark, d, "orders").select("o_orderkey", F.concat(F.lit("Order of $"), "o_custkey", F.lit("K lost")).alias("title"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"))
