@@ -10,17 +10,15 @@ from eventloom.operators import search
 
 
 def plain(run):
-    """The longest known word at each place; a short one only at the start or after a known word."""
-    known, out, unknown, i = sorted({*thai.NEWS, *thai.SHAPING}, key=len, reverse=True), [], "", 0
-    while i < len(run):
-        fits = [w for w in known if run[i : i + len(w)] == w and (len(w) > thai.SHORT or not unknown)]
-        if fits:
-            out += [unknown] if len(unknown) > 1 else []
-            out += [fits[0]] if fits[0] not in thai.SHAPING else []
-            unknown, i = "", i + len(fits[0])
-        else:
-            unknown, i = unknown + run[i], i + 1
-    return out + ([unknown] if len(unknown) > 1 else [])
+    """All pieces of a run, letter by letter."""
+
+    def read(rest, held):
+        if not rest:
+            return [held]
+        word = max((w for w in [*thai.NEWS, *thai.SHAPING] if rest.startswith(w) and not (held and len(w) <= thai.SHORT)), key=len, default="")
+        return [held, word, *read(rest[len(word) :], "")] if word else read(rest[1:], held + rest[0])
+
+    return [t for t in read(run, "") if t not in thai.SHAPING and (t in thai.NEWS or len(t) >= 2)]
 
 
 def test_terms(spark):
