@@ -60,7 +60,7 @@ def km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     return F.lit(2 * 6371.0) * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
 
 
-def clusters(reports: DataFrame, seconds: float = 120, reach_km: float = 400, priority: str = "priority", span: float = 3600) -> DataFrame:
+def clusters(reports: DataFrame, seconds: float = 120, reach_km: float = 400, priority: str = "priority", span: float = 21600) -> DataFrame:
     """Each report with `cluster`, the id of the report that opened its cluster: in the order of priority, time and id, a report
     joins the first cluster whose opener is within the seconds and kilometres, or opens one.
 
@@ -73,7 +73,7 @@ def clusters(reports: DataFrame, seconds: float = 120, reach_km: float = 400, pr
     cols, id_type = reports.columns, reports.schema["id"].dataType.simpleString()
     slim = reports.select("id", F.col("t").cast("double").alias("t"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), F.col(priority).alias("p"))
     own = F.floor(F.col("t") / span).cast("long")
-    known = shared(slim.withColumns({"b": own, "opens": F.lit(True), "cluster": F.col("id")}))
+    known = slim.withColumns({"b": own, "opens": F.lit(True), "cluster": F.col("id")})
 
     def settle(group: pd.DataFrame) -> pd.DataFrame:
         block = int(group["g"].iloc[0])
