@@ -52,3 +52,9 @@ def test_variant_paths_tell_null_from_absent(spark):
 def test_half_even(spark):
     df = spark.createDataFrame([(0.5,), (1.5,), (2.5,), (-0.5,)], "x double")
     assert [r[0] for r in df.select(V.half_even(df.x, 0)).collect()] == [0.0, 2.0, 2.0, 0.0]
+
+
+def test_short_rounds_the_exact_value_and_ties_to_even(spark):
+    numbers = [261_250_000.0, 261_350_000.0, -1250.0, 2_350_000.0, 0.125, 2.675, 999_950.0, 2.5, 950.0]
+    df = spark.createDataFrame([(x,) for x in numbers], "x double")
+    assert [r[0] for r in df.select(V.short(df.x)).collect()] == ["261.2M", "261.4M", "-1.2K", "2.4M", "0.12", "2.67", f"{999.95:.1f}K".replace(".0K", "K"), "2.5", "950"]
