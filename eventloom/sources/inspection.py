@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from .selectors import Selectors, Tree, _walk
 ROOTS = ("root", "app", "__next", "__nuxt", "svelte")
 READABLE, SCARCE, SCRIPTS = 80, 30, 3
 
-SCHEMA = "url string, kind string, title string, words int, types array<string>, products int, method string, feeds array<string>, needs_scripts boolean"
+SCHEMA = "url string, kind string, title string, written string, words int, types array<string>, products int, method string, feeds array<string>, needs_scripts boolean"
 
 
 def _types(bodies: list[str]) -> list[str]:
@@ -48,26 +49,32 @@ def needs_scripts(html: str, words: int) -> bool:
     return (first is not None and not tree.text(first)) or (words < SCARCE and sum(bool(n.steps & script) for n in tree.nodes) >= SCRIPTS)
 
 
+def _written(body: str) -> str:
+    """The title as it stands between its tags, references unread, with single spaces."""
+    found = re.search(r"(?is)<title[^>]*>(.*?)</title>", body)
+    return re.sub(r"[\t\n\f\r ]+", " ", found[1]).strip(" ") if found else ""
+
+
 def _row(url: str, body: str) -> tuple:
     head = body.lstrip()[:500].lower()
     if head[:1] in ("{", "["):
         try:
             json.loads(body)
-            return (url, "json", None, 0, [], 0, None, [], False)
+            return (url, "json", None, _written(body), 0, [], 0, None, [], False)
         except ValueError:
             pass
     if "<rss" in head or "<feed" in head:
-        return (url, "feed", None, 0, [], 0, None, [], False)
+        return (url, "feed", None, _written(body), 0, [], 0, None, [], False)
     page = Page(body, url)
     words, found = len(page.text.split()), page.products()
     types = _types(page.json)
     method = None if not found else "json-ld" if "Product" in types else "opengraph"
-    return (url, "page", " ".join(page.title.split()), words, types, len(found), method, page.feeds, needs_scripts(body, words))
+    return (url, "page", " ".join(page.title.split()), _written(body), words, types, len(found), method, page.feeds, needs_scripts(body, words))
 
 
 def inspect(df: DataFrame) -> DataFrame:
-    """df (url, html: the body, whatever it is) as url, kind (json, feed, page), title, words, types, products, method, feeds, needs_scripts,
-    checks (name, ok, detail) and suggestions (what to read it with, best first). A null body is an empty page."""
+    """df (url, html: the body, whatever it is) as url, kind (json, feed, page), title, written (the title with its references unread), words, types, products, method,
+    feeds, needs_scripts, checks (name, ok, detail) and suggestions (what to read it with, best first). A null body is an empty page."""
     x = _walk(df, SCHEMA, lambda url, body: [_row(url, body)])
     check = lambda name, ok, yes, no: F.struct(F.lit(name).alias("name"), ok.alias("ok"), F.when(ok, yes).otherwise(no).alias("detail"))
     page = F.col("kind") == "page"

@@ -17,3 +17,13 @@ def test_kinds_and_checks(spark):
     assert got["5"].method == "opengraph" and got["5"].feeds == ["http://e.org/f.xml"] and got["5"].suggestions == ["html.pages: products, then diff", "feeds.entries of http://e.org/f.xml"]
     assert got["6"].suggestions == ["files.read"] and got["7"].suggestions == ["feeds.entries"] and [c.name for c in got["7"].checks] == ["feed"]
     assert [(c.name, c.ok) for c in got["2"].checks] == [("JSON-LD", False), ("Products", False), ("Feeds", False), ("Readable", False)] and got["4"].suggestions == ["html.pages", "selectors.records"]
+
+
+def test_title_with_a_reference_cut_off(spark, tmp_path):
+    from eventloom import queries
+
+    html = "<html><head><title> One &amp; \n two&amp</title></head><body>" + "word " * 90
+    spark.createDataFrame([(1, "http://e.org/1", html)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    row = inspect(spark.read.parquet(f"{tmp_path}/pages.parquet")).first()
+    assert (row.title, row.written) == ("One & two&", "One &amp; two&amp")
+    assert queries.html_inspection(spark, str(tmp_path)).first().title == "One & two&amp"
