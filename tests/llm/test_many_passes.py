@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 
-from eventloom.llm import decontam, quality, textkit as tk
+from eventloom.llm import decontam, linededup, quality, textkit as tk
 
 
 def test_clean_in_many_passes(spark, monkeypatch):
@@ -50,3 +50,11 @@ def test_statistics_against_plain_python():
     for row, t in zip(got, texts):
         for name, v in plain(t).items():
             assert np.isclose(row[quality.NAMES.index(name)], v, atol=1e-5), (name, t)
+
+
+def test_a_leaf_with_more_templates_than_three(spark):
+    """Five templates of one leaf: the lines of each go, save the first of its template."""
+    family = lambda f, i: f"in this place {' '.join(f'{c}{chr(97 + f)}' for c in 'klmnop')} host-{'abcdefghij'[i]}"
+    rows = [(100 * f + i, f"{family(f, i)}\nshort one") for f in range(5) for i in range(10 - f)]
+    got = {r.doc_id: r.n_dropped for r in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: int(d % 100 > 0) for d, _ in rows}
