@@ -179,3 +179,23 @@ def test_durations():
     assert durations.parse("1h30m") == 5400 and durations.show(5400) == "90m" and durations.parse("1.5h") == 5400 and durations.parse("0.5 s") == 0.5 and durations.show(86400) == "1d" and durations.show(61) == "61s" and durations.show(7200) == "2h" and durations.parse("2d") == 172800
     with pytest.raises(ValueError):
         durations.parse("soon")
+
+
+def test_clusters_compare_only_reports_of_cells_beside(monkeypatch):
+    """Reports all over the world at once: the same clusters as by comparing each with all openers, with few distances computed."""
+    import random
+
+    import pandas as pd
+
+    r, calls = random.Random(5), [0]
+    rows = [(i, r.random() * 500, r.uniform(-90, 90), r.uniform(-180, 180), i % 3) for i in range(3000)]
+    rows += [(3000 + i, r.random() * 500, r.choice([-89.9, 0.0, 89.9]), r.choice([-179.9, 179.9]), 1) for i in range(200)]
+    want, heads = {}, []
+    for i, t, lat, lon, _ in sorted(rows, key=lambda x: (x[4], x[1], x[0])):
+        want[i] = next((h[0] for h in heads if abs(h[1] - t) <= 120 and joins._km(h[2], h[3], lat, lon) <= 400), i)
+        heads += [(i, t, lat, lon)] if want[i] == i else []
+    plain = joins._km
+    monkeypatch.setattr(joins, "_km", lambda *x: (calls.__setitem__(0, calls[0] + 1), plain(*x))[1])
+    group = pd.DataFrame(rows, columns=["id", "t", "lat", "lon", "p"]).assign(b=0, g=0, opens=True, cluster=lambda x: x["id"])
+    got = joins._settle(group, 120, 400)
+    assert dict(zip(got["id"], got["cluster"], strict=True)) == want and calls[0] < len(rows) * 60
