@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SCHEMA = "position long, payload string"
+#: Rows that a worker holds at once, and bytes that it reads at once.
+BATCH, BUFFER = 4096, 1 << 20
 
 
 def record(rows: DataFrame, path: str, position: str, payload: str = "payload") -> None:
@@ -70,8 +72,11 @@ class Recording:
     def read(self, piece: Piece | None) -> Iterator[pa.RecordBatch]:
         for path, i in piece.groups if piece else ():  # without partitions Spark asks for None
             with self.fs.open_input_file(path) as file:
-                rows = pq.ParquetFile(file).read_row_group(i, columns=["position", "payload"])
-            yield from rows.filter(pc.and_(pc.greater(rows["position"], piece.lo), pc.less_equal(rows["position"], piece.hi))).to_batches()
+                # In batches from a small buffer: a row group is never whole in a worker's memory.
+                group = pq.ParquetFile(file, buffer_size=BUFFER, pre_buffer=False)
+                for rows in group.iter_batches(BATCH, [i], ["position", "payload"]):
+                    yield rows.filter(pc.and_(pc.greater(rows["position"], piece.lo), pc.less_equal(rows["position"], piece.hi)))
+            pa.default_memory_pool().release_unused()
 
 
 class _Options:

@@ -93,3 +93,14 @@ def test_posts_of_recorded_frames(spark, tmp_path):
     shaped = lambda stream: posts.jetstream(recorded.frames(spark, f"{tmp_path}/rec", stream=stream), langs=["en"])
     got = ops.into_table(shaped(True).select("key", "text"), f"{tmp_path}/out", f"{tmp_path}/cp")
     assert sorted(got.collect()) == sorted(shaped(False).select("key", "text").collect()) and got.count() == 20
+
+
+def test_a_row_group_is_read_in_batches(tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    n = 3 * recorded.BATCH + 5
+    pq.write_table(pa.table({"position": pa.array(range(n), pa.int64()), "payload": ["x"] * n}), f"{tmp_path}/a.parquet")
+    piece = recorded.Piece(9, n - 3, [(f"{tmp_path}/a.parquet", 0)])
+    got = list(recorded.Recording(str(tmp_path)).read(piece))
+    assert max(map(len, got)) <= recorded.BATCH and [x for b in got for x in b.column(0).to_pylist()] == list(range(10, n - 2))
