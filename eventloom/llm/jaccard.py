@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .links import components
-from .runtime import discard, sided, stored
+from .runtime import discard, sided, stored, tidy
 
 #: Shingles that meet in one task at most, but for two blocks of half of it each.
 WEIGHT = 2 << 20
@@ -166,7 +166,7 @@ def _links(meet: DataFrame, percent: int) -> DataFrame:
                     sets.append(np.frombuffer(data[lo:hi].tobytes(), np.uint64))
         yield from flush()
 
-    return meet.select("comp", "i", "j", "node", "set").repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "node").mapInArrow(run, "a binary, b binary")
+    return meet.select("comp", "i", "j", "node", "set").repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "node").mapInArrow(tidy(run), "a binary, b binary")
 
 
 class First:
@@ -218,7 +218,7 @@ def _spread(rows: DataFrame, words: int, hot=None) -> DataFrame:
                 n = n[new]
                 yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.repeat(marks[new, 0].view(np.int64), n)), pa.array(np.repeat(n, n)), pa.array(before)], names=["token", "key", "n", "hot"])
 
-    return rows.select("text").mapInArrow(run, "token long, key long, n long, hot long")
+    return rows.select("text").mapInArrow(tidy(run), "token long, key long, n long, hot long")
 
 
 def _columns(batches) -> list[np.ndarray]:
@@ -302,7 +302,7 @@ def possible(sampled: DataFrame, classes: DataFrame, percent: int, hot: int = HO
     tokens = sampled.select(F.explode("sample").alias("token"), "key")
     if len(known):  # a token of many sets is alone in none
         tokens = tokens.join(F.broadcast(sampled.sparkSession.createDataFrame(pa.table({"token": known}))), "token", "left_anti")
-    lone = tokens.repartition(_parts(sampled.sparkSession, total), "token").mapInArrow(_lone, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("lone"))
+    lone = tokens.repartition(_parts(sampled.sparkSession, total), "token").mapInArrow(tidy(_lone), "key long").groupBy("key").agg(F.count(F.lit(1)).alias("lone"))
     spare = F.col("n") - F.ceil(F.col("n") * percent / 100)
     return stored(classes.join(lone, "key", "left").filter(F.coalesce("lone", F.lit(0)) <= spare).drop("lone"), "possible")
 
@@ -316,8 +316,8 @@ def candidates(rows: DataFrame, total: int, words: int, percent: int, hot: int =
     parts = _parts(rows.sparkSession, total)
     known = _often(_spread(rows.filter(F.pmod(F.col("th"), F.lit(SAMPLE)) == 0), words), hot, total)
     tokens = _spread(rows, words, known).repartition(parts, F.when(F.col("hot") > 0, F.col("key")).otherwise(F.col("token")))
-    shared = tokens.mapInArrow(_elsewhere, "token long, key long, n long, df long").repartition(parts, "key")
-    prefix = shared.mapInArrow(_prefixes(percent), "token long, key long, n long")
+    shared = tokens.mapInArrow(tidy(_elsewhere), "token long, key long, n long, df long").repartition(parts, "key")
+    prefix = shared.mapInArrow(tidy(_prefixes(percent)), "token long, key long, n long")
     # Sets that link are in the same cell of sizes or in neighbours: a token's sets of a cell meet its least one, and that the next cell's.
     prefix = stored(prefix.select("token", "key", _cell("n", percent).alias("cell")), "prefixes")
     least = prefix.groupBy("token", "cell").agg(F.min("key").alias("least"))
@@ -357,7 +357,7 @@ def join_documents(docs: DataFrame, words: int = 3, percent: int = 90, weight: i
                 columns = [*(b.column(i).slice(lo, hi - lo) for i in (0, 1)), pa.array(np.diff(offs)), _nodes(marks), pa.array(marks[:, 0].view(np.int64)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(token[take]))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "n_shingles", "node", "key", "sample"])
 
-    sampled = stored(rows.select("doc_id", "th", "text").mapInArrow(sign, "doc_id long, th long, n_shingles long, node binary, key long, sample array<long>"), "sampled")
+    sampled = stored(rows.select("doc_id", "th", "text").mapInArrow(tidy(sign), "doc_id long, th long, n_shingles long, node binary, key long, sample array<long>"), "sampled")
     signed = stored(sampled.drop("sample"), "signed")
     classes = signed.filter("n_shingles > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")).alias("rep"), F.first("key").alias("key"), F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("rows"))
     classes = stored(classes.select("node", "key", "n", "rows", "rep.doc_id", "rep.th"), "classes")
@@ -389,7 +389,7 @@ def join_documents(docs: DataFrame, words: int = 3, percent: int = 90, weight: i
                 view, at = s.tobytes(), (8 * offs).tolist()
                 yield pa.RecordBatch.from_arrays([_nodes(fingerprints(s, offs)), pa.array([view[x:y] for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["own_node", "set"])
 
-    whole = texts(inside).select("text").mapInArrow(sets, "own_node binary, set binary").join(placed, F.col("own_node") == F.col("node"))
+    whole = texts(inside).select("text").mapInArrow(tidy(sets), "own_node binary, set binary").join(placed, F.col("own_node") == F.col("node"))
     meets = F.flatten(F.transform("near", lambda p: F.transform(F.sequence(F.lit(0), p["blocks"] - 1), lambda k: place(p["of"], k))))
     meet = whole.select("node", "comp", "own", "set", F.explode(meets).alias("other")).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
     links = stored(_links(meet, percent), "links")

@@ -11,6 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .bpe import encoder, with_end
+from .runtime import tidy
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Ids that are packed together: bounds a task's memory, and spreads the padding of a pool's last sequence over that many ids.
@@ -158,4 +159,4 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, size: int = 2048, li
         if have:
             yield flush()
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"cast(`{text_col}` as string) as text").mapInArrow(run, SCHEMA)
+    return docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"cast(`{text_col}` as string) as text").mapInArrow(tidy(run), SCHEMA)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .runtime import kept_rows
+from .runtime import kept_rows, tidy
 
 SYMBOLS = '!|#%$&*?:;-_=/\\<>()[]{}@^~"\''
 NAMES = [
@@ -173,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 20_000, id_col: str =
             x = _table(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["_y", "x"])
 
-    got = texts.join(F.broadcast(rows), "_id").select("_y", "_text").mapInArrow(run, "_y int, x binary").orderBy(F.xxhash64("x"), "x", "_y").limit(2 * most).toArrow()
+    got = texts.join(F.broadcast(rows), "_id").select("_y", "_text").mapInArrow(tidy(run), "_y int, x binary").orderBy(F.xxhash64("x"), "x", "_y").limit(2 * most).toArrow()
     x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(-1, len(NAMES))
     return fit(x, got["_y"].to_numpy().astype(np.float64))
 
@@ -188,7 +188,7 @@ def score(docs: DataFrame, model: Trees, threshold: float = 0.3, id_col: str = "
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), held_out(id_col, mod).alias("held_out"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(tidy(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def accepted(docs: DataFrame, model: Trees, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
