@@ -1,7 +1,7 @@
 from datetime import date
 
 from eventloom.operators import answers
-from eventloom.sources import forms, posts, records
+from eventloom.sources import forms, html, posts, records
 
 
 def test_shapes(spark):
@@ -53,3 +53,20 @@ def test_questions(spark):
     assert answers.answer(items, "biggest bridge hacks", today) == "2 sources: Ronin Bridge: $624M lost [1]; Small bridge: $5M lost [2]"
     assert answers.answer(items, "bridge hacks in 2023", today) == "Small bridge: $5M lost, 2023-05-01 [1]"
     assert answers.answer(items, "bridge hacks", today, decide=lambda q, rows: "NONE").startswith("None of the sources")
+
+
+def test_pages_are_parsed_in_slices(spark):
+    """However many pages a batch has, a task holds the parsed ones of a slice."""
+    import pandas as pd
+
+    class Frame:
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, run, schema):
+            return run
+
+    run = html.pages(Frame(), "u", "h")
+    part = pd.DataFrame({"url": [f"http://e.org/{i}" for i in range(600)], "html": ["<p>a b</p>"] * 599 + [None]})
+    got = list(run(iter([part])))
+    assert max(map(len, got)) <= html.SLICE and [u for x in got for u in x["url"]] == part["url"].tolist()
